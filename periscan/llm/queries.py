@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from periscan.session import table
 
@@ -15,6 +16,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    from periscan.llm.language import fit, fold, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(fold() != 2))
+    named = identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text again."""
+    from periscan.llm.pieces import round_trip
+    from periscan.llm.tokenize import vocabulary
+
+    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "pieces_crc32", F.length("decoded").cast("long").alias("decoded_chars"), "same")
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a framed record of token ids, read back from the files."""
     from periscan.llm.idfiles import record_digests, write_records
@@ -23,5 +43,5 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(write_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_binary_records)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op5_sentencepiece, op8_binary_records)}
 ORACLES: dict[str, str] = {}

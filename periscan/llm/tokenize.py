@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Pieces kept in a worker before its memory of them is emptied.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 800_000
 #: Longer pieces are encoded but not kept.
 KEPT_LENGTH = 64
 
@@ -43,22 +43,29 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; none for null or empty texts."""
-        kept, cut = self.kept, [self.pieces(t) if t else [] for t in texts]
+        get = self.kept.get
+        out: list[bytes | None] = []
+        open_texts: list[tuple[int, list[str]]] = []
         new: set[str] = set()
-        for p in cut:
-            new.update(p)
-        new = new - kept.keys()
-        if len(kept) + len(new) > KEPT_PIECES:
-            kept.clear()
-            new = {x for p in cut for x in p}
+        for k, t in enumerate(texts):
+            cut = self.pieces(t) if t else []
+            got = list(map(get, cut))
+            if None in got:
+                out.append(None)
+                open_texts.append((k, cut))
+                new.update(x for x, g in zip(cut, got, strict=True) if g is None)
+            else:
+                out.append(b"".join(got))
+        if len(self.kept) + len(new) > KEPT_PIECES:
+            self.kept.clear()
+            new = set().union(*(cut for _, cut in open_texts))
         names = list(new)
-        fresh = dict(zip(names, self.library(names), strict=True))
-        kept.update(fresh)
-        get = kept.__getitem__
-        out = [b"".join(map(get, p)) for p in cut]
+        self.kept.update(zip(names, self.library(names), strict=True))
+        for k, cut in open_texts:
+            out[k] = b"".join(map(get, cut))
         for x in names:
             if len(x) > KEPT_LENGTH:
-                del kept[x]
+                del self.kept[x]
         return out
 
 
