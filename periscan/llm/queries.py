@@ -43,5 +43,12 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(write_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op5_sentencepiece, op8_binary_records)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents, on sets of two-word shingles."""
+    from periscan.llm.near import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op5_sentencepiece, op8_binary_records, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
