@@ -16,6 +16,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=50256)
 
 
+def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal row counts, in uniformly random order."""
+    from periscan.llm.shards import shuffle_into_shards
+
+    digests = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    )
+    placed = shuffle_into_shards(digests, 8, seed=20)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out fold."""
     from periscan.llm.language import fit, fold, identify
@@ -35,6 +48,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", "pieces_crc32", F.length("decoded").cast("long").alias("decoded_chars"), "same")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, verbatim or with other numbers, names or units."""
+    from periscan.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a framed record of token ids, read back from the files."""
     from periscan.llm.idfiles import record_digests, write_records
@@ -50,5 +70,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op5_sentencepiece, op8_binary_records, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op4_language_id, op5_sentencepiece, op6_decontamination, op8_binary_records, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
