@@ -111,7 +111,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
                         out.close()
                     system.create_dir(where, recursive=True)
                     name = f"part-{b:06d}-{uuid.uuid4().hex[:12]}.rec"
-                    out, bucket, path, at, ordinal = system.open_output_stream(f"{where}/{name}"), b, f"{folder}/{name}", 0, 0
+                    out, bucket, path, at, ordinal = system.open_output_stream(f"{where}/{name}", compression=None), b, f"{folder}/{name}", 0, 0
                 record = frame(struct.pack(DATA, i is None, i or 0, width) + ids)
                 out.write(record)
                 rows.append((i, b, path, ordinal, at, len(record), len(ids) // width))
@@ -220,7 +220,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
             if out is None and batch.num_rows:
                 system.create_dir(where, recursive=True)
                 name = f"{uuid.uuid4().hex}-{os.getpid()}.bin"
-                out, path = system.open_output_stream(f"{where}/{name}"), f"{folder}/{name}"
+                out, path = system.open_output_stream(f"{where}/{name}", compression=None), f"{folder}/{name}"
             for ids in batch.column("ids").to_pylist():
                 out.write(ids)
             n = batch.num_rows

@@ -55,6 +55,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archive."""
+    from periscan.llm.warc import archive_pages, page_records
+
+    return page_records(spark, archive_pages(table(spark, sf_dir, "pages")))
+
+
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a framed record of token ids, read back from the files."""
     from periscan.llm.idfiles import record_digests, write_records
@@ -63,6 +70,14 @@ def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_digests(write_records(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2))
 
 
+def op9_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth, among all others."""
+    from periscan.llm.forest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents, on sets of two-word shingles."""
     from periscan.llm.near import near_duplicates
@@ -70,5 +85,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op4_language_id, op5_sentencepiece, op6_decontamination, op8_binary_records, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
