@@ -287,24 +287,27 @@ def decode(coded: DataFrame, model: str, ids_col: str = "ids", into: str = "deco
     return coded.drop(into).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{into}` string"]))
 
 
-def round_trip(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Encode and decode each whole text in one pass: adds n_pieces, pieces_crc32 (of the ids as little-endian 32-bit integers),
-    decoded and same (whether the decoded text equals the text; null counts as empty).
+def encode_checked(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """Encode each whole text and decode it again in one pass: adds ids, n_pieces, pieces_crc32 (of the ids as little-endian
+    32-bit integers), decoded_chars and same (whether the decoded text equals the text; null counts as empty).
 
     Texts that hold U+2581 themselves come back with spaces in its place.
+    Columns of these names in the input are replaced.
     """
 
     def add(texts: list) -> list[pa.Array]:
         c = coder(model)
         ids = c.encode(texts)
         back = [c.decode(np.frombuffer(x, "<u4")) for x in ids]
+        offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
         return [
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), pa.int32())),
             pa.array([len(x) // 4 for x in ids], pa.int64()),
             pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-            pa.array(back, pa.string()),
+            pa.array([len(t) for t in back], pa.int64()),
             pa.array([(t or "") == b for t, b in zip(texts, back, strict=True)], pa.bool_()),
         ]
 
-    fields = [pa.field("n_pieces", pa.int64()), pa.field("pieces_crc32", pa.int64()), pa.field("decoded", pa.string()), pa.field("same", pa.bool_())]
+    fields = [pa.field("ids", pa.list_(pa.int32())), pa.field("n_pieces", pa.int64()), pa.field("pieces_crc32", pa.int64()), pa.field("decoded_chars", pa.int64()), pa.field("same", pa.bool_())]
     source = docs.drop(*[f.name for f in fields]).withColumn("__text", F.col(text_col))
-    return map_texts(source, "__text", add, fields, "n_pieces long, pieces_crc32 long, decoded string, same boolean")
+    return map_texts(source, "__text", add, fields, "ids array<int>, n_pieces long, pieces_crc32 long, decoded_chars long, same boolean")

@@ -29,6 +29,23 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or inherited.
+
+    ``documents`` has no paths, so this lays them out as a tree: below the source, below
+    a directory for each 10,000 ids, below one for each 500; ids divisible by 10
+    lie one level higher, and those divisible by 100 two.
+    """
+    from periscan.llm.licenses import scan
+
+    i = F.col("doc_id")
+    high, low = F.floor(i / 10_000).cast("string"), F.floor(i / 500).cast("string")
+    inner = F.when(i % 100 == 0, F.array(i.cast("string"))).when(i % 10 == 0, F.array(high, i.cast("string"))).otherwise(F.array(high, low, i.cast("string")))
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("none")), inner)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return scan(files, first_line_speaks=True).withColumnRenamed("id", "doc_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out fold."""
     from periscan.llm.language import fit, fold, identify
@@ -41,11 +58,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding them gives the text again."""
-    from periscan.llm.pieces import round_trip
+    from periscan.llm.pieces import encode_checked
     from periscan.llm.tokenize import vocabulary
 
-    coded = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
-    return coded.select("doc_id", "n_pieces", "pieces_crc32", F.length("decoded").cast("long").alias("decoded_chars"), "same")
+    coded = encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_pieces", "pieces_crc32", "decoded_chars", "same")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +102,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op3_license_scan, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
