@@ -9,15 +9,17 @@ makes the library encode each distinct piece once per worker.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces kept in a worker before its memory of them is emptied.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_200_000
 #: Longer pieces are encoded but not kept.
 KEPT_LENGTH = 64
 
-_BLANK_RUN = re.compile(r"[^\S \n]|[ \n]{2}|\x00")
+#: Signs at which a text is not cut: runs of blanks, other blanks, and the sign that marks the cuts.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
+_ASCII_BLANKS = "\t\r\v\f\x1c\x1d\x1e\x1f"
+_OTHER_BLANK = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -33,11 +35,11 @@ class PieceEncoder:
         self.kept: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before each single space or newline; whole if it has other blanks or runs of them."""
-        if _BLANK_RUN.search(text):
+        if any(r in text for r in _RUNS) or (any(c in text for c in _ASCII_BLANKS) if text.isascii() else _OTHER_BLANK.search(text)):
             return [text]
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
