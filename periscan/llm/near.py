@@ -19,6 +19,8 @@ BANDS, ROWS = 24, 4
 #: A link needs SHARE[0] / SHARE[1] or more.
 SHARE = (80, 100)
 BATCH_BYTES = 4 << 20
+#: Longs of the bitmap kept for each set.
+BITMAP = 16
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -43,15 +45,16 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of documents (doc_id, text)."""
+    """(node, shingles, bits) of documents (doc_id, text); bits: by the parity of the number of shingles with each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                bits = [np.packbits(np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, shingles array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -67,6 +70,16 @@ def _may_link(n, o, share: tuple[int, int]):
     return share[1] * F.least(n, o) >= share[0] * F.greatest(n, o)
 
 
+def _may_link_bits(share: tuple[int, int]):
+    """The bitmaps of u and v leave room for a similarity of ``share``.
+
+    Each differing bit stands for an element of one set only, so the intersection
+    is at most (nu + nv - differing) / 2: an exact bound, without the sets.
+    """
+    differing = " + ".join(f"bit_count(b{k}u ^ b{k}v)" for k in range(BITMAP))
+    return F.expr(f"({differing}) * {share[0] + share[1]} <= (nu + nv) * {share[1] - share[0]}")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, share: tuple[int, int] = SHARE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -78,9 +91,10 @@ def near_duplicates(
     Rows with equal sets are one node from the start, however many they are.
     Nodes that share a band are candidates. They are compared in three steps, each
     followed by union-find grouping, so that what is already in one group is not
-    compared again: every node with the pivot it shares most bands with (pivots
-    differ from band to band); with its other pivots; and, in bands that still
-    hold several groups, the nodes outside the largest group with all others.
+    compared again: every node with the pivot it shares most bands with (a band's
+    pivot is its node that shares bands with most others); with its other pivots; and, in bands that still
+    hold several groups, the nodes outside the largest group with all others
+    that bitmaps of their sets allow. That bound is exact, and loses none.
     Every candidate pair thus ends up compared or in one group, with a number of
     comparisons that follows the number of nodes where groups are dense. All are
     confirmed on full sets.
@@ -96,16 +110,22 @@ def near_duplicates(
     heads = filled.join(classes.select(F.col("set_key"), F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
 
     exploded = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count("*").alias("held"), F.min_by("node", F.xxhash64("node", "band")).alias("pivot"), F.min_by("n", F.xxhash64("node", "band")).alias("pivot_n")).where("held > 1").drop("held")
-    members = materialize(exploded.join(shared, "band"), "bands")
+    shared = exploded.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
+    held = materialize(exploded.join(shared, "band"), "bands")
+    # The text that others were made from shares bands with most of them, so it makes the best pivot.
+    central = held.groupBy("node").agg(F.sum("held").alias("central"))
+    weighed = held.join(central, "node")
+    lead = F.struct("central", F.xxhash64("node", "band"))
+    heads_of_bands = weighed.groupBy("band").agg(F.max_by("node", lead).alias("pivot"), F.max_by("n", lead).alias("pivot_n"), F.max("central").alias("pivot_central"))
+    members = materialize(held.join(heads_of_bands, "band").drop("held"), "members")
 
     seen = members.select("node").distinct()
     sets = materialize(full_sets(base.join(seen, base.doc_id == seen.node, "left_semi"), width).dropDuplicates(["node"]), "sets")
 
     pivots = materialize(
-        members.where((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n"), share)).groupBy("node", "pivot").agg(F.count("*").alias("common")), "pivots"
+        members.where((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n"), share)).groupBy("node", "pivot").agg(F.count("*").alias("common"), F.max("pivot_central").alias("pivot_central")), "pivots"
     )
-    best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("common", F.col("pivot"))).alias("pivot"))
+    best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot_central", "pivot")).alias("pivot"))
     links = materialize(_verified(best.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, share), "links")
     groups = materialize(connected_components(links), "groups")
 
@@ -120,18 +140,25 @@ def near_duplicates(
     placed = grouped(members.select("band", "node", "n", "pivot"), "node", "g")
     parts = placed.groupBy("band", "g").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("g", F.struct("size", "g")).alias("main")).where("parts > 1").select("band", "main")
-    open_nodes = materialize(placed.join(mixed, "band"), "open")
-    left = open_nodes.where("g <> main").select("band", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("g").alias("gu"), F.col("pivot").alias("pu"))
-    right = open_nodes.select("band", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("g").alias("gv"), "pivot", "main")
+    open_nodes = placed.join(mixed, "band")
+    # Plain columns: array access would make the join's condition too long to be compiled.
+    words = [F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(BITMAP)]
+    open_nodes = materialize(open_nodes.join(sets.select("node", *words), "node"), "open")
+
+    def side(x: str, *more: str) -> list:
+        return ["band", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}"), *(F.col(f"b{k}").alias(f"b{k}{x}") for k in range(BITMAP)), *more]
+
+    left, right = open_nodes.where("g <> main").select(*side("u")), open_nodes.select(*side("v", "pivot", "main"))
     fresh = (
         left.join(right, "band")
         # both outside the largest group: once; the pivot's own comparisons are done
         .where((F.col("gu") != F.col("gv")) & ((F.col("gv") == F.col("main")) | (F.col("u") < F.col("v"))) & (F.col("u") != F.col("pivot")) & (F.col("v") != F.col("pivot")))
         .where(_may_link(F.col("nu"), F.col("nv"), share))
+        .where(_may_link_bits(share))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    last = materialize(_verified(fresh, sets, share), "links")
+    last = materialize(_verified(materialize(fresh, "pairs"), sets, share), "links")
     groups = connected_components(links.unionByName(last))
 
     named = grouped(classes, "node", "component_id").select("set_key", "component_id")
