@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from periscan.session import materialize
+
 #: Words of a window.
 WINDOW = 8
 #: A window whose template has fewer literal words says too little; see :func:`benchmark_windows`.
@@ -121,7 +123,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_shar
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, windows long, of long, share double, kind string")
-    found = found.withColumn("diagonal", F.col("pos") - F.col("at"))
+    found = materialize(found.withColumn("diagonal", F.col("pos") - F.col("at")), "matches")
 
     slots = F.filter(F.arrays_zip("template", "words", "dw"), lambda z: F.startswith(z["template"], F.lit("<")))
     one = ["doc_id", "item_id", "diagonal"]
