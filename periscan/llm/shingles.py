@@ -63,7 +63,8 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     rolled = np.zeros(len(hashes), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            rolled[: len(hashes) - k] = rolled[: len(hashes) - k] * np.uint64(BASE) + hashes[k:] if k else hashes
+            whole = max(0, len(hashes) - k)
+            rolled[:whole] = rolled[:whole] * np.uint64(BASE) + hashes[k:]
         rolled = mix(rolled)
     out, at = [], 0
     for n in counts.tolist():

@@ -119,7 +119,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         system, where = fs.FileSystem.from_uri(partition.path)
         rows: list[tuple] = []
         held = 0
