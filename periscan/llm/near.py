@@ -90,7 +90,7 @@ def near_duplicates(
 
     Rows with equal sets are one node from the start, however many they are.
     Nodes that share a band are candidates. They are compared in three steps, each
-    followed by union-find grouping, so that what is already in one group is not
+    followed by union-find grouping (of two rounds, until the last), so that what is already in one group is not
     compared again: every node with the pivot it shares most bands with (a band's
     pivot is its node that shares bands with most others); with its other pivots; and, in bands that still
     hold several groups, the nodes outside the largest group with all others
@@ -127,7 +127,7 @@ def near_duplicates(
     )
     best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot_central", "pivot")).alias("pivot"))
     links = materialize(_verified(best.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, share), "links")
-    groups = materialize(connected_components(links), "groups")
+    groups = materialize(connected_components(links, 2, settle=False), "groups")
 
     def grouped(df: DataFrame, node: str, into: str) -> DataFrame:
         return df.join(groups.select(F.col("node").alias(node), F.col("component").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
@@ -135,7 +135,7 @@ def near_duplicates(
     apart = grouped(grouped(pivots.select("node", "pivot"), "node", "g"), "pivot", "h").where("g <> h").join(best, ["node", "pivot"], "left_anti")
     more = materialize(_verified(apart.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, share), "links")
     links = links.unionByName(more)
-    groups = materialize(connected_components(links), "groups")
+    groups = materialize(connected_components(links, 2, settle=False), "groups")
 
     placed = grouped(members.select("band", "node", "n", "pivot"), "node", "g")
     parts = placed.groupBy("band", "g").agg(F.count("*").alias("size"))
