@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from periscan.functions.significance import correlation_p
 from periscan.operators import acf as A
 from periscan.operators import benchmark as B
+from periscan.operators import comb as C
+from periscan.operators import detectability as R
 from periscan.operators import diagnostics as D
 from periscan.operators import features as N
+from periscan.operators import segments as G
 from periscan.operators import series as S
+from periscan.operators import spacing as H
 from periscan.operators import spectra as K
-from periscan.session import table
+from periscan.operators import wavelet as W
+from periscan.session import materialize, table
 from periscan.sources import light_curves as L
+from periscan.streaming import bins as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -356,3 +363,55 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     series = event_acf(spark, sf_dir)
     return D.best_phase(series, L.event_curves(spark, sf_dir).select("star_id").distinct().withColumn("p", F.lit(1.0)), 1 / 24)
+
+
+@query("k1_pairwise_histogram")
+def _(spark, sf_dir):
+    return H.peak_spacings(materialize(event_acf(spark, sf_dir), "acf"), 1 / 24)
+
+
+def dense_curves(spark, sf_dir):
+    return S.interpolate(S.even_cadence(L.event_curves(spark, sf_dir).select("star_id", "i", "time", "flux"), 1 / 24))
+
+
+@query("k7_wavelet")
+def _(spark, sf_dir):
+    return W.wavelet_candidates(dense_curves(spark, sf_dir), 1 / 24)
+
+
+@query("l4_rotation_period")
+def _(spark, sf_dir):
+    series = materialize(event_acf(spark, sf_dir), "acf")
+    pool = H.peak_spacings(series, 1 / 24).select("star_id", "p0", "method").unionByName(W.wavelet_candidates(dense_curves(spark, sf_dir), 1 / 24).select("star_id", "p0", "method"))
+    return C.rotation_periods(series, pool, 1 / 24)
+
+
+@query("i4_segments")
+def _(spark, sf_dir):
+    return G.split_segments(dense_curves(spark, sf_dir), n_segments=10)[1]
+
+
+@query("i7_recombine")
+def _(spark, sf_dir):
+    return G.recombine(*G.split_segments(dense_curves(spark, sf_dir), n_segments=10))
+
+
+@query("p10_feature_importance")
+def _(spark, sf_dir):
+    return R.forest_importance(B.restricted(L.batch_summary(spark, sf_dir), 50), ["period", "activity"], "found_by_any", trees=100)
+
+
+@query("s1_streamed_hours", "SELECT event_type AS star_id, epoch_us(date_trunc('hour', ts)) AS hour_us, round(avg(value), 6) AS flux, count(value) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf_dir):
+    out = T.replay(spark, sf_dir)
+    # in the session's zone, as the events were read
+    local = F.expr(L.MICROS.format("cast(hour as timestamp_ntz)"))
+    return rounded(out.select("star_id", local.alias("hour_us"), "flux", "n"), "flux")
+
+
+@query("p6_spearman_p")
+def _(spark, sf_dir):
+    stars = B.restricted(L.batch_summary(spark, sf_dir), 50)
+    rho = B.spearman(stars, ["period", "activity"], "found_by_any")
+    n = stars.agg(F.count("*").alias("n"))  # one row
+    return rho.crossJoin(F.broadcast(n)).withColumn("p_value", correlation_p("spearman_rho", "n"))
