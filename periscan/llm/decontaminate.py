@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periscan.session import materialize
@@ -13,6 +13,8 @@ WINDOW = 8
 MIN_LITERALS = 4
 #: A document leaks an item if it has this share of the item's windows, or so many of them (19 words in a row).
 MIN_SHARE, MIN_WINDOWS = 0.5, 12
+#: Or so many words of it in a row, in upper or lower case.
+MIN_RUN = 13
 #: On a consistent diagonal, this share of the item's slot values has one counterpart each.
 MIN_CONSISTENT = 0.8
 #: More windows than this are joined by a shuffle instead of a broadcast (about 100 bytes each).
@@ -53,31 +55,33 @@ def _slots(template: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """(key, item_id, at, n, words, template, width, raw) of every window of every item.
-
-    Items shorter than ``window`` words have one window of all their words. Windows
-    with few literals are left to their neighbours; an item that has no other
-    (all names or numbers) is matched on its lower-case words instead (raw).
+    """(key, item_id, at, n, words, template, width, form) of every window of every item.
+
+    Items shorter than ``window`` words have one window of all their words. Each
+    window has its lower-case words as a key (form literal) and, if it has
+    enough literals, its template (form template). An item that has no such
+    window but says something as a whole (form whole) has the window with the most
+    literals as key; words and template are then the whole item's, and the rest
+    is compared there. Names alone say nothing: two literals, or one and two numbers.
     """
     parsed = items.where(F.col("item_id").isNotNull()).select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
     parsed = parsed.withColumn("c", template_of(F.col("w"))).withColumn("width", F.least(F.size("w"), F.lit(window)))
     cut = parsed.select("item_id", "w", "c", "width", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("width"))).alias("at")).select(
-        "item_id", "at", "width", F.slice("w", F.col("at") + 1, F.col("width")).alias("words"), F.slice("c", F.col("at") + 1, F.col("width")).alias("template")
-    )
-    strong = cut.withColumn("strong", (F.col("width") - _slots(F.col("template")) >= F.least(F.lit(MIN_LITERALS), F.col("width"))))
-    any_strong = strong.groupBy("item_id").agg(F.max("strong").alias("any"), F.count_if("strong").alias("n_strong"), F.count("*").alias("n_all"))
-    kept = strong.join(any_strong, "item_id").where(F.col("strong") | ~F.col("any"))
-    raw = ~F.col("any")
-    return kept.select(
-        F.when(raw, _key(_lower(F.col("words")))).otherwise(_key(F.col("template"))).alias("key"),
-        "item_id",
-        "at",
-        F.when(raw, F.col("n_all")).otherwise(F.col("n_strong")).alias("n"),
-        "words",
-        "template",
-        "width",
-        raw.alias("raw"),
+        "item_id", "w", "c", "at", "width", F.slice("w", F.col("at") + 1, F.col("width")).alias("words"), F.slice("c", F.col("at") + 1, F.col("width")).alias("template")
     )
+    counted = cut.withColumn("literals", F.col("width") - _slots(F.col("template"))).withColumn("strong", F.col("literals") >= F.least(F.lit(MIN_LITERALS), F.col("width")))
+    any_strong = counted.groupBy("item_id").agg(F.max("strong").alias("any"), F.count_if("strong").alias("n_strong"), F.count("*").alias("n_all"))
+    kept = counted.join(any_strong, "item_id")
+    rest = ["words", "template", "width"]
+    literal = kept.select(_key(_lower(F.col("words"))).alias("key"), "item_id", "at", F.col("n_all").alias("n"), *rest, F.lit("literal").alias("form"))
+    strong = kept.where("strong").select(_key(F.col("template")).alias("key"), "item_id", "at", F.col("n_strong").alias("n"), *rest, F.lit("template").alias("form"))
+    said = F.size("c") - _slots(F.col("c"))
+    numbers = F.size(F.filter("c", lambda c: c == NUM))
+    weak = kept.where(~F.col("any") & ((said >= 2) | ((said >= 1) & (numbers >= 2))))
+    # An id with several texts has the best window of each.
+    best = weak.groupBy("item_id", "w", "c", "width").agg(F.max(F.struct("literals", (-F.col("at")).alias("back"), "template")).alias("b"))
+    whole = best.select(_key(F.col("b.template")).alias("key"), "item_id", (-F.col("b.back")).alias("at"), F.lit(1).cast("long").alias("n"), F.col("w").alias("words"), F.col("c").alias("template"), "width", F.lit("whole").alias("form"))
+    return literal.unionByName(strong).unionByName(whole)
 
 
 def _key(words: Column) -> Column:
@@ -88,38 +92,52 @@ def _lower(words: Column) -> Column:
     return F.transform(words, F.lower)
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, min_windows: int = MIN_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, min_windows: int = MIN_WINDOWS, min_run: int = MIN_RUN) -> DataFrame:
     """Documents (doc_id, text) that hold benchmark items (item_id, text), as they are or with other numbers, names or units.
 
-    Every window of every whole document is looked up among the items' windows.
-    Matches of one document and item with the same distance between their
-    places form a diagonal, one occurrence of the item. A diagonal counts if its
-    slots are consistent: a value of the item stands for one value in the
-    document throughout. Windows that only share a template by chance fail that.
+    Every window of every whole document is looked up among the items' windows,
+    by its template and by its lower-case words. Matches of one document and
+    item with the same distance between their places form a diagonal, one
+    occurrence of the item. A diagonal of templates counts if its slots are
+    consistent: a value of the item stands for one value in the document
+    throughout. Windows that only share a template by chance fail that. Words need
+    no such check, and ``min_run`` of them in a row are enough; on a diagonal
+    whose slots are not consistent (another question of the same form), it takes
+    as many as ``min_windows`` windows have.
 
     Returns doc_id, item_id, windows (of the item found on consistent
     diagonals), of (its windows in all), share, and kind: exact if every slot
-    holds the item's own value, else reparameterised. Null texts and ids match
-    nothing; repeated rows count once.
+    holds the item's own value, else reparameterised. What only the words show is
+    exact, with the windows found by words. Null texts and ids match nothing;
+    repeated rows count once.
     """
     spark = docs.sparkSession
-    bench = benchmark_windows(items, window)
-    forms = [(r["width"], r["raw"], r["n"]) for r in bench.groupBy("width", "raw").agg(F.count("*").alias("n")).collect()]  # at most 2 x window rows
-    parsed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("w")).withColumn("c", template_of(F.col("w")))
+    bench = materialize(benchmark_windows(items, window), "windows")
+    forms = [(r["width"], r["form"], r["n"]) for r in bench.groupBy("width", "form").agg(F.count("*").alias("n")).collect()]  # at most 3 x window rows
+    parsed = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), words_of(F.col("text")).alias("w")).withColumn("c", template_of(F.col("w"))).withColumn("l", _lower(F.col("w")))
     found = None
-    for width, raw, n in sorted(forms):
-        own = bench.where((F.col("width") == width) & (F.col("raw") == raw))
-        keys = own.select("key").distinct()
+    for width, form, n in sorted(forms):
+        own = bench.where((F.col("width") == width) & (F.col("form") == form))
         at = F.explode(F.sequence(F.lit(0), F.size("w") - width)).alias("pos")
-        windows = parsed.where(F.size("w") >= width).select("doc_id", "w", "c", at)
-        cut = F.slice("w", F.col("pos") + 1, width)
-        windows = windows.select("doc_id", "pos", "w", "c", (_key(_lower(cut)) if raw else _key(F.slice("c", F.col("pos") + 1, width))).alias("key"))
+        windows = parsed.where(F.size("w") >= width).select("doc_id", "w", "c", "l", at)
+        key = _key(F.slice("l" if form == "literal" else "c", F.col("pos") + 1, width)).alias("key")
+        if form == "whole":
+            parts = -(-n // BROADCAST_WINDOWS)
+            for part in range(parts):  # one of these for each item, and each part is small enough
+                some = own.where(F.pmod("key", F.lit(parts)) == part).select("key", "item_id", "at", "n", "words", "template")
+                start = F.col("pos") - F.col("at")
+                hits = windows.select("doc_id", "w", "c", "pos", key).join(F.broadcast(some), "key").where((start >= 0) & (F.slice("c", F.greatest(start, F.lit(0)) + 1, F.size("template")) == F.col("template")))
+                hits = hits.select("doc_id", "item_id", "n", start.alias("pos"), F.lit(0).alias("at"), "words", "template", F.slice("w", start + 1, F.size("template")).alias("dw"), F.lit(form).alias("form"))
+                found = hits if found is None else found.unionByName(hits)
+            continue
+        keys = own.select("key").distinct()
+        cut = F.slice("w", F.col("pos") + 1, width) if form == "template" else F.lit(None).cast("array<string>")
         if n > BROADCAST_WINDOWS:
-            windows = windows.select("doc_id", "pos", "key", cut.alias("dw"))
-            hits = windows.join(keys, "key", "left_semi")
+            hits = windows.select("doc_id", "pos", key, cut.alias("dw")).join(keys, "key", "left_semi")
         else:  # the number of windows has just been checked
-            hits = windows.join(F.broadcast(keys), "key", "left_semi").select("doc_id", "pos", "key", cut.alias("dw"))
-        hits = hits.join(own.select("key", "item_id", "at", "n", "words", "template"), "key").select("doc_id", "item_id", "n", "pos", "at", "words", "template", "dw")
+            hits = windows.select("doc_id", "pos", "w", key).join(F.broadcast(keys), "key", "left_semi").select("doc_id", "pos", "key", cut.alias("dw"))
+        told = ["words", "template"] if form == "template" else [F.lit(None).cast("array<string>").alias(k) for k in ("words", "template")]
+        hits = hits.join(own.select("key", "item_id", "at", "n", *told), "key").select("doc_id", "item_id", "n", "pos", "at", "words", "template", "dw", F.lit(form).alias("form"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, windows long, of long, share double, kind string")
@@ -127,15 +145,25 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_shar
 
     slots = F.filter(F.arrays_zip("template", "words", "dw"), lambda z: F.startswith(z["template"], F.lit("<")))
     one = ["doc_id", "item_id", "diagonal"]
-    values = found.select(*one, F.explode(slots).alias("z")).groupBy(*one, F.col("z.words").alias("value")).agg(F.min("z.dw").alias("low"), F.max("z.dw").alias("high"))
+    typed, worded = found.where("form <> 'literal'"), found.where("form = 'literal'")
+    values = typed.select(*one, F.explode(slots).alias("z")).groupBy(*one, F.col("z.words").alias("value")).agg(F.min("z.dw").alias("low"), F.max("z.dw").alias("high"))
     by_value = values.groupBy(*one).agg(
         F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistent"), F.min((F.col("low") == F.col("value")) & (F.col("high") == F.col("value"))).alias("same")
     )
-    good = found.select(*one, "at", "n").join(by_value, one, "left").where(F.coalesce("consistent", F.lit(1.0)) >= MIN_CONSISTENT)
+    good = typed.select(*one, "at", "n").join(by_value, one, "left").where(F.coalesce("consistent", F.lit(1.0)) >= MIN_CONSISTENT)
     # How often an item window is found on good diagonals is at most its document's length.
     per_window = good.groupBy("doc_id", "item_id", "at").agg(F.max("n").alias("n"), F.max(F.coalesce("same", F.lit(True))).alias("same"))
     scored = per_window.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.max("n").alias("of"), F.min("same").alias("same"))
     share = F.col("windows") / F.col("of")
-    return scored.where((share >= min_share) | (F.col("windows") >= min_windows)).select(
-        "doc_id", "item_id", "windows", "of", F.round(share, 6).alias("share"), F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind")
-    )
+    by_type = scored.where((share >= min_share) | (F.col("windows") >= min_windows)).select("doc_id", "item_id", F.struct(F.lit(0).alias("rank"), "windows", "of", "same").alias("b"))
+
+    # Places that follow each other on a diagonal, at most an item's length, are a run.
+    place = worded.groupBy(*one, "at").agg(F.max("n").alias("n"))
+    runs = place.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*one).orderBy("at"))).groupBy(*one, "run").agg(F.count("*").alias("long"))
+    long_runs = runs.join(by_value.where(F.col("consistent") < MIN_CONSISTENT).select(*one, F.lit(True).alias("mixed")), one, "left")
+    ran = long_runs.where(F.col("long") >= F.when(F.col("mixed"), min_windows).otherwise(min_run - window + 1)).select("doc_id", "item_id", F.lit(True).alias("ran")).distinct()
+    clear = place.join(by_value.where(F.col("consistent") < MIN_CONSISTENT).select(*one), one, "left_anti").select("doc_id", "item_id", "at").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("clear"))
+    in_words = place.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"), F.max("n").alias("of")).join(ran, ["doc_id", "item_id"], "left").join(clear, ["doc_id", "item_id"], "left")
+    by_words = in_words.where(F.col("ran") | (F.coalesce("clear", F.lit(0)) / F.col("of") >= min_share)).select("doc_id", "item_id", F.struct(F.lit(1).alias("rank"), "windows", "of", F.lit(True).alias("same")).alias("b"))
+    best = by_type.unionByName(by_words).groupBy("doc_id", "item_id").agg(F.min("b").alias("b")).select("doc_id", "item_id", "b.*")
+    return best.select("doc_id", "item_id", "windows", "of", F.round(share, 6).alias("share"), F.when(F.col("same"), "exact").otherwise("reparameterised").alias("kind"))

@@ -108,6 +108,19 @@ def test_leaks_of_short_and_wordless_items(spark):
     assert leaks(spark, ["a"], [(3, None)]) == {}
 
 
+def test_leaks_in_any_case_and_of_short_runs(spark):
+    words = QUESTION.split()
+    passages = [" ".join(words[3:21]), " ".join(words[3:16]), " ".join(words[3:15])]  # 18, 13 and 12 words
+    got = leaks(spark, [QUESTION.upper(), QUESTION.title(), QUESTION.lower(), *(f"{text(30)} {p} {text(30)}" for p in passages)])
+    assert {k: v for k, v in got.items()} == {k: (1, "exact") for k in range(5)}
+
+
+def test_leaks_of_short_questions_with_other_numbers(spark):
+    items = [(1, "What is 12 plus 15?"), (2, "How many is 7 times 9?"), (3, "Anna Berg of Oslo"), (4, "Add 4 and 4")]
+    texts = ["so What is 3 plus 44 then", "How many is 6 times 8?", "what is 12 PLUS 15", "Olaf Lund of Bergen", "Add 5 and 6", "Add 5 and 5", "What is 3 minus 44"]
+    assert leaks(spark, texts, items) == {0: (1, "reparameterised"), 1: (2, "reparameterised"), 2: (1, "exact"), 5: (4, "reparameterised")}
+
+
 def test_licenses_and_inheritance(spark):
     files = [
         (1, "/p/LICENSE", "Released under the MIT License.\nmore"),
