@@ -20,13 +20,11 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal row counts, in uniformly random order."""
     from periscan.llm.shards import shuffle_into_shards
 
-    digests = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-    )
-    placed = shuffle_into_shards(digests, 8, seed=20)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = shuffle_into_shards(table(spark, sf_dir, "documents"), 8, seed=20)
+    # Of the text that arrived in the shard.
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size")
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
+    return placed.select("doc_id", size, crc, F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

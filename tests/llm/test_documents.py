@@ -173,3 +173,21 @@ def test_shards_of_repeated_null_and_no_rows(spark):
     got = shards.shuffle_into_shards(df, 8).groupBy("shard").count().collect()
     assert sorted(r["count"] for r in got) == [4] * 7 + [5]
     assert shards.shuffle_into_shards(df.limit(0), 8).count() == 0
+
+
+def test_whole_documents_go_to_the_shards(spark, sf_dir, monkeypatch):
+    import zlib
+
+    from periscan.llm.queries import op2_hypergeometric_shards
+
+    got = {}
+
+    def kept(df, *args, call=shards.shuffle_into_shards, **more):
+        got["columns"], got["rows"] = df.columns, call(df, *args, **more)
+        return got["rows"]
+
+    monkeypatch.setattr(shards, "shuffle_into_shards", kept)
+    rows = op2_hypergeometric_shards(spark, sf_dir).collect()
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
+    assert got["columns"] == table(spark, sf_dir, "documents").columns
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items())
