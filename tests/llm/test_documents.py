@@ -143,6 +143,17 @@ def test_licenses_and_inheritance(spark):
     }
 
 
+def test_licenses_by_version_in_wrapped_headers_and_whole_files(spark):
+    gpl = "/* This program is free software; you can redistribute it and/or\n * modify it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either version 2\n * of the License, or (at your option) any later version. */\nint main() {\n}"
+    lgpl = gpl.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")
+    whole = dict(licenses.TEMPLATES)  # the last of each licence is its whole text
+    bsd = [t for k, t in licenses.TEMPLATES if k.startswith("BSD") and "DAMAGE" in t]
+    files = [gpl, lgpl, gpl.replace("\n * ", " "), whole["GPL-2.0"], whole["LGPL-2.1"], whole["GPL-3.0"], bsd[0].replace("are met:", "are met:\n"), bsd[1].replace("are met:", "are met:\n"), "GNU GENERAL PUBLIC LICENSE", "x\n# SPDX-License-Identifier: GPL-2.0-or-later\ny", whole["ISC"]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(files)], "id long, text string")
+    got = {r.id: r.license for r in licenses.declared(df).collect()}
+    assert [got.get(k) for k in range(len(files))] == ["GPL-2.0", "LGPL-2.1", "GPL-2.0", "GPL-2.0", "LGPL-2.1", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", None, "GPL-2.0", "ISC"]
+
+
 def test_shards_are_exact_gapless_and_uniform(spark):
     df = spark.range(5003).select(F.col("id").alias("doc_id"), F.lit(1).alias("shard"))
     rows = shards.shuffle_into_shards(df, 8, seed=1).collect()
