@@ -116,6 +116,23 @@ def _(spark, sf_dir):
     return P.highpass_sweep(L.event_curves(spark, sf_dir), [2, 5], 1 / 24)
 
 
+@query(
+    "k6_highpass_sweep_full",
+    _LC.replace("lc AS (", "base AS (")
+    + "".join(_HP.format(k=k, d=d, least=8 * d, half=12 * d, rest=12 * d - 1) for k, d in enumerate((2, 5, 10, 20, 40), 1))
+    + ", lc AS ("
+    + " UNION ALL ".join(f"SELECT * FROM x{k} WHERE flux IS NOT NULL" for k in range(1, 6))
+    + ")"
+    + _DFT.replace("4 * span", "8 * span")
+    + """, pk AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b, max(power) OVER (PARTITION BY star_id) AS most FROM sp WINDOW w AS (PARTITION BY star_id ORDER BY g)),
+nm AS (SELECT star_id, round(1 / freq, 6) AS p0, round(power / most, 6) AS strength FROM pk WHERE power > a AND power > b),
+rk AS (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY strength DESC, p0 DESC) AS rank FROM nm)
+SELECT split_part(star_id, '|', 1) AS star_id, split_part(star_id, '|', 2)::DOUBLE AS window_days, 'acf_fft_hp' || split_part(star_id, '|', 2) || 'd' AS method, rank, p0, strength FROM rk WHERE rank <= 5""",
+)
+def _(spark, sf_dir):
+    return P.highpass_sweep(L.event_curves(spark, sf_dir), [2, 5, 10, 20, 40], 1 / 24)
+
+
 @query("k12_harmonics", f"{_CANDIDATES} SELECT star_id, method, rank, round(p0 * f, 6) AS p0, round(f, 6) AS factor FROM cand, (SELECT unnest([1.0::DOUBLE, 0.5, 2.0, 1.0::DOUBLE / 3, 3.0]) AS f) WHERE p0 * f BETWEEN 5 AND 60")
 def _(spark, sf_dir):
     pool = summary_candidates(spark, sf_dir).select("star_id", "method", "rank", "p0")

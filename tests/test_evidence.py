@@ -86,3 +86,9 @@ def test_fits_round_trip(spark, tmp_path):
     assert len(rows) == 4 and rows[3].error and rows[3].flux is None
     heads = {r.star_id: (r.PERIOD, r.BFLY, r.INCL) for r in fits.headers(spark, str(tmp_path), ["PERIOD", "BFLY", "INCL"]).collect()}
     assert heads == {"s1": (3.7, 0.0, None), "s2": (None, None, None)}
+
+
+def test_full_sweep_goes_on_to_long_windows_and_equals_sql(spark, sf_dir):
+    test_query_equals_sql(spark, sf_dir, "k6_highpass_sweep_full")
+    rows = catalogue.queries()["k6_highpass_sweep_full"](spark, sf_dir).select("window_days").distinct().collect()
+    assert sorted(r.window_days for r in rows) == [2.0, 5.0, 10.0, 20.0]  # at this scale no curve has enough points for 40 days
