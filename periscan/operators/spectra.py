@@ -14,6 +14,31 @@ def grid_of(stars: DataFrame, low: str, high: str, step: str) -> DataFrame:
     return stars.select("star_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(0).cast("long")))).alias("g"), F.expr(low).alias("f0"), F.expr(step).alias("df")).select("star_id", "g", (F.col("f0") + F.col("g") * F.col("df")).alias("freq"))
 
 
+def own_grid(lc: DataFrame, samples_per_peak: int = 1, max_period: float | None = None) -> DataFrame:
+    """(star_id, g, freq) from half of each star's time span, or ``max_period``, down to four median steps, ``samples_per_peak`` to a peak's width 1 / span.
+
+    Points without time or flux don't count; stars with fewer than ten, or of no span or step, have no grid.
+    """
+    points = finite_points(lc).select("star_id", "time")
+    step = F.col("time") - F.lag("time").over(Window.partitionBy("star_id").orderBy("time"))
+    stars = points.withColumn("dt", step).groupBy("star_id").agg(F.count("*").alias("n"), (F.max("time") - F.min("time")).alias("span"), F.expr("percentile(dt, 0.5)").alias("dt"))
+    stars = stars.where("n >= 10 and span > 0 and dt > 0").withColumns({"low": F.lit(1 / max_period) if max_period else 2 / F.col("span"), "step": 1 / (samples_per_peak * F.col("span"))})
+    stars = stars.withColumn("high", 1 / (4 * F.col("dt"))).where("high >= low")
+    return grid_of(stars, "low", "low + bround((high - low) / step) * step", "step")
+
+
+def finite_points(lc: DataFrame) -> DataFrame:
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("time", "flux")]
+    return lc.where(ok[0] & ok[1])
+
+
+def guess_lombscargle(lc: DataFrame, method: str = "lombscargle", n_guesses: int = 5, samples_per_peak: int = 1, max_period: float | None = None) -> DataFrame:
+    """Candidates of each star's periodogram on its own grid, with the power itself as strength."""
+    spectrum = lomb_scargle(finite_points(lc), own_grid(lc, samples_per_peak, max_period)).where(F.col("power").isNotNull())
+    top = spectrum.groupBy("star_id").agg(F.max("power").alias("most"))
+    return candidates(spectrum, method, n_guesses).join(top, "star_id").withColumn("strength", F.col("strength") * F.col("most")).drop("most")
+
+
 def lomb_scargle(lc: DataFrame, grid: DataFrame) -> DataFrame:
     """Standard power of a sine with a floating mean, by closed form from ten sums for each frequency."""
     mean = lc.groupBy("star_id").agg(F.avg("flux").alias("m"), F.min("time").alias("t0"))

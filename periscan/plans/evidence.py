@@ -189,6 +189,26 @@ def _(spark, sf_dir):
     return rounded(out, "power", "false_alarm")
 
 
+@query("k2_lombscargle_candidates")
+def _(spark, sf_dir):
+    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir)), "strength")
+
+
+@query("k4_lombscargle_short_candidates")
+def _(spark, sf_dir):
+    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir), "lombscargle_short", samples_per_peak=5, max_period=15.0), "strength")
+
+
+@query("k2_false_alarm_own_grid")
+def _(spark, sf_dir):
+    lc = K.finite_points(L.user_curves(spark, sf_dir))
+    spectrum = K.lomb_scargle(lc, K.own_grid(lc))
+    top = spectrum.groupBy("star_id").agg(F.max("power").alias("power"), F.max("freq").alias("f_max"))
+    points = lc.groupBy("star_id").agg(F.count("*").alias("n"), F.var_pop("time").alias("tv"))
+    out = top.join(points, "star_id").select("star_id", "power", E.false_alarm(F.col("power"), F.col("n"), F.col("tv"), F.col("f_max")).alias("false_alarm"))
+    return rounded(out, "power", "false_alarm")
+
+
 @query("p3_zero_candidates_p")
 def _(spark, sf_dir):
     summary = L.batch_summary(spark, sf_dir)

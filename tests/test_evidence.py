@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import periscan.plans.evidence  # noqa: F401
-from periscan.operators import evidence, pools
+from periscan.operators import evidence, pools, spectra
 from periscan.plans import catalogue
 from periscan.sources import fits
 
@@ -92,3 +92,32 @@ def test_full_sweep_goes_on_to_long_windows_and_equals_sql(spark, sf_dir):
     test_query_equals_sql(spark, sf_dir, "k6_highpass_sweep_full")
     rows = catalogue.queries()["k6_highpass_sweep_full"](spark, sf_dir).select("window_days").distinct().collect()
     assert sorted(r.window_days for r in rows) == [2.0, 5.0, 10.0, 20.0]  # at this scale no curve has enough points for 40 days
+
+
+def test_periodogram_on_each_stars_own_grid(spark):
+    import numpy as np
+
+    r, curves = np.random.default_rng(5), {}
+    for star, span, dt, period in (("long", 90.0, 0.25, 23.0), ("fast", 4.0, 0.01, 0.07), ("few", 9.0, 1.0, 3.0)):
+        t = np.arange(0, span, dt) + r.uniform(0, dt / 10, len(np.arange(0, span, dt)))
+        curves[star] = t, np.sin(2 * np.pi * t / period) + 0.1 * r.normal(size=len(t))
+    lc = spark.createDataFrame([(s, float(a), float(b)) for s, (t, y) in curves.items() for a, b in zip(t, y, strict=True)] + [("long", 9.5, None)], "star_id string, time double, flux double")
+    rows = spectra.guess_lombscargle(lc).collect()
+    for star, planted in (("long", 23.0), ("fast", 0.07)):
+        t, y = curves[star]
+        y, span, high = y - y.mean(), t.max() - t.min(), 1 / (4 * np.median(np.diff(t)))
+        grid = 2 / span + np.arange(1 + round((high - 2 / span) * span)) / span
+        power = []
+        for f in grid:
+            x = np.stack([np.ones_like(t), np.cos(2 * np.pi * f * t), np.sin(2 * np.pi * f * t)], 1)
+            power.append(1 - np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2) / np.sum(y * y))
+        tops = sorted(((power[k], 1 / grid[k]) for k in range(1, len(grid) - 1) if power[k] > power[k - 1] and power[k] > power[k + 1]), reverse=True)[:5]
+        got = sorted((x.rank, x.p0, x.strength) for x in rows if x.star_id == star)
+        assert abs(got[0][1] / planted - 1) < 0.2
+        assert len(got) == len(tops) and all(abs(p - q) < 2e-6 and abs(s - v) < 2e-6 for (_, p, s), (v, q) in zip(got, tops, strict=True))
+    assert not [x for x in rows if x.star_id == "few"]
+
+
+def test_own_grid_queries_have_rows(spark, sf_dir):
+    for name in ("k2_lombscargle_candidates", "k4_lombscargle_short_candidates", "k2_false_alarm_own_grid"):
+        assert catalogue.queries()[name](spark, sf_dir).count() > 0
