@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +36,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder and drops when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((back, path))
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of these tables. Call it once all that derives from them is written."""
+        for k, (df, path) in reversed(list(enumerate(self.paths))):
+            if any(df is t for t in tables):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                del self.paths[k]
+
+
+#: Rows of one or two longs that are broadcast at most: about 200 MB in each executor.
+BROADCAST_ROWS = 4_000_000
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of a few longs a row, marked for a broadcast if it has ``most`` rows or fewer; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
