@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,28 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+#: Rows of a batch between the JVM and a Python worker: the default of 10,000 whole texts takes too much memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have ``BATCH_ROWS`` rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def free() -> None:
+    """Hand freed memory back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20, max_rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the named text column holds about ``max_bytes`` in each part, whatever its texts' lengths."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = held = 0
@@ -32,5 +54,6 @@ def map_texts(df: DataFrame, column: str, add: Callable[[list], list[pa.Array]],
             for part in slices(batch, column):
                 made = add(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + made, names=names + [f.name for f in fields])
+        free()
 
-    return df.mapInArrow(run, ", ".join([*keep, schema]))
+    return small_batches(df).mapInArrow(run, ", ".join([*keep, schema]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periscan.session import materialize
+from periscan.session import Scratch
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60, settle: bool = True) -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, settle: bool =
     components, each named by one of its nodes.
     """
     e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    e = materialize(e, "links")
+    scratch = Scratch(links.sparkSession)
+    e = scratch.write(e, "links")
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +27,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, settle: bool =
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        e = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        last, e = e, scratch.write(small.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        scratch.drop(last)
         if not settle:
             continue
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -10,17 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from periscan.llm.arrow import small_batches
 from periscan.session import materialize
 
-#: Trees, leaves of each, and distinct vectors that they are fitted on at most (about).
-TREES, LEAVES, SAMPLE_ROWS = 8, 128, 16_384
+#: Trees, and leaves of each: at least the first number, then one for every ``LEAF_ROWS`` rows, up to the second.
+TREES, LEAVES, LEAF_ROWS, MOST_LEAVES = 8, 128, 8192, 4096
+#: Distinct vectors that the trees are fitted on at most (about), for each leaf.
+SAMPLE_ROWS = 128
 #: A search goes on until the leaves it has visited, over all trees, hold this multiple of the rows. Less is enough
-#: where vectors have structure; for vectors without any (64 random dimensions) 1.0 gives a recall of 0.95 and more.
-SEARCH_SHARE = 1.0
-#: Rows of a leaf that a task holds at a time; larger leaves are cut into blocks.
-BLOCK_ROWS = 8192
-#: Neighbours taken by the fast distance before the exact one decides.
-SHORTLIST = 32
+#: where vectors have structure; vectors without any (64 random dimensions) need more than 1.0 for a recall well above 0.9.
+SEARCH_SHARE = 1.4
+#: Rows of a leaf, and searches that visit it, that a task holds at a time; more are cut into blocks.
+BLOCK_ROWS, BLOCK_SEARCHES = 8192, 4096
+#: Exact distances computed at a time.
+EXACT_ROWS = 1 << 15
 
 
 class Forest:
@@ -116,7 +119,7 @@ def usable(vectors: DataFrame, vec_col: str) -> DataFrame:
     return vectors.where(v.isNotNull() & (F.size(v) > 0)).where(finite & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaves: int = LEAVES, share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", trees: int = TREES, leaves: int | None = None, share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 9) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` to each row of ``queries`` by Euclidean distance, without the row of the query's own id.
 
     Returns query_id, rank (from 1), vec_id, score (the distance in double
@@ -128,8 +131,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     they are; a point carries its ``k`` + 1 smallest ids, as no query can return
     more of them. The trees are fitted on a bounded sample; all points are put
     into a leaf of every tree. A query visits leaves in the order of one queue over
-    all trees; leaf blocks and the queries that visit them meet by a shuffle, and
-    only the best of each block go on to the final ranking.
+    all trees. The rows of a leaf and the searches that visit it are cut into blocks
+    of bounded size that meet by a shuffle, and only the best of each meeting go on
+    to the final ranking: all within rounding of the last of the k + 1 nearest are compared exactly.
     """
     spark = vectors.sparkSession
     clean = usable(vectors, vec_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -144,48 +148,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     points = materialize(points.select(F.get("ids", F.lit(0)).alias("point"), "ids", "h", "v"), "points")
 
     n = points.count()
-    sample = points.where(F.pmod(F.xxhash64("point", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30))).select("point", "v").collect()  # about sample_rows vectors
+    leaves = leaves or min(MOST_LEAVES, max(LEAVES, n // LEAF_ROWS))
+    # about sample_rows vectors for each leaf
+    sample = points.where(F.pmod(F.xxhash64("point", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, sample_rows * leaves / n) * (1 << 30))).select("point", "v").collect()
     sample = np.array([r["v"] for r in sorted(sample, key=lambda r: r["point"])] or points.select("v").limit(1).toPandas()["v"].tolist(), np.float64)
     forest = spark.sparkContext.broadcast(Forest(sample, trees, leaves, seed))
-    blocks = [max(1, int(np.ceil(s * n / BLOCK_ROWS))) for s in forest.value.shares]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k0 in range(0, batch.num_rows, 2048):
-                part = batch.slice(k0, 2048)
-                x = _matrix(part.column("v"))
-                leaf = forest.value.leaves_of(x)
-                ids = np.array(part.column("point").to_pylist(), np.int64)
-                for t in range(leaf.shape[1]):
-                    block = ids % np.array(blocks)[leaf[:, t]]
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[:, t]), pa.array(block), part.column("point"), pa.array([r.tobytes() for r in x], pa.binary())], names=["leaf", "block", "point", "x"])
+            found = forest.value.leaves_of(_matrix(batch.column("v")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k0 in range(0, batch.num_rows, 64):
                 part = batch.slice(k0, 64)
-                x = _matrix(part.column("v"))
-                rows = [(leaf, b, i, v.tobytes()) for i, v, found in zip(part.column("point").to_pylist(), x, forest.value.search(x, share), strict=True) for leaf in found for b in range(blocks[leaf])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["leaf", "block", "point", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forest.value.search(_matrix(part.column("v")), share), pa.list_(pa.int64()))], names=[*part.schema.names, "leaves"])
 
     def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
         names, types = ["q", "point", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not held.num_rows or not asked.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        x, q = (np.frombuffer(b"".join(t.column("x").to_pylist())).reshape(t.num_rows, -1) for t in (held, asked))
-        xi, qi = (t.column("point").to_numpy() for t in (held, asked))
+        x, q = _matrix(held.column("v")), _matrix(asked.column("v"))
+        xi, qi = held.column("point").to_numpy(), asked.column("point").to_numpy()
         norms = (x * x).sum(1)
         out = []
         for a in range(0, len(q), 256):
             y = q[a : a + 256]
-            rough = norms[None] - 2 * (y @ x.T)
-            m = min(len(x), max(SHORTLIST, 3 * (k + 1)))
-            short = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(x) else np.tile(np.arange(len(x)), (len(y), 1))
-            exact = np.sqrt(((x[short] - y[:, None]) ** 2).sum(2))
-            order = np.lexsort((xi[short], exact), axis=1)[:, : k + 1]
-            best = np.take_along_axis(short, order, 1)
-            out.append((np.repeat(qi[a : a + 256], best.shape[1]), xi[best].reshape(-1), np.take_along_axis(exact, order, 1).reshape(-1)))
+            squares = (y * y).sum(1)[:, None]
+            rough = norms[None] + squares - 2 * (y @ x.T)
+            last = min(k, len(x) - 1)
+            limit = np.partition(rough, last, axis=1)[:, last : last + 1]
+            slack = 8 * x.shape[1] * np.finfo(float).eps * (norms.max() + squares)
+            row, col = np.nonzero(rough <= limit + slack)
+            exact = np.concatenate([np.sqrt(((x[col[c : c + EXACT_ROWS]] - y[row[c : c + EXACT_ROWS]]) ** 2).sum(1)) for c in range(0, len(row), EXACT_ROWS)])
+            order = np.lexsort((xi[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            place_in_row = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place_in_row <= k
+            out.append((qi[a + row[best]], xi[col[best]], exact[best]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
 
     asked = usable(queries, vec_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("h", F.xxhash64("v"))
@@ -195,8 +196,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     inside = asked.where(F.col("point").isNotNull())
     outside = asked.where(F.col("point").isNull()).select("query_id", (-F.col("query_id") - 1).alias("point"), "v")
     searches = inside.select("point").distinct().join(points.select("point", "v"), "point").unionByName(outside.select("point", "v").distinct())
-    ddl = "leaf long, block long, point long, x binary"
-    met = points.select("point", "v").mapInArrow(place, ddl).groupBy("leaf", "block").cogroup(searches.mapInArrow(visit, ddl).groupBy("leaf", "block")).applyInArrow(meet, "q long, point long, score double")
+    ddl = "point long, v array<double>, leaves array<long>"
+    placed = small_batches(points.select("point", "v")).mapInArrow(place, ddl).select("point", "v", F.explode("leaves").alias("leaf"))
+    visits = materialize(searches.select("point", "v").mapInArrow(visit, ddl), "visits").select("point", "v", F.explode("leaves").alias("leaf"))
+    asked_of = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    layout = [(leaf, int(np.ceil(s * n / BLOCK_ROWS)) or 1, -(-asked_of[leaf] // BLOCK_SEARCHES)) for leaf, s in enumerate(forest.value.shares) if leaf in asked_of]
+    layout = F.broadcast(spark.createDataFrame(layout, "leaf long, blocks long, parts long"))
+    # A row of a leaf goes to one block of rows and all blocks of searches, a search the other way round.
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    some = lambda c: F.pmod(F.xxhash64("point"), F.col(c)).cast("long")
+    held_in = placed.join(layout, "leaf").select("leaf", some("blocks").alias("block"), every("parts").alias("part"), "point", "v")
+    asked_in = visits.join(layout, "leaf").select("leaf", every("blocks").alias("block"), some("parts").alias("part"), "point", "v")
+    keys = ["leaf", "block", "part"]
+    met = held_in.groupBy(*keys).cogroup(asked_in.groupBy(*keys)).applyInArrow(meet, "q long, point long, score double")
     best = Window.partitionBy("q").orderBy("score", "point")
     top = met.groupBy("q", "point").agg(F.min("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     expanded = top.join(points.select("point", "ids"), "point").select("q", "score", F.explode("ids").alias("vec_id"))

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from periscan.llm.arrow import map_texts, slices
+from periscan.llm.arrow import free, map_texts, slices, small_batches
 from periscan.llm.tokenize import encoder
 from periscan.session import materialize, shared_path, shuffle_partitions
 
@@ -28,8 +28,10 @@ HEAD, TAIL = 12, 4
 #: Data: flags (1 byte, bit 0: id is null), document id (8 bytes), bytes per token id (1 byte), token ids.
 DATA = "<BqB"
 MASK_DELTA = 0xA282EAD8
-#: Bytes that a reader holds at a time.
-READ_BYTES = 4 << 20
+#: Bytes that a reader holds at a time, and after which a writer begins another file.
+READ_BYTES, ROLL_BYTES = 4 << 20, 256 << 20
+#: A file's number is that of its range of ids, followed by so many bits for its place in the range.
+FILE_BITS = 24
 
 
 def masked(data: bytes) -> int:
@@ -63,15 +65,21 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def packed_ids(texts: list[str | None], tokenizer: str, end_id: int, plain: bool = False) -> tuple[list[bytes], int]:
+    """The ids of each whole text and the end id, as unsigned integers of the returned width: 16 bits if the vocabulary fits them, else 32."""
+    enc = encoder(tokenizer, plain)
+    end = np.array([end_id], "<u4").tobytes()
+    wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+    raw = (x + end for x in enc.encode(texts))
+    return [x if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw], 4 if wide else 2
+
+
 def encode_documents(texts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Replaces ``text`` by ids: those of each whole text and the end id, packed as unsigned 16-bit integers if the vocabulary fits them, else 32."""
+    """Replaces ``text`` by packed ids and their width."""
 
     def add(texts: list) -> list[pa.Array]:
-        enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        wide = max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
-        raw = (x + end for x in enc.encode(texts))
-        return [pa.array([x if wide else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw], pa.binary()), pa.array([4 if wide else 2] * len(texts), pa.int32())]
+        ids, width = packed_ids(texts, tokenizer, end_id)
+        return [pa.array(ids, pa.binary()), pa.array([width] * len(texts), pa.int32())]
 
     return map_texts(texts, "text", add, [pa.field("ids", pa.binary()), pa.field("width", pa.int32())], "ids binary, width int")
 
@@ -88,7 +96,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     """Encode whole texts and write them as framed records in ascending id order.
 
     Returns the offset index, a Parquet table beside the files with a row for
-    each record: doc_id, bucket (files in ascending order), path, ordinal,
+    each record: doc_id, file (in ascending order), path, ordinal,
     offset and length in bytes, n_tokens. A shuffled reader takes any rows of it
     and reads just those ranges (:func:`read_at`). Null ids come first; null and
     empty texts are records of the end id alone; equal ids are kept, in any order.
@@ -101,20 +109,21 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     placed = coded.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, bucket, path, at, ordinal = None, None, "", 0, 0
+        out, bucket, file, path, at, ordinal = None, None, 0, "", 0, 0
         system, where = store(folder)
         for batch in batches:
             rows = []
             for b, i, ids, width in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "ids", "width")), strict=True):
-                if b != bucket:
+                if b != bucket or at > ROLL_BYTES:
                     if out:
                         out.close()
+                    file = file + 1 if b == bucket else b << FILE_BITS
                     system.create_dir(where, recursive=True)
-                    name = f"part-{b:06d}-{uuid.uuid4().hex[:12]}.rec"
+                    name = f"part-{file:016d}-{uuid.uuid4().hex[:12]}.rec"
                     out, bucket, path, at, ordinal = system.open_output_stream(f"{where}/{name}", compression=None), b, f"{folder}/{name}", 0, 0
                 record = frame(struct.pack(DATA, i is None, i or 0, width) + ids)
                 out.write(record)
-                rows.append((i, b, path, ordinal, at, len(record), len(ids) // width))
+                rows.append((i, file, path, ordinal, at, len(record), len(ids) // width))
                 at, ordinal = at + len(record), ordinal + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), INDEX_TYPES, strict=True)] if rows else [pa.array([], t) for t in INDEX_TYPES], names=INDEX_NAMES)
         if out:
@@ -123,9 +132,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     return materialize(placed.mapInArrow(write, INDEX), "records-index")
 
 
-INDEX = "doc_id long, bucket int, path string, ordinal long, offset long, length long, n_tokens long"
+INDEX = "doc_id long, file long, path string, ordinal long, offset long, length long, n_tokens long"
 INDEX_NAMES = [x.split()[0] for x in INDEX.split(", ")]
-INDEX_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+INDEX_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def _decode(data: bytes) -> tuple[int | None, np.ndarray]:
@@ -136,16 +145,16 @@ def _decode(data: bytes) -> tuple[int | None, np.ndarray]:
 def read_records(index: DataFrame) -> DataFrame:
     """Read the files named in the index from front to back, checking every record.
 
-    Returns a row for each record: doc_id, bucket, start (ids before it in its
+    Returns a row for each record: doc_id, file, start (ids before it in its
     own file), n_tokens and ids_crc32 (of the ids as little-endian 32-bit
     integers). Each file is one unit of work and held a few MB at a time.
     """
-    files = index.groupBy("bucket", "path").agg(F.sum("length").alias("size"))
+    files = index.groupBy("file", "path").agg(F.sum("length").alias("size"))
     n = shuffle_partitions(index.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, path in zip(batch.column("bucket").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            for number, path in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
                 system, where = store(path)
                 start, rows, held, at = 0, [], b"", 0
                 with system.open_input_stream(where) as f:
@@ -161,7 +170,7 @@ def read_records(index: DataFrame) -> DataFrame:
                             continue
                         data, at = got
                         i, ids = _decode(data)
-                        rows.append((i, bucket, start, len(ids), zlib.crc32(ids.tobytes())))
+                        rows.append((i, number, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
                         if len(rows) >= 8192:
                             yield _batch(rows)
@@ -170,9 +179,9 @@ def read_records(index: DataFrame) -> DataFrame:
                     yield _batch(rows)
 
     def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "bucket", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5, strict=True)], names=["doc_id", "file", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartitionById(n, F.col("bucket") % n).select("bucket", "path").mapInArrow(read, "doc_id long, bucket int, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionById(n, ((F.shiftright("file", FILE_BITS) + F.col("file") % (1 << FILE_BITS)) % n).cast("int")).select("file", "path").mapInArrow(read, "doc_id long, file long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_at(index: DataFrame) -> DataFrame:
@@ -199,34 +208,36 @@ def read_at(index: DataFrame) -> DataFrame:
 def record_digests(index: DataFrame) -> DataFrame:
     """Per record: doc_id, start (ids of all records before it, over all files), n_tokens, ids_crc32."""
     # One row for each file: their number is that of the write's partitions, so the unpartitioned window and the broadcast stay small.
-    per_file = index.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    before = per_file.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    return read_records(index).join(F.broadcast(before), "bucket").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    per_file = index.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    before = per_file.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return read_records(index).join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write flat token files: nothing but ids, each document followed by the end-of-document id.
+    """Write flat token files: nothing but ids, each document followed by the end-of-document id. Added tokens in texts count as ordinary text, so that the end id is a separator only.
 
     Returns which document went where: doc_id, path, ordinal, width (bytes per id).
     """
-    spark = docs.sparkSession
-    folder = shared_path(spark, "flat")
-    coded = encode_documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, end_id)
+    folder = shared_path(docs.sparkSession, "flat")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = store(folder)
         out, path, ordinal = None, "", 0
         for batch in batches:
-            if out is None and batch.num_rows:
-                system.create_dir(where, recursive=True)
-                name = f"{uuid.uuid4().hex}-{os.getpid()}.bin"
-                out, path = system.open_output_stream(f"{where}/{name}", compression=None), f"{folder}/{name}"
-            for ids in batch.column("ids").to_pylist():
-                out.write(ids)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([path] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column("width")], names=["doc_id", "path", "ordinal", "width"])
-            ordinal += n
+            for part in slices(batch, "text"):
+                if out is None:
+                    system.create_dir(where, recursive=True)
+                    name = f"{uuid.uuid4().hex}-{os.getpid()}.bin"
+                    out, path = system.open_output_stream(f"{where}/{name}", compression=None), f"{folder}/{name}"
+                ids, width = packed_ids(part.column("text").to_pylist(), tokenizer, end_id, plain=True)
+                for x in ids:
+                    out.write(x)
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([path] * n, pa.string()), pa.array(range(ordinal, ordinal + n), pa.int64()), pa.array([width] * n, pa.int32())], names=["doc_id", "path", "ordinal", "width"])
+                ordinal += n
         if out:
             out.close()
+        free()
 
-    return materialize(coded.mapInArrow(write, "doc_id long, path string, ordinal long, width int"), "flat-map")
+    return materialize(small_batches(texts).mapInArrow(write, "doc_id long, path string, ordinal long, width int"), "flat-map")

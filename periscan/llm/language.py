@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from periscan.llm.arrow import map_texts
 
-#: Bounds of what a dictionary is fitted on: sampled documents of a language, characters of each, bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1024, 128 << 10
+#: Bounds of what a dictionary is fitted on: sampled documents of a language, and characters of each, taken at a place that a hash chooses. About 128 KB together.
+SAMPLE_DOCS, SAMPLE_CHARS = 512, 256
+#: Languages that a model has at most; the dictionaries of more would not fit in a driver's and each task's memory.
+MAX_LANGUAGES = 256
 #: Bytes compressed at a time; the dictionary counts for the start of a text as for its end.
 BLOCK_BYTES = 8 << 10
 LEVEL = 3
@@ -72,7 +74,7 @@ def normal(text: str) -> bytes:
 
 
 def has_letter(text: str) -> bool:
-    return bool(re.search(r"[^\W\d_]", text))
+    return any(m[0].isalpha() for m in re.finditer(r"[^\W\d_]", text))  # signs like a superscript two match, but are no letters
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -81,17 +83,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     Equal excerpts count once, so a group of copies doesn't fill a dictionary.
     Each half of the sample is then read with the dictionaries of the other half,
     and what that takes for another language (a wrong label, or a text in two
-    languages) is left out. Rows with a null language or text teach nothing.
+    languages) is left out. Rows with a null language or text teach nothing. More
+    than ``MAX_LANGUAGES`` languages are an error.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return Model({})
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(4.0 * sample_docs / n))])
     place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = (
         rows.where(place < share[F.col("lang")])
-        .select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .select("lang", F.substring(F.col("text"), 1 + F.pmod(F.xxhash64("id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
         .distinct()
         .select("lang", "text", F.xxhash64("text").alias("h"))
     )
@@ -109,7 +114,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 
 def _model(texts: dict[str, list[str]]) -> Model:
-    return Model({lang: normal("\n".join(xs))[-DICTIONARY_BYTES:] for lang, xs in texts.items() if xs})
+    return Model({lang: normal("\n".join(xs)) for lang, xs in texts.items() if xs})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -9,16 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periscan.llm.arrow import slices
+from periscan.llm.arrow import free, slices, small_batches
 from periscan.llm.components import connected_components
 from periscan.llm.shingles import band_keys, set_key, shingle_sets, super_minhash
-from periscan.session import materialize
+from periscan.session import Scratch, few
 
 #: At a similarity of 0.8, 24 bands of 4 values miss a pair with a chance of about 3 in a million.
 BANDS, ROWS = 24, 4
 #: A link needs SHARE[0] / SHARE[1] or more.
 SHARE = (80, 100)
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Longs of the bitmap kept for each set.
 BITMAP = 16
 
@@ -40,29 +40,35 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                     ],
                     names=["doc_id", "n_shingles", "set_key", "bands"],
                 )
+        free()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles, bits) of documents (doc_id, text); bits: by the parity of the number of shingles with each hash."""
+def full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles, bits) of (node, set_key, text), where the text has the set of that key; bits: by the parity of the number of shingles with each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                sets = [s.view(np.int64) for s in shingle_sets(part.column("text").to_pylist(), width)]
-                bits = [np.packbits(np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
+                found = [(n, s.view(np.int64)) for n, key, s in zip(part.column("node").to_pylist(), part.column("set_key").to_pylist(), shingle_sets(part.column("text").to_pylist(), width), strict=True) if set_key(s) == key]
+                bits = [np.packbits(np.bincount(s & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1).view(np.int64) for _, s in found]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
+        free()
 
-    return docs.mapInArrow(run, "node long, shingles array<long>, bits array<long>")
+    return small_batches(texts).mapInArrow(run, "node long, shingles array<long>, bits array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Of distinct pairs (u, v), those whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Of distinct, written pairs (u, v), those whose full sets are similar enough. Only sets that are in pairs travel."""
+    nodes = scratch.write(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "paired")
+    some = sets.join(few(nodes), "node", "left_semi")
+    a = some.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
+    b = some.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").where(share[1] * both >= share[0] * (F.size("su") + F.size("sv") - both)).select("u", "v")
+    links = scratch.write(pairs.join(a, "u").join(b, "v").where(share[1] * both >= share[0] * (F.size("su") + F.size("sv") - both)).select("u", "v"), "links")
+    scratch.drop(nodes, pairs)
+    return links
 
 
 def _may_link(n, o, share: tuple[int, int]):
@@ -101,41 +107,50 @@ def near_duplicates(
 
     Null or empty texts have no set, are linked with nothing and are kept. Rows
     with a null id come back with a null component and kept false. Rows of one id
-    are one node. Extra columns are left behind.
+    are one document: if their sets differ, those are linked, and each is compared on its own. Extra columns are left behind.
+
+    Texts travel only to where they are read; the sets of nodes that share a band are
+    the largest table. Tables are dropped as soon as nothing needs them.
     """
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(base, width, bands, rows), "signatures")
+    signed = scratch.write(signatures(base, width, bands, rows), "signatures")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    heads = filled.join(classes.select(F.col("set_key"), F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_key"])
+    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # Numbers given once, when the table is written.
+    classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    exploded = heads.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    exploded = classes.select("node", "n", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count("*").alias("held")).where("held > 1")
-    held = materialize(exploded.join(shared, "band"), "bands")
+    held = scratch.write(exploded.join(shared, "band"), "bands")
     # The text that others were made from shares bands with most of them, so it makes the best pivot.
     central = held.groupBy("node").agg(F.sum("held").alias("central"))
     weighed = held.join(central, "node")
-    lead = F.struct("central", F.xxhash64("node", "band"))
-    heads_of_bands = weighed.groupBy("band").agg(F.max_by("node", lead).alias("pivot"), F.max_by("n", lead).alias("pivot_n"), F.max("central").alias("pivot_central"))
-    members = materialize(held.join(heads_of_bands, "band").drop("held"), "members")
+    lead = F.struct("central", F.xxhash64("node", "band"), "node")
+    heads_of_bands = weighed.groupBy("band").agg(F.max_by(F.struct("node", "n"), lead).alias("p"), F.max("central").alias("pivot_central")).select("band", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "pivot_central")
+    members = scratch.write(held.join(heads_of_bands, "band").drop("held"), "members")
+    scratch.drop(held)
 
-    seen = members.select("node").distinct()
-    sets = materialize(full_sets(base.join(seen, base.doc_id == seen.node, "left_semi"), width).dropDuplicates(["node"]), "sets")
+    seen = scratch.write(members.select("node").distinct().join(classes.select("node", "least", "set_key"), "node"), "seen")
+    sources = base.join(few(seen), F.col("doc_id") == F.col("least")).select("node", "set_key", "text")
+    sets = scratch.write(full_sets(sources, width).dropDuplicates(["node"]), "sets")
+    scratch.drop(seen)
 
-    pivots = materialize(
+    pivots = scratch.write(
         members.where((F.col("node") != F.col("pivot")) & _may_link(F.col("n"), F.col("pivot_n"), share)).groupBy("node", "pivot").agg(F.count("*").alias("common"), F.max("pivot_central").alias("pivot_central")), "pivots"
     )
-    best = pivots.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot_central", "pivot")).alias("pivot"))
-    links = materialize(_verified(best.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, share), "links")
-    groups = materialize(connected_components(links, 2, settle=False), "groups")
+    best = scratch.write(pivots.groupBy("node").agg(F.max_by("pivot", F.struct("common", "pivot_central", "pivot")).alias("pivot")), "best")
+    first = _verified(scratch.write(best.select(F.col("node").alias("u"), F.col("pivot").alias("v")), "pairs"), sets, share, scratch)
+    groups = scratch.write(connected_components(first, 2, settle=False), "groups")
 
     def grouped(df: DataFrame, node: str, into: str) -> DataFrame:
         return df.join(groups.select(F.col("node").alias(node), F.col("component").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
 
     apart = grouped(grouped(pivots.select("node", "pivot"), "node", "g"), "pivot", "h").where("g <> h").join(best, ["node", "pivot"], "left_anti")
-    more = materialize(_verified(apart.select(F.col("node").alias("u"), F.col("pivot").alias("v")), sets, share), "links")
-    links = links.unionByName(more)
-    groups = materialize(connected_components(links, 2, settle=False), "groups")
+    more = _verified(scratch.write(apart.select(F.col("node").alias("u"), F.col("pivot").alias("v")), "pairs"), sets, share, scratch)
+    scratch.drop(pivots, best, groups)
+    links = first.unionByName(more)
+    groups = scratch.write(connected_components(links, 2, settle=False), "groups")
 
     placed = grouped(members.select("band", "node", "n", "pivot"), "node", "g")
     parts = placed.groupBy("band", "g").agg(F.count("*").alias("size"))
@@ -143,7 +158,8 @@ def near_duplicates(
     open_nodes = placed.join(mixed, "band")
     # Plain columns: array access would make the join's condition too long to be compiled.
     words = [F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(BITMAP)]
-    open_nodes = materialize(open_nodes.join(sets.select("node", *words), "node"), "open")
+    open_nodes = scratch.write(open_nodes.join(sets.select("node", *words), "node"), "open")
+    scratch.drop(members, groups)
 
     def side(x: str, *more: str) -> list:
         return ["band", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("g").alias(f"g{x}"), *(F.col(f"b{k}").alias(f"b{k}{x}") for k in range(BITMAP)), *more]
@@ -158,11 +174,19 @@ def near_duplicates(
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    last = materialize(_verified(materialize(fresh, "pairs"), sets, share), "links")
-    groups = connected_components(links.unionByName(last))
-
-    named = grouped(classes, "node", "component_id").select("set_key", "component_id")
-    # rows of one id may lie in several classes that links have not joined: they are one node
+    last = _verified(scratch.write(fresh, "pairs"), sets, share, scratch)
+    scratch.drop(open_nodes, sets)
+    # An id whose rows have several sets joins their nodes.
+    manifold = filled.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("doc_id", "one")
+    rows_of = filled.join(manifold, "doc_id").where("set_key <> one").select("one", "set_key").distinct()
+    node_of = classes.select("set_key", "node")
+    same_id = rows_of.join(node_of.withColumnRenamed("node", "u"), "set_key").join(node_of.select(F.col("set_key").alias("one"), F.col("node").alias("v")), "one").select("u", "v")
+    groups = scratch.write(connected_components(links.unionByName(last).unionByName(same_id)), "groups")
+
+    named = classes.select("set_key", "node", "least").join(groups, "node", "left")
+    smallest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("smallest"))
+    named = scratch.write(named.join(smallest, "component", "left").select("set_key", F.coalesce("smallest", "least").alias("component_id")), "named")
+    scratch.drop(first, more, last, groups, classes)
     out = signed.join(named, "set_key", "left")
     return out.select(
         "doc_id",

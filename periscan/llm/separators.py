@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periscan.llm.idfiles import store
-from periscan.session import shuffle_partitions
+from periscan.session import materialize, shuffle_partitions
 
 #: Tokens that a task searches at a time.
 BLOCK_TOKENS = 1 << 18
@@ -51,30 +51,24 @@ def scan(files: DataFrame, end_id: int, block_tokens: int = BLOCK_TOKENS) -> Dat
                     [pa.array([path]), pa.array([block], pa.int32()), pa.array([tokens], pa.int64()), pa.array([ends], pa.list_(pa.int64()))], names=["path", "block", "tokens", "ends"]
                 )
 
-    found = blocks.mapInArrow(search, "path string, block int, tokens long, ends array<long>")
+    # Searched once; the scan reads a few numbers for each block, and the separators themselves stay where they are.
+    found = materialize(blocks.mapInArrow(search, "path string, block int, tokens long, ends array<long>"), "separators")
     order = Window.partitionBy("path").orderBy("block")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    # The window carries the separators of a block along with its counts; a file's blocks are few and bounded by its size.
-    stitched = found.select(
+    last_end = F.when(F.size("ends") > 0, F.element_at("ends", -1))
+    counts = found.select("path", "block", "tokens", F.size("ends").alias("n"), last_end.alias("last_end"))
+    stitched = counts.select(
         "path",
-        "tokens",
-        "ends",
-        F.coalesce(F.sum(F.size("ends")).over(earlier), F.lit(0)).alias("docs_before"),
-        F.last(F.when(F.size("ends") > 0, F.element_at("ends", -1)), ignorenulls=True).over(earlier).alias("end_before"),
+        "block",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("docs_before"),
+        (F.coalesce(F.last("last_end", ignorenulls=True).over(earlier), F.lit(-1)) + 1).alias("begun"),
         F.lead("block").over(order).isNull().alias("is_last"),
     )
-    closed = stitched.select("path", "docs_before", "end_before", "ends", F.posexplode("ends").alias("k", "end")).select(
-        "path",
-        (F.col("docs_before") + F.col("k")).alias("ordinal"),
-        (F.coalesce(F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)), F.col("end_before"), F.lit(-1)) + 1).alias("start"),
-        F.col("end"),
-        F.lit(True).alias("closed"),
-    )
-    last_end = F.coalesce(F.when(F.size("ends") > 0, F.element_at("ends", -1)), F.col("end_before"), F.lit(-1))
-    rest = stitched.where(F.col("is_last") & (last_end + 1 < F.col("tokens"))).select(
-        "path", (F.col("docs_before") + F.size("ends")).alias("ordinal"), (last_end + 1).alias("start"), (F.col("tokens") - 1).alias("end"), F.lit(False).alias("closed")
-    )
-    return closed.unionByName(rest).select("path", "ordinal", "start", (F.col("end") - F.col("start") + 1).alias("n_tokens"), "closed")
+    whole = found.join(stitched, ["path", "block"])
+    rest = F.when(F.col("is_last") & (F.coalesce(last_end, F.col("begun") - 1) + 1 < F.col("tokens")), F.array(F.col("tokens") - 1)).otherwise(F.array().cast("array<long>"))
+    docs = whole.select("path", "docs_before", "begun", "ends", F.posexplode(F.concat("ends", rest)).alias("k", "end"))
+    start = F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1) + 1).otherwise(F.col("begun"))
+    return docs.select("path", (F.col("docs_before") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start + 1).alias("n_tokens"), (F.col("k") < F.size("ends")).alias("closed"))
 
 
 def flat_files(spark, folder: str, width: int) -> DataFrame:

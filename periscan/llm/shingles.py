@@ -15,9 +15,6 @@ VALUE_BITS = 40
 #: Cells (elements x signature length) of the permutations held at a time.
 STATE_CELLS = 4_000_000
 
-_powers: dict[str, np.ndarray] = {}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -26,32 +23,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: str, base: int, n: int) -> np.ndarray:
-    if len(_powers.get(which, ())) < n:
-        with np.errstate(over="ignore"):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+#: Bytes hashed at a time, whatever the lengths of texts and words.
+SEGMENT = 1 << 18
+
+
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        steps = np.full(SEGMENT, base, np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+
+UP, DOWN = _powers(BASE), _powers(INVERSE)
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and the number of words of each text.
 
-    Words are runs of bytes other than space and 09 to 0D; A-Z count as a-z.
+    Words are runs of bytes other than space and 09 to 0D; A-Z count as a-z. A word's hash
+    is a polynomial of its bytes, the difference of two running totals that go on from segment to segment.
     """
     parts = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
-    sizes = np.array([len(p) + 1 for p in parts], np.int64)
+    bounds = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
+    del parts
+    carry, up, down, blank_before = np.uint64(0), 1, 1, True
+    starts, ends, opened, closed = [], [], [], []
+    for at in range(0, len(data), SEGMENT):
+        piece = data[at : at + SEGMENT]
+        blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
+        edge = np.diff(np.concatenate(([blank_before], blank)).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        with np.errstate(over="ignore"):
+            total = np.empty(len(piece) + 1, np.uint64)
+            total[0] = carry
+            np.cumsum(piece * UP[: len(piece)], dtype=np.uint64, out=total[1:])
+            total[1:] = total[1:] * np.uint64(up) + carry
+            starts.append(start + at)
+            ends.append(end + at)
+            opened.append((total[start], DOWN[start] * np.uint64(down)))
+            closed.append(total[end])
+        carry, blank_before = total[-1], bool(blank[-1])
+        up, down = up * pow(BASE, SEGMENT, 1 << 64) % (1 << 64), down * pow(INVERSE, SEGMENT, 1 << 64) % (1 << 64)
+    first, last = np.concatenate(starts), np.concatenate(ends)
+    before, shift = (np.concatenate(x) for x in zip(*opened, strict=True))
     with np.errstate(over="ignore"):
-        total = np.cumsum(data.astype(np.uint64) * _power("up", BASE, len(data)) + np.uint64(0), dtype=np.uint64)
-        hashes = (total[ends - 1] - np.where(starts > 0, total[starts - 1], np.uint64(0))) * _power("down", INVERSE, len(data))[starts]
-        hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(BASE))
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+        hashes = mix((np.concatenate(closed) - before) * shift + (last - first).astype(np.uint64) * np.uint64(BASE))
+    return hashes, np.diff(np.searchsorted(first, bounds))
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:

@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Pieces kept in a worker before its memory of them is emptied.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 600_000
 #: Longer pieces are encoded but not kept.
 KEPT_LENGTH = 64
 
@@ -20,26 +20,30 @@ KEPT_LENGTH = 64
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\0")
 _ASCII_BLANKS = "\t\r\v\f\x1c\x1d\x1e\x1f"
 _OTHER_BLANK = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    """``plain``: added tokens such as an end-of-text mark count as ordinary text; otherwise the library finds them in texts, as it does by default."""
+
+    def __init__(self, path: str, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        #: A text that holds one of these is not cut, nor its pieces kept.
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before each single space or newline; whole if it has other blanks or runs of them."""
-        if any(r in text for r in _RUNS) or (any(c in text for c in _ASCII_BLANKS) if text.isascii() else _OTHER_BLANK.search(text)):
+        """The text cut before each single space or newline; whole if it has other blanks, runs of them or added tokens."""
+        if any(r in text for r in _RUNS) or any(t in text for t in self.added) or (any(c in text for c in _ASCII_BLANKS) if text.isascii() else _OTHER_BLANK.search(text)):
             return [text]
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
@@ -71,11 +75,11 @@ class PieceEncoder:
         return out
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain: bool = False) -> PieceEncoder:
     """The encoder of a vocabulary file, one for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = PieceEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 def vocabulary(name: str) -> str:

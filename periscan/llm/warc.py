@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from periscan.session import shared_path
+from periscan.session import few, materialize, shared_path
 
 MANIFEST = "_manifest.json"
-#: Bytes after which a writer begins another file, of a read, and of the headers decoded first.
-ROLL_BYTES, READ_BYTES, HEAD_BYTES = 256 << 20, 1 << 20, 4096
+#: Bytes after which a writer begins another file, of a read, of the headers decoded first, and of packed data unpacked at a time.
+ROLL_BYTES, READ_BYTES, HEAD_BYTES, PACKED_BYTES = 256 << 20, 1 << 20, 4096, 1 << 16
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
+#: Revisits (about 100 bytes each) that are broadcast at most, so that no payload is shuffled.
+MOST_REVISITS = 1_000_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns of a record, by the header that each is read from.
 HEADERS = {
@@ -154,60 +156,122 @@ class _Window:
 
 
 def _records(f, size: int, packed: bool, keeps, want_payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    """Offset, headers and payload of each record that ``keeps`` its headers. Records of one gzip member share its offset."""
     window, at = _Window(f, size), 0
     while at < size:
-        if packed:
-            length = _member_length(window, at)
-            n = HEAD_BYTES
-            while True:  # headers first: as few bytes as hold them
-                start = window.get(at, min(length or n, n, size - at))
-                text = zlib.decompressobj(31).decompress(start, n)
-                if (head := _head(text)) is not None:
-                    break
-                if n > 64 << 20 or (len(start) < n and len(text) < n):
-                    raise ValueError(f"record at {at} has no end of headers")
-                n *= 4
-            headers, begin = head
-            keep = keeps(headers)
-            payload = None
-            if length is None or (keep and want_payload):
-                whole, length = _inflate(window, at, length, size)
-                block = whole[begin : begin + int(headers["content-length"])]
-                payload = _payload(headers, block)
-            next_at = at + length
-        else:
-            n = HEAD_BYTES
-            while (head := _head(window.get(at, min(n, size - at)))) is None:
-                if n >= size - at:
-                    raise ValueError(f"record at {at} has no end of headers")
-                n *= 4
-            headers, begin = head
-            keep, length = keeps(headers), int(headers["content-length"])
-            payload = _payload(headers, window.get(at + begin, length)) if keep and want_payload else None
-            next_at = at + begin + length + 4
-        if keep:
-            yield at, headers, payload if want_payload else None
-        at = next_at
-
-
-def _member_length(window: _Window, at: int) -> int | None:
-    """The member's length as its extra field has it, if it does."""
-    head = window.get(at, 24)
+        if not packed:
+            text = _Plain(window, at)
+            yield from _read_record(text, at, keeps, want_payload)
+            at = text.place
+            continue
+        length, inner = _member_lengths(window, at)
+        text = _Inflated(window, at, size)
+        while not text.at_end():
+            began = text.place
+            head = _read_head(text, at)
+            total = text.place - began + int(head["content-length"]) + 4
+            if length and began == 0 and total == inner and not (want_payload and keeps(head)):
+                if keeps(head):  # the member's only record, and its payload is not wanted: it stays packed
+                    yield at, head, None
+                break
+            yield from _read_block(text, at, head, keeps, want_payload)
+        at = at + length if length else text.end_of_member()
+
+
+class _Plain:
+    """Bytes of a file from a place on."""
+
+    def __init__(self, window: _Window, place: int):
+        self.window, self.place = window, place
+
+    def peek(self, n: int) -> bytes:
+        return self.window.get(self.place, min(n, self.window.size - self.place))
+
+    def skip(self, n: int) -> None:
+        self.place += n
+
+    def at_end(self) -> bool:
+        return self.place >= self.window.size
+
+
+class _Inflated:
+    """The content of a gzip member, unpacked as far as it is asked for; what has been passed is dropped."""
+
+    def __init__(self, window: _Window, at: int, size: int):
+        self.window, self.at, self.size = window, at, size
+        self.packer, self.held, self.place = zlib.decompressobj(31), b"", 0
+
+    def peek(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n and not self.packer.eof and (self.packer.unconsumed_tail or self.at < self.size):
+            data = self.packer.unconsumed_tail
+            if not data:
+                data = self.window.get(self.at, min(PACKED_BYTES, self.size - self.at))
+                if not data:
+                    raise ValueError("a file is shorter than it was listed")
+                self.at += len(data)
+            parts.append(self.packer.decompress(data, max(n - have, 1 << 12)))
+            have += len(parts[-1])
+        self.held = b"".join(parts) if len(parts) > 1 else self.held
+        return self.held[:n]
+
+    def skip(self, n: int) -> None:
+        self.place += n
+        while n:
+            if not self.peek(min(n, READ_BYTES)):
+                raise ValueError("a record is cut short")
+            gone = min(n, len(self.held))
+            self.held, n = self.held[gone:], n - gone
+
+    def at_end(self) -> bool:
+        return not self.peek(1)
+
+    def end_of_member(self) -> int:
+        """Where the next member begins."""
+        while not self.packer.eof and self.peek(READ_BYTES):
+            self.held = b""
+        if not self.packer.eof:
+            raise ValueError("a member is cut short")
+        return self.at - len(self.packer.unused_data)
+
+
+def _read_head(text: _Plain | _Inflated, at: int) -> dict[str, str]:
+    """The headers of the record that comes next, as few bytes as hold them; the block comes after."""
+    n = HEAD_BYTES
+    while (head := _head(data := text.peek(n))) is None:
+        if len(data) < n:
+            raise ValueError(f"record at {at} has no end of headers")
+        n *= 4
+    text.skip(head[1])
+    return head[0]
+
+
+def _read_block(text: _Plain | _Inflated, at: int, head: dict[str, str], keeps, want_payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    n, kept = int(head["content-length"]), keeps(head)
+    payload = None
+    if kept and want_payload:
+        block = text.peek(n)
+        if len(block) < n:
+            raise ValueError(f"record at {at} is cut short")
+        payload = _payload(head, block)
+    text.skip(n)
+    text.skip(len(text.peek(4)))  # the blank lines after a record
+    if kept:
+        yield at, head, payload
+
+
+def _read_record(text: _Plain, at: int, keeps, want_payload: bool) -> Iterator[tuple[int, dict[str, str], bytes | None]]:
+    yield from _read_block(text, at, _read_head(text, at), keeps, want_payload)
+
+
+def _member_lengths(window: _Window, at: int) -> tuple[int, int]:
+    """The lengths of a member and of its content, as its extra field has them; zeros if it doesn't."""
+    head = window.get(at, min(24, window.size - at))
     if head[:4] == b"\x1f\x8b\x08\x04" and len(head) == 24:
-        _, name, n, total, _ = struct.unpack_from("<H2sHII", head, 10)
-        if name == b"sl" and n == 8 and total:
-            return total
-    return None
-
-
-def _inflate(window: _Window, at: int, length: int | None, size: int) -> tuple[bytes, int]:
-    """The content of a member and the member's length."""
-    unpack, parts, n = zlib.decompressobj(31), [], 0
-    while not unpack.eof and at + n < size:
-        data = window.get(at + n, min(length - n if length else READ_BYTES, size - at - n))
-        parts.append(unpack.decompress(data))
-        n += len(data) - len(unpack.unused_data)
-    return b"".join(parts), n
+        _, name, n, total, inner = struct.unpack_from("<H2sHII", head, 10)
+        if name == b"sl" and n == 8:
+            return total, inner
+    return 0, 0
 
 
 def _payload(headers: dict[str, str], block: bytes) -> bytes:
@@ -312,7 +376,8 @@ def archive_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: i
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("payload")).withColumns({"digest": F.sha1("payload"), "length": F.octet_length("payload").cast("long")})
     shared = rows.where((F.col("length") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("other")).where("first <> other").drop("other")
     # Ids and digests only: which pages revisit which.
-    revisits = rows.select("page_id", "digest").join(shared, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
+    revisits = rows.where("length >= %d" % least).select("page_id", "digest").join(shared, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
+    revisits = few(materialize(revisits, "revisits"), MOST_REVISITS)
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     told = rows.join(revisits, ["page_id", "digest"], "left")
     revisit = F.col("first").isNotNull()
@@ -333,16 +398,19 @@ def archive_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least: i
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per page of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to, from the headers alone."""
-    read = spark.read.format("warc").option("path", path).option("payload", "false").load().where(F.col("record_type").isin("response", "revisit"))
+    """Per page of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Length and digest of responses are those of the payloads read back, and a
+    payload that differs from its headers is an error; a revisit has no payload, so its headers count.
+    """
+    read = spark.read.format("warc").option("path", path).load().where(F.col("record_type").isin("response", "revisit"))
 
     def number(c: str):
         return F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
-    return read.select(
-        number("record_id").alias("page_id"),
-        F.col("payload_length").cast("long").alias("payload_bytes"),
-        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
+    told = F.struct(F.col("payload_length").cast("long").alias("n"), F.regexp_replace("payload_digest", "^sha1:", "").alias("digest"))
+    got = F.struct(F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("digest"))
+    checked = read.withColumns({"told": told, "got": got}).withColumn(
+        "seen", F.when(F.col("record_type") == "revisit", F.col("told")).when(F.col("got") == F.col("told"), F.col("got")).otherwise(F.raise_error(F.concat(F.lit("a payload differs from its headers: "), "record_id")))
     )
+    return checked.select(number("record_id").alias("page_id"), F.col("seen.n").alias("payload_bytes"), F.col("seen.digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))

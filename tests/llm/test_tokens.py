@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from periscan.llm import idfiles, pieces, separators
 from periscan.llm.tokenize import encoder, vocabulary
@@ -17,9 +18,11 @@ def docs(spark, texts=TEXTS):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
 
 
-def expected(texts, end):
-    enc = encoder(vocabulary("byte_bpe_50k.json"))
-    return [enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
+def expected(texts, end, plain=False):
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    if plain:
+        tokenizer.encode_special_tokens = True
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
 
 
 def test_cutting_does_not_change_ids():
@@ -28,6 +31,24 @@ def test_cutting_does_not_change_ids():
         assert enc.encode([t])[0] == enc.library([t])[0]
 
 
+def test_added_tokens_are_the_librarys(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "a", " b", "<|endof text|>"]
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for plain in (False, True):
+        tokenizer.encode_special_tokens = plain
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for _ in range(2):  # as new and as kept
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder(vocabulary("byte_bpe_50k.json"), plain).encode(texts)] == want
+
+
+def test_files_roll_within_a_range_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(idfiles, "ROLL_BYTES", 100)
+    index = idfiles.write_records(docs(spark, ["some words of a text"] * 40), vocabulary("byte_bpe_50k.json"), n_files=2)
+    got = idfiles.record_digests(index).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [k * 3 - 4 for k in range(40)]
+    assert [r.start for r in got] == [k * 6 for k in range(40)]
+
+
 def test_records_round_trip_in_order(spark):
     index = idfiles.write_records(docs(spark), vocabulary("byte_bpe_50k.json"), end_id=2)
     got = {r.doc_id: r for r in idfiles.record_digests(index).collect()}
@@ -58,7 +79,7 @@ def test_null_and_repeated_ids(spark):
 def test_separators_across_blocks(spark, block):
     got = {r.doc_id: r.n_tokens for r in separators.document_token_counts(docs(spark), vocabulary("byte_bpe_50k.json"), 50256, block).collect()} if block > 1 else None
     if got:
-        assert got == {k * 3 - 4: len(ids) for k, ids in enumerate(expected(TEXTS, 0))}
+        assert got == {k * 3 - 4: len(ids) for k, ids in enumerate(expected(TEXTS, 0, plain=True))}
 
 
 def test_separators_of_a_raw_file(spark, tmp_path):
