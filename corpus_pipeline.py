@@ -5,41 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periscan.session import shared_path, table
+from periscan.llm import decontaminate as leaks
+from periscan.llm import language, near, pieces
+from periscan.llm.tokenize import vocabulary
+from periscan.session import few, materialize, shared_path, table
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids``; few enough of those are broadcast, so that no text is shuffled. Null ids stay."""
+    return docs.join(few(materialize(ids, "gone")), "doc_id", "left_anti")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a margin; null, empty and letterless texts, and ties, go. lang stays as it was given."""
-    from periscan.llm.language import fit, fold, identify
-
-    model = fit(docs.where(fold() != 2))
-    return identify(docs, model).where("accepted").select(*DOCUMENT_COLUMNS)
+    model = language.fit(docs.where(language.fold() != 2))
+    return language.identify(docs, model).where("accepted").select(*DOCUMENT_COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    from periscan.llm.near import near_duplicates
-
-    gone = near_duplicates(docs, width=5).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    gone = near.near_duplicates(docs, width=5).where("doc_id is not null and not kept").select("doc_id").distinct()
+    return _without(docs, gone).select(*DOCUMENT_COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold items of ``benchmark``, verbatim or re-parameterised."""
-    from periscan.llm.decontaminate import find_leaks
-
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return _without(docs, found).select(*DOCUMENT_COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the piece ids of each whole text, and whether decoding them gives the text again."""
-    from periscan.llm.pieces import encode_checked
-    from periscan.llm.tokenize import vocabulary
-
-    return encode_checked(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "lang", "source", "n_pieces", "pieces_crc32", "same", "ids")
+    return pieces.encode_checked(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "lang", "source", "n_pieces", "pieces_crc32", "same", "ids")
 
 
 STAGES = [
