@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
+from periscan.operators.per_star import per_star
 
-def acf(lc: DataFrame, dt: float, max_lag_frac: float = 1 / 3, min_valid_frac: float = 0.3) -> DataFrame:
-    """(star_id, k, lag, acf, n_pairs): the mean product of pairs ``k`` apart, over that of k = 0.
 
-    The pairs come from a join on star and number, so each star's lags are summed
-    where its rows are. Lags end at ``max_lag_frac`` of the span, and before the
-    first with less than ``min_valid_frac`` of the points in pairs, unless fewer
-    than ten would be left.
+def correlate(x: np.ndarray) -> np.ndarray:
+    """Sums of the products of all pairs k apart, for every k, by a padded transform."""
+    size = 1 << (2 * len(x) - 1).bit_length()
+    return np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: len(x)]
+
+
+def acf(lc: DataFrame, dt: float, max_lag_frac: float = 1 / 3, min_valid_frac: float = 0.3, gaps: bool = True) -> DataFrame:
+    """(star_id, k, lag, acf, n_pairs): the mean product of pairs ``k`` cadences apart, over that of k = 0.
+
+    Two transforms for each star give the sums of products and the numbers of
+    pairs. Lags end at ``max_lag_frac`` of the span, and before the first with
+    less than ``min_valid_frac`` of the points in pairs, unless fewer than ten
+    would be left. With ``gaps`` false, sums are not divided by their numbers of
+    pairs, so that long lags fade. Curves of one value have no autocorrelation.
     """
-    valid = lc.where("flux is not null")
-    stats = valid.groupBy("star_id").agg(F.avg("flux").alias("m"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("n0"), F.avg(F.col("flux") * F.col("flux")).alias("m2"))
-    x = valid.join(stats, "star_id").select("star_id", "i", (F.col("flux") - F.col("m")).alias("x"), F.floor((F.col("hi") - F.col("lo")) * max_lag_frac + 1e-9).cast("long").alias("most"), "n0")
-    other = x.select("star_id", F.col("i").alias("j"), F.col("x").alias("y"))
-    shifted = x.select("star_id", "i", "x", "n0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("k")).withColumn("j", F.col("i") + F.col("k"))
-    raw = shifted.join(other, ["star_id", "j"]).groupBy("star_id", "k").agg(F.avg(F.col("x") * F.col("y")).alias("c"), F.count("*").alias("n_pairs"), F.max("n0").alias("n0"))
-    star = Window.partitionBy("star_id")
-    cut = F.min(F.when(F.col("n_pairs") < min_valid_frac * F.col("n0"), F.col("k"))).over(star)
-    marked = raw.withColumns({"c0": F.max(F.when(F.col("k") == 0, F.col("c"))).over(star), "cut": cut})
-    few = F.coalesce(F.col("cut"), F.lit(10)) < 10
-    kept = marked.where(few | F.col("cut").isNull() | (F.col("k") < F.col("cut")))
-    return kept.select("star_id", "k", (F.col("k") * dt).alias("lag"), (F.col("c") / F.col("c0")).alias("acf"), "n_pairs")
+
+    def run(i: np.ndarray, flux: np.ndarray) -> list[np.ndarray]:
+        ok = np.isfinite(flux)
+        i, flux = i[ok].astype(np.int64), flux[ok]
+        if not len(i):
+            return [np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
+        at = i - i.min()
+        x, held = np.zeros(at.max() + 1), np.zeros(at.max() + 1)
+        x[at], held[at] = flux - flux.mean(), 1.0
+        most = int(np.floor(at.max() * max_lag_frac + 1e-9)) + 1
+        pairs = np.rint(correlate(held))[:most]
+        raw = correlate(x)[:most]
+        value = np.divide(raw, pairs, out=np.full(most, np.nan), where=pairs > 0) if gaps else raw
+        low = np.flatnonzero(pairs < min_valid_frac * pairs[0])
+        keep = np.arange(most) < (low[0] if len(low) and low[0] >= 10 else most)
+        keep &= (pairs > 0) & (abs(x).max() > 0)
+        k = np.flatnonzero(keep)
+        return [k, k * dt, value[k] / value[0] if len(k) else np.zeros(0), pairs[k].astype(np.int64)]
+
+    return per_star(lc, ["i", "flux"], run, "k long, lag double, acf double, n_pairs long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periscan.session import materialize, shuffle_partitions
+
 # Labelled bands of periods in days, open below and closed above.
 BANDS = [0, 1, 10, 20, 50]
 
@@ -59,30 +61,122 @@ def restricted(summary: DataFrame, cutoff: float) -> DataFrame:
     return summary.where(F.col("period") <= cutoff).groupBy("star_id").agg(F.sum("found").alias("n_methods_found"), F.max("found").alias("found_by_any"), F.max("period").alias("period"), F.max("activity").alias("activity"))
 
 
-def average_rank(df: DataFrame, column: str, into: str, spread: int = 64) -> DataFrame:
-    """Adds average ranks (ties share the mean of theirs), by counts of distinct values and sums over ranges of them instead of one global order.
-
-    The distinct values are dealt to ranges; each range is numbered on its own and starts after the rows of the ranges below.
-    """
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranged = values.repartitionByRange(spread, column).withColumn("part", F.spark_partition_id())
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("t"))
-    before = totals.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("before"))
-    inner = F.sum("n").over(Window.partitionBy("part").orderBy(column))
-    ranks = ranged.join(F.broadcast(before), "part").select(column, (F.col("before") + inner - F.col("n") + (F.col("n") + 1) / 2).alias(into))
-    return df.join(ranks, column)
-
-
 def spearman(df: DataFrame, parameters: list[str], against: str) -> DataFrame:
     """Rank correlation of each parameter with ``against``."""
-    out = None
-    for p in parameters:
-        both = df.where(F.col(p).isNotNull() & F.col(against).isNotNull()).select(p, against)
-        r = average_rank(average_rank(both, p, "rp"), against, "ra").agg(F.corr("rp", "ra").alias("spearman_rho")).select(F.lit(p).alias("parameter"), "spearman_rho")
-        out = r if out is None else out.unionByName(r)
-    return out
+    return rank_correlations(df, parameters, against).drop("n")
 
 
 def rate_by_width(summary: DataFrame, column: str, width: float) -> DataFrame:
-    """Hit rate and count in bins of equal width, by method."""
-    return summary.groupBy("method", F.floor(F.col(column) / width).alias("bin")).agg(F.avg("found").alias("hit_rate"), F.count("*").alias("n"))
+    """Hit rate and count in bins of equal width from 0, open below and closed above, by method."""
+    inside = summary.where(F.col(column) > 0)
+    return inside.groupBy("method", (F.ceil(F.col(column) / width) - 1).alias("bin")).agg(F.avg("found").alias("hit_rate"), F.count("*").alias("n"))
+
+
+def cut(x: Column, edges: Column) -> Column:
+    """The number (from 0) of the bin, open below and closed above, that holds ``x``; null outside, so the lowest edge lies in none."""
+    below = F.size(F.filter(edges, lambda e: e < x))
+    return F.when((below > 0) & (below < F.size(edges)), below - 1)
+
+
+def even_edges(low: Column, high: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: low + (high - low) * k / n)
+
+
+def geometric_edges(low: Column, high: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: low * F.pow(high / low, k / n))
+
+
+def unpivoted(df: DataFrame, parameters: list[str], *keep: str) -> DataFrame:
+    """(parameter, x) rows of the named columns, beside the kept ones; null values are left out."""
+    pairs = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(p).cast("double").alias("x")) for p in parameters))
+    return df.select(*keep, F.inline(pairs)).where("x is not null")
+
+
+def ceilings(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Hit rates at or below each method's structural ceiling of the period, and above it. Methods without rows have counts of zero."""
+    known = summary.sparkSession.createDataFrame(sorted(limits.items()), "method string, predicted_cutoff_days double")
+    low = F.col("period") <= F.col("predicted_cutoff_days")
+    joined = F.broadcast(known).join(summary.select("method", "period", "found"), "method", "left")
+    return joined.groupBy("method", "predicted_cutoff_days").agg(
+        F.avg(F.when(low, F.col("found"))).alias("hit_rate_below"),
+        F.count_if(low).alias("n_below"),
+        F.avg(F.when(~low, F.col("found"))).alias("hit_rate_above"),
+        F.count_if(~low).alias("n_above"),
+    )
+
+
+def zero_candidate_correlations(summary: DataFrame, parameters: list[str], is_zero: Column) -> DataFrame:
+    """By method and parameter: point-biserial correlation with finding nothing, the rate of that, medians and counts, in one pass. Methods that always find something are left out."""
+    z = unpivoted(summary.withColumn("z", is_zero.cast("int")), parameters, "method", "z")
+    out = z.groupBy("method", "parameter").agg(
+        F.corr("z", "x").alias("point_biserial_r"),
+        F.avg("z").alias("zero_candidate_rate"),
+        F.expr("percentile(x, 0.5) filter (where z = 1)").alias("median_when_zero"),
+        F.expr("percentile(x, 0.5) filter (where z = 0)").alias("median_when_nonzero"),
+        F.count("*").alias("n"),
+    )
+    return out.where("zero_candidate_rate > 0")
+
+
+def zero_rate_by_activity(summary: DataFrame, stars: DataFrame, methods: list[str], is_zero: Column, n_bins: int = 8, least: float = 0.01) -> DataFrame:
+    """How often each of ``methods`` finds nothing, in geometric bins of activity over the given stars."""
+    sub = summary.join(stars.select("star_id"), "star_id", "left_semi")
+    ends = sub.agg(F.greatest(F.min("activity"), F.lit(least)).alias("lo"), F.max("activity").alias("hi"))  # one row
+    binned = sub.where(F.col("method").isin(methods)).crossJoin(F.broadcast(ends)).withColumn("bin", cut(F.col("activity"), geometric_edges(F.col("lo"), F.col("hi"), n_bins)))
+    return binned.where("bin is not null").groupBy("method", "bin").agg(F.avg(is_zero.cast("int")).alias("zero_rate"), F.count("*").alias("n"))
+
+
+def found_by_star(summary: DataFrame, methods: list[str], absent: bool = True) -> DataFrame:
+    """A row for each star: n_methods_found and found_by_any over ``methods``; a method without a row for the star counts as ``absent`` (found, in the definition that this follows)."""
+    wide = summary.groupBy("star_id").pivot("method", methods).agg(F.first("found"))
+    cells = [F.coalesce(F.col(f"`{m}`").cast("int"), F.lit(int(absent))) for m in methods]
+    total = cells[0]
+    for c in cells[1:]:
+        total = total + c
+    return wide.select("star_id", total.alias("n_methods_found"), (total > 0).alias("found_by_any"))
+
+
+def sweeps(stars: DataFrame, parameters: list[str], label: str, n_bins: int, bands: bool = False, least: int = 10, low: float | None = None) -> DataFrame:
+    """The rate of ``label`` in ``n_bins`` even bins of each parameter, from its least value (or ``low``) to its largest.
+
+    With ``bands``, by band of the column ``period`` too, over the same bins; bands of fewer than ``least`` stars are left out.
+    """
+    keep = ["band", label] if bands else [label]
+    if bands:
+        stars = stars.withColumn("band", band_of(F.col("period"))).where("band is not null")
+        sizes = stars.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    long = unpivoted(stars, parameters, *keep)
+    ends = long.groupBy("parameter").agg((F.lit(low) if low is not None else F.min("x")).alias("lo"), F.max("x").alias("hi"))  # a row for each parameter
+    binned = long.join(F.broadcast(ends), "parameter").withColumn("bin", cut(F.col("x"), even_edges(F.col("lo"), F.col("hi"), n_bins))).where("bin is not null")
+    if bands:
+        binned = binned.join(F.broadcast(sizes), "band")
+    return binned.groupBy("parameter", *keep[:-1], "bin").agg(F.avg(F.col(label).cast("int")).alias("rate"), F.count("*").alias("n"))
+
+
+def rank_correlations(df: DataFrame, parameters: list[str], against: str, spread: int | None = None) -> DataFrame:
+    """Spearman's rho of each parameter with ``against`` over the rows that have both: (parameter, spearman_rho, n), all parameters in one pass.
+
+    Only counts of distinct values are ordered, dealt to ranges that are written once, and each range starts after the rows of those below.
+    """
+    spread = spread or shuffle_partitions(df.sparkSession)
+    long = unpivoted(df.where(F.col(against).isNotNull()).withColumn("__y", F.col(against).cast("double")), parameters, "__y")
+    cells = materialize(long.groupBy("parameter", "x", F.col("__y").alias("y")).agg(F.count("*").alias("n")), "cells")
+
+    def ranks(of: str, into: str) -> DataFrame:
+        values = cells.groupBy("parameter", of).agg(F.sum("n").alias("m"))
+        ranged = materialize(values.repartitionByRange(spread, "parameter", of).withColumn("part", F.spark_partition_id()), "ranged")
+        totals = ranged.groupBy("parameter", "part").agg(F.sum("m").alias("t"))
+        before = totals.select("parameter", "part", (F.sum("t").over(Window.partitionBy("parameter").orderBy("part")) - F.col("t")).alias("before"))
+        inner = F.sum("m").over(Window.partitionBy("parameter", "part").orderBy(of))
+        # at most ``spread`` rows for each parameter
+        return ranged.join(F.broadcast(before), ["parameter", "part"]).select("parameter", of, (F.col("before") + inner - F.col("m") + (F.col("m") + 1) / 2).alias(into))
+
+    both = cells.join(ranks("x", "rx"), ["parameter", "x"]).join(ranks("y", "ry"), ["parameter", "y"])
+    sums = both.groupBy("parameter").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.expr(e)).alias(a) for a, e in {"a": "rx", "b": "ry", "aa": "rx * rx", "bb": "ry * ry", "ab": "rx * ry"}.items()))
+    rho = F.expr("(ab - a * b / n) / nullif(sqrt((aa - a * a / n) * (bb - b * b / n)), 0)")
+    return sums.select("parameter", rho.alias("spearman_rho"), "n")
+
+
+def star_totals(summary: DataFrame) -> DataFrame:
+    """Per star over all methods: candidates, whether any found the period, and the period."""
+    return summary.groupBy("star_id").agg(F.sum("n_candidates").alias("n_candidates"), (F.max("found") > 0).alias("found"), F.first("period").alias("period"))

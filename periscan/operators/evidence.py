@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periscan.operators.per_star import per_star
 from periscan.operators.spectra import PI2, local_maxima
 
 #: Ratios of periods that count as harmonics of each other, tried in this order.
@@ -84,7 +86,12 @@ def peak_prominence(series: DataFrame, places: DataFrame, search_frac: float = 0
     return places.join(sides.withColumn("h_rise", rise), keys, "left")
 
 
-def competition(fits: DataFrame, rel_tol: float = 0.03, harmonic_tol: float = 0.05) -> DataFrame:
+def composite_prominence(series: DataFrame, fits: DataFrame) -> DataFrame:
+    """g_height and h_rise of each fit (star_id, p, t0): the prominence of the autocorrelation's peak at its own phase."""
+    return peak_prominence(series, fits.select("star_id", "p", F.col("t0").alias("at")).distinct()).withColumnRenamed("at", "t0")
+
+
+def competition(fits: DataFrame, rel_tol: float = 0.03, harmonic_tol: float = 0.03) -> DataFrame:
     """How each fit (star_id, cand_id, p, redchi) stands among its star's others.
 
     Adds n_agreeing, best_competing_redchi (the least among fits whose period is further than
@@ -134,13 +141,18 @@ def band_power(lc: DataFrame, fractions: tuple[float, ...] = (1 / 2, 1 / 8, 1 /
     The mean goes, gaps are zero, a Hann window is laid over the whole span, and the
     spectrum has two frequencies for each independent one; the constant term is left out. Null below twenty points.
     """
-    valid = lc.where("flux is not null")
-    stats = valid.groupBy("star_id").agg(F.avg("flux").alias("m"), F.min("i").alias("lo"), (F.max("i") - F.min("i") + 1).alias("n"), F.count("*").alias("points"))
-    y = valid.join(stats, "star_id").select("star_id", (F.col("i") - F.col("lo")).alias("k"), "n", ((F.col("flux") - F.col("m")) * (0.5 - 0.5 * F.cos(PI2 * (F.col("i") - F.col("lo")) / (F.col("n") - 1)))).alias("y"))
-    grid = stats.where("points >= 20").select("star_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
-    angle = PI2 * F.pmod(F.col("j") * F.col("k"), 2 * F.col("n")) / (2 * F.col("n"))  # whole turns are taken out in integers
-    at = grid.join(y, "star_id").withColumn("a", angle)
-    power = at.groupBy("star_id", "j", "n").agg(F.sum(F.col("y") * F.cos("a")).alias("re"), F.sum(F.col("y") * F.sin("a")).alias("im")).withColumn("power", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    total = F.nullif(F.sum("power"), F.lit(0.0))
-    shares = power.groupBy("star_id").agg(*((F.sum(F.when(F.col("j") >= f * F.col("n"), F.col("power")).otherwise(0.0)) / total).alias(f"band_{k + 1}") for k, f in enumerate(fractions)))
-    return stats.select("star_id").join(shares, "star_id", "left")
+
+    def run(i: np.ndarray, flux: np.ndarray) -> list[list[float]]:
+        ok = np.isfinite(flux)
+        i, flux = i[ok].astype(np.int64), flux[ok]
+        if len(i) < 20:
+            return [[np.nan] for _ in fractions]
+        at = i - i.min()
+        n = int(at.max()) + 1
+        y = np.zeros(n)
+        y[at] = (flux - flux.mean()) * (0.5 - 0.5 * np.cos(PI2 * at / (n - 1)))
+        power = np.abs(np.fft.rfft(y, 2 * n))[1:] ** 2
+        total, j = power.sum(), np.arange(1, n + 1)
+        return [[power[j >= f * n].sum() / total if total > 0 else np.nan] for f in fractions]
+
+    return per_star(lc, ["i", "flux"], run, ", ".join(f"band_{k + 1} double" for k in range(len(fractions))))

@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periscan.operators.acf import acf
+from periscan.operators.benchmark import cut, geometric_edges
 from periscan.operators.series import highpass
-from periscan.operators.spectra import candidates, dft_power, grid_of
-from periscan.session import materialize
+from periscan.operators.spectra import guess_acf_fft
 
 #: Factors by which a pool of periods may be widened.
 FACTORS = [1.0, 0.5, 2.0, 1 / 3, 3.0]
 
 
-def highpass_sweep(lc: DataFrame, windows_days: list[float], dt: float, n_guesses: int = 5, f_low: str = "2 / span", f_high: str = "6.0D", step: str = "1 / (8 * span)") -> DataFrame:
+#: Windows of the sweep, in days.
+WINDOWS = [2.0, 5.0, 10.0, 20.0, 40.0]
+
+
+def highpass_sweep(lc: DataFrame, dt: float, windows_days: list[float] = WINDOWS, n_guesses: int = 5, max_period: float = 50.0, oversample: int = 8, **acf_options) -> DataFrame:
     """Candidates from the autocorrelation's spectrum after each of several high-pass windows, ranked within star and window.
 
     All windows go through one autocorrelation and one spectrum, keyed by star and
@@ -22,13 +26,15 @@ def highpass_sweep(lc: DataFrame, windows_days: list[float], dt: float, n_guesse
     """
     keyed = None
     for days in windows_days:
-        one = highpass(lc, round(days / dt)).select(F.struct("star_id", F.lit(float(days)).alias("window")).alias("star_id"), "i", "time", "flux")
+        one = highpass(lc, round(days / dt)).select(F.struct("star_id", F.nullif(F.lit(float(days)), F.lit(-1.0)).alias("window")).alias("star_id"), "i", "flux")
         keyed = one if keyed is None else keyed.unionByName(one)
-    series = materialize(acf(keyed, dt), "sweep-acf")  # read for its grid and for its values
-    grid = grid_of(series.groupBy("star_id").agg(F.max("lag").alias("span")), f_low, f_high, step)
-    found = candidates(dft_power(series, grid), "acf_fft_hp", n_guesses)
-    name = F.concat(F.lit("acf_fft_hp"), F.regexp_replace(F.col("star_id.window").cast("string"), r"\.0$", ""), F.lit("d"))
-    return found.select(F.col("star_id.star_id").alias("star_id"), F.col("star_id.window").alias("window_days"), name.alias("method"), "rank", "p0", "strength")
+    found = guess_acf_fft(acf(keyed, dt, **acf_options), "acf_fft_hp", n_guesses, max_period=max_period, oversample=oversample)
+    return found.select(F.col("star_id.star_id").alias("star_id"), F.col("star_id.window").alias("window_days"), method_of(F.col("star_id.window")).alias("method"), "rank", "p0", "strength")
+
+
+def method_of(window: Column) -> Column:
+    """The name of the sweep's method at a window, without a trailing zero."""
+    return F.concat(F.lit("acf_fft_hp"), F.regexp_replace(window.cast("string"), r"\.0$", ""), F.lit("d"))
 
 
 def window_of(method: Column) -> Column:
@@ -76,11 +82,12 @@ def rank_histogram(matched: DataFrame, ranks: int = 5) -> DataFrame:
     return grid.join(counts, ["method", "rank_of_true_period"], "left").na.fill(0, ["n"])
 
 
-def rate_by_factor(summary: DataFrame, column: str, lowest: float, factor: float) -> DataFrame:
-    """Hit rate and count by method in bins whose edges grow by ``factor`` from ``lowest``; smaller values join the first bin."""
+def rate_by_factor(summary: DataFrame, column: str, lowest: float, n_bins: int = 8) -> DataFrame:
+    """Hit rate and count by method in geometric bins from the least value (``lowest`` at least) to the largest, open below and closed above."""
     x = F.greatest(F.col(column), F.lit(lowest))
-    at = F.floor(F.round(F.log(x / lowest) / F.log(F.lit(factor)), 9)).cast("long")
-    return summary.where(F.col(column).isNotNull()).groupBy("method", at.alias("bin")).agg(F.avg("found").alias("hit_rate"), F.count("*").alias("n"))
+    ends = summary.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))  # one row
+    binned = summary.where(F.col(column).isNotNull()).crossJoin(F.broadcast(ends)).withColumn("bin", cut(x, geometric_edges(F.col("lo"), F.col("hi"), n_bins)))
+    return binned.where("bin is not null").groupBy("method", "bin").agg(F.avg("found").alias("hit_rate"), F.count("*").alias("n"))
 
 
 def sigma_clip(df: DataFrame, column: str, below: float = 2.5, above: float = 3.0, rounds: int = 5) -> DataFrame:
@@ -92,3 +99,29 @@ def sigma_clip(df: DataFrame, column: str, below: float = 2.5, above: float = 3.
         off = F.col(column) - F.col("middle")
         kept = spread.where((off >= -below * F.col("sigma")) & (off <= above * F.col("sigma"))).drop("middle", "sigma")
     return kept
+
+
+def pool_union(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The distinct (star_id, p0) of two pools."""
+    return first.select("star_id", "p0").unionByName(second.select("star_id", "p0")).distinct()
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key; order decides."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def sector_lists(lists: DataFrame, last: int = 13) -> DataFrame:
+    """Distinct lists of sectors up to ``last``, in the order in which they first occur, of (i, sectors: text such as "[1, 2]")."""
+    parsed = lists.select("i", F.filter(F.from_json("sectors", "array<int>"), lambda x: x <= last).alias("sectors"))
+    return parsed.groupBy("sectors").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+
+
+def attach(rows: DataFrame, parameters: DataFrame, key: str = "star_id") -> DataFrame:
+    """Rows with the columns of their star; where names clash, the star's win."""
+    return rows.drop(*(c for c in parameters.columns if c != key)).join(parameters, key, "left")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of the same candidates as one, matched by key instead of by position."""
+    return left.join(right, keys)

@@ -54,22 +54,64 @@ def candidate_gaps(lc: DataFrame, roll_window: int = 9, baseline_points: int = 2
     return islands(rolled, F.col("roll") < thresh * F.col("baseline"), min_width)
 
 
+def trailing_std(lc: DataFrame, window: int = 20, into: str = "roll") -> DataFrame:
+    """Sample standard deviation of the last ``window`` points; null until there are as many values."""
+    w = _rows(window - 1, 0)
+    return lc.withColumn(into, F.when(F.count("flux").over(w) == window, F.stddev_samp("flux").over(w)))
+
+
+def is_close(a: Column, b: Column, rel_tol: float) -> Column:
+    return F.abs(a - b) <= F.lit(1e-8) + rel_tol * F.abs(b)
+
+
+def modal_cadence(lc: DataFrame, step: float, rel_tol: float = 0.01) -> DataFrame:
+    """(star_id, cadence, differs): the commonest distance of neighbours in seconds, the least of equals, and whether ``step`` (days) is another one."""
+    gap = F.rint((F.col("time") - F.lag("time").over(Window.partitionBy("star_id").orderBy("time"))) * 86400)
+    modes = lc.select("star_id", gap.alias("gap")).where("gap is not null").groupBy("star_id", "gap").agg(F.count("*").alias("n"))
+    most = modes.groupBy("star_id").agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("cadence"))
+    return most.withColumn("differs", ~is_close(F.lit(step * 86400), F.col("cadence"), rel_tol))
+
+
+def slope(lc: DataFrame) -> DataFrame:
+    """(star_id, slope): of the least-squares line through time and flux."""
+    return lc.groupBy("star_id").agg(F.regr_slope("flux", "time").alias("slope"))
+
+
+def histogram(values: DataFrame, column: str, n_bins: int) -> DataFrame:
+    """(star_id, bin, lo, hi, n): counts of equal bins from each star's least to its largest value; the last bin holds that, empty bins count 0."""
+    known = values.where(F.col(column).isNotNull())
+    ends = known.groupBy("star_id").agg(F.min(column).alias("a"), F.max(column).alias("b")).where("b > a")
+    at = F.least(F.floor((F.col(column) - F.col("a")) / (F.col("b") - F.col("a")) * n_bins), F.lit(n_bins - 1)).cast("int")
+    counts = known.join(ends, "star_id").groupBy("star_id", at.alias("bin")).agg(F.count("*").alias("n"))
+    bins = ends.select("star_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    edge = lambda k: F.col("a") + (F.col("b") - F.col("a")) * k / n_bins
+    return bins.join(counts, ["star_id", "bin"], "left").select("star_id", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def even_cadence(lc: DataFrame, step: float) -> DataFrame:
-    """Every star on an even grid from its first time: the nearest grid point, the last of several, null where there is none."""
+    """Every star on an even grid from its first time: the nearest grid point, the last of several, null where there is none.
+
+    With a column flux_err, the error of the chosen point comes along.
+    """
     times = lc.groupBy("star_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
     grid = times.select("star_id", "t0", F.explode(F.sequence(F.lit(0), F.rint((F.col("t1") - F.col("t0")) / step).cast("long"))).alias("i"))
-    placed = lc.join(times, "star_id").select("star_id", F.rint((F.col("time") - F.col("t0")) / step).cast("long").alias("i"), F.struct("time", "flux").alias("o"), "flux")
-    last = placed.groupBy("star_id", "i").agg(F.max_by("flux", "o").alias("flux"))
-    return grid.join(last, ["star_id", "i"], "left").select("star_id", "i", (F.col("t0") + F.col("i") * step).alias("time"), "flux")
+    values = [c for c in ("flux", "flux_err") if c in lc.columns]
+    placed = lc.join(times, "star_id").select("star_id", F.rint((F.col("time") - F.col("t0")) / step).cast("long").alias("i"), F.struct("time", *values).alias("o"))
+    last = placed.groupBy("star_id", "i").agg(F.max("o").alias("o"))
+    return grid.join(last, ["star_id", "i"], "left").select("star_id", "i", (F.col("t0") + F.col("i") * step).alias("time"), *(F.col(f"o.{c}").alias(c) for c in values))
 
 
 def bin_curve(lc: DataFrame, width: float) -> DataFrame:
-    """Means of bins from each star's first time; a last bin that is not full is dropped, empty bins are null."""
+    """Means of bins from each star's first time; a last bin that is not full is dropped, empty bins are null.
+
+    With a column flux_err, a bin's error is the root of the sum of its squares over the number of its rows.
+    """
     times = lc.groupBy("star_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
+    errors = [(F.sqrt(F.sum(F.col("flux_err") * F.col("flux_err"))) / F.count("*")).alias("flux_err")] if "flux_err" in lc.columns else []
     last = F.floor((F.col("t1") - F.col("t0")) / width - 1e-9)
     grid = times.select("star_id", "t0", last.alias("bins"), F.explode(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)))).alias("i")).where("i < bins")
-    cells = lc.join(times, "star_id").groupBy("star_id", F.floor((F.col("time") - F.col("t0")) / width).alias("i")).agg(F.avg("flux").alias("flux"), F.count("flux").alias("n"))
-    return grid.join(cells, ["star_id", "i"], "left").select("star_id", F.col("i").cast("long").alias("i"), (F.col("t0") + (F.col("i") + 0.5) * width).alias("time"), "flux", F.coalesce("n", F.lit(0)).alias("n"))
+    cells = lc.join(times, "star_id").groupBy("star_id", F.floor((F.col("time") - F.col("t0")) / width).alias("i")).agg(F.avg("flux").alias("flux"), F.count("flux").alias("n"), *errors)
+    return grid.join(cells, ["star_id", "i"], "left").select("star_id", F.col("i").cast("long").alias("i"), (F.col("t0") + (F.col("i") + 0.5) * width).alias("time"), "flux", *(["flux_err"] if errors else []), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def interpolate(lc: DataFrame) -> DataFrame:

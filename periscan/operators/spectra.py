@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from periscan.operators.per_star import per_star
+
 PI2 = 2 * 3.141592653589793
+#: Frequencies that a task takes at a time, so that the spectrum of a long curve is spread over many.
+GRID_PART = 2048
+#: Angles held at a time.
+CELLS = 1 << 20
 
 
 def grid_of(stars: DataFrame, low: str, high: str, step: str) -> DataFrame:
@@ -40,26 +48,69 @@ def guess_lombscargle(lc: DataFrame, method: str = "lombscargle", n_guesses: int
 
 
 def lomb_scargle(lc: DataFrame, grid: DataFrame) -> DataFrame:
-    """Standard power of a sine with a floating mean, by closed form from ten sums for each frequency."""
-    mean = lc.groupBy("star_id").agg(F.avg("flux").alias("m"), F.min("time").alias("t0"))
-    y = lc.join(mean, "star_id").select("star_id", (F.col("time") - F.col("t0")).alias("t"), (F.col("flux") - F.col("m")).alias("y"))
-    at = grid.join(y, "star_id").withColumn("a", PI2 * F.col("freq") * F.col("t")).withColumns({"c": F.cos("a"), "s": F.sin("a")})
-    s = at.groupBy("star_id", "g", "freq").agg(
-        *(F.avg(F.expr(e)).alias(n) for n, e in {"C": "c", "S": "s", "CC": "c*c", "SS": "s*s", "CS": "c*s", "YC": "y*c", "YS": "y*s", "YY": "y*y"}.items())
-    )
-    cc, ss, cs = "(CC - C*C)", "(SS - S*S)", "(CS - C*S)"
-    power = f"(YC*YC*{ss} + YS*YS*{cc} - 2*YC*YS*{cs}) / (YY * nullif({cc}*{ss} - {cs}*{cs}, 0))"
-    return s.select("star_id", "g", "freq", F.expr(power).alias("power"))
-
-
-def dft_power(series: DataFrame, grid: DataFrame, taper: bool = True) -> DataFrame:
-    """Squared modulus of the transform of (star_id, k, lag, acf), less its mean and under a Hann window, at each frequency."""
-    stats = series.groupBy("star_id").agg(F.avg("acf").alias("m"), F.max("k").alias("last"))
-    hann = 0.5 - 0.5 * F.cos(PI2 * F.col("k") / F.col("last")) if taper else F.lit(1.0)
-    y = series.join(stats, "star_id").select("star_id", "lag", ((F.col("acf") - F.col("m")) * hann).alias("y"))
-    at = grid.join(y, "star_id").withColumn("a", PI2 * F.col("freq") * F.col("lag"))
-    sums = at.groupBy("star_id", "g", "freq").agg(F.sum(F.col("y") * F.cos("a")).alias("re"), F.sum(F.col("y") * F.sin("a")).alias("im"))
-    return sums.select("star_id", "g", "freq", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """Standard power of a sine with a floating mean, by closed form from ten sums for each frequency of (star_id, g, freq).
+
+    A star's grid is cut into parts that are worked on apart, each with the
+    whole curve. Null where a frequency is not determined. Points without flux don't count.
+    """
+    parts = grid.withColumn("part", F.floor(F.col("g") / GRID_PART))
+    samples = lc.where("flux is not null").select("star_id", F.col("time").cast("double").alias("time"), F.col("flux").cast("double").alias("flux"))
+    given = samples.join(parts.select("star_id", "part").distinct(), "star_id").select(F.col("star_id").alias("of"), F.col("part").alias("share"), "time", "flux")
+
+    def run(wanted: pa.Table, curve: pa.Table) -> pa.Table:
+        freq = wanted.column("freq").to_numpy()
+        t, y = curve.column("time").to_numpy(), curve.column("flux").to_numpy()
+        power = np.full(len(freq), np.nan)
+        if len(t):
+            t, y = t - t.min(), y - y.mean()
+            step = max(1, CELLS // len(t))
+            for k in range(0, len(freq), step):
+                angle = PI2 * freq[k : k + step, None] * t
+                c, s = np.cos(angle), np.sin(angle)
+                mc, ms = c.mean(1), s.mean(1)
+                cc, ss, cs = (c * c).mean(1) - mc * mc, (s * s).mean(1) - ms * ms, (c * s).mean(1) - mc * ms
+                yc, ys = c @ y / len(y), s @ y / len(y)
+                below = (y * y).mean() * (cc * ss - cs * cs)
+                power[k : k + step] = np.divide(yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs, below, out=np.full(len(below), np.nan), where=below != 0)
+        return pa.table([wanted.column("star_id"), wanted.column("g"), wanted.column("freq"), pa.array(power, from_pandas=True)], names=["star_id", "g", "freq", "power"])
+
+    star = grid.schema["star_id"].dataType.simpleString()
+    both = parts.select("star_id", "part", "g", "freq").groupBy("star_id", "part").cogroup(given.groupBy("of", "share"))
+    return both.applyInArrow(run, f"star_id {star}, g long, freq double, power double").where("g is not null")
+
+
+def acf_spectrum(series: DataFrame, oversample: int = 4, min_period: float | None = None, max_period: float | None = None, taper: bool = True) -> DataFrame:
+    """(star_id, g, freq, power) of (star_id, k, lag, acf): squared modulus of its transform, less its mean and under a Hann window.
+
+    The series is padded to ``oversample`` times its length. Frequencies lie
+    strictly between 1 / ``max_period`` (half the range of lags if None) and 1 / ``min_period`` (four
+    lags); stars with fewer than three of them have no rows.
+    """
+
+    def run(k: np.ndarray, lag: np.ndarray, acf: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(k)
+        lag, y = lag[order], acf[order] - acf.mean()
+        n, dt = len(lag), np.median(np.diff(lag)) if len(lag) > 1 else np.nan
+        none = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        if n < 4:
+            return none
+        if taper:
+            y = y * (0.5 - 0.5 * np.cos(PI2 * np.arange(n) / (n - 1)))
+        size = max(int(oversample * n), n)
+        g = np.arange(size // 2 + 1)
+        freq = g / (size * dt)
+        low, high = 1 / (max_period or (lag[-1] - lag[0]) / 2), 1 / (min_period or 4 * dt)
+        inside = (freq > low * (1 + 1e-12)) & (freq < high * (1 - 1e-12))
+        if inside.sum() < 3:
+            return none
+        return [g[inside], freq[inside], np.abs(np.fft.rfft(y, size))[inside] ** 2]
+
+    return per_star(series, ["k", "lag", "acf"], run, "g long, freq double, power double")
+
+
+def guess_acf_fft(series: DataFrame, method: str = "acf_fft", n_guesses: int = 5, **options) -> DataFrame:
+    """Candidates of the spectrum of each star's autocorrelation; options are those of :func:`acf_spectrum`."""
+    return candidates(acf_spectrum(series, **options), method, n_guesses)
 
 
 def local_maxima(spectrum: DataFrame) -> DataFrame:
@@ -73,10 +124,12 @@ def local_maxima(spectrum: DataFrame) -> DataFrame:
 
 
 def candidates(spectrum: DataFrame, method: str, n_guesses: int = 5) -> DataFrame:
-    """The strongest local maxima of each star as periods, or its largest value where it has none. Strength is rounded to 6 places for a stable order."""
-    peaks = local_maxima(spectrum).select("star_id", "g", "freq", "power")
-    lone = spectrum.join(peaks.select("star_id").distinct(), "star_id", "left_anti").groupBy("star_id").agg(F.max_by(F.struct("g", "freq", "power"), F.struct("power", -F.col("g"))).alias("b")).select("star_id", "b.*")
-    top = spectrum.groupBy("star_id").agg(F.max("power").alias("most"))
-    named = peaks.unionByName(lone).join(top, "star_id").select("star_id", F.round(1 / F.col("freq"), 6).alias("p0"), F.round(F.col("power") / F.col("most"), 6).alias("strength"))
-    rank = F.row_number().over(Window.partitionBy("star_id").orderBy(F.desc("strength"), F.desc("p0")))
-    return named.withColumn("rank", rank).where(F.col("rank") <= n_guesses).withColumn("method", F.lit(method))
+    """The strongest local maxima of each star as periods, or its largest value where it has none: star_id, p0, strength (of the largest value), rank, method. Ties go to the longer period."""
+    peaks = local_maxima(spectrum).select("star_id", "freq", "power")
+    highest = F.max_by(F.struct("freq", "power"), F.struct("power", -F.col("g")))
+    top = spectrum.groupBy("star_id").agg(F.max("power").alias("most"), highest.alias("b"))
+    known = peaks.join(top, "star_id", "right")
+    named = known.select("star_id", F.coalesce("freq", "b.freq").alias("freq"), (F.coalesce("power", "b.power") / F.when(F.col("most") > 0, F.col("most"))).alias("strength"))
+    rank = F.row_number().over(Window.partitionBy("star_id").orderBy(F.desc("strength"), "freq"))
+    ranked = named.withColumn("rank", rank).where(F.col("rank") <= n_guesses)
+    return ranked.select("star_id", (1 / F.col("freq")).alias("p0"), F.coalesce("strength", F.lit(0.0)).alias("strength"), "rank", F.lit(method).alias("method"))

@@ -147,22 +147,22 @@ def _(spark, sf_dir):
     return rounded(event_acf(spark, sf_dir), "lag", "acf")
 
 
-_DFT = (
-    _ACF
-    + """, st AS (SELECT star_id, avg(acf) AS m, max(k) AS last, max(lag) AS span FROM acf GROUP BY 1),
+def dft_sql(oversample: int = 4, low: str = "2 / span") -> str:
+    """The spectrum of ``acf`` on the padded transform's own frequencies, strictly within the band."""
+    return f"""{_ACF}, st AS (SELECT star_id, avg(acf) AS m, max(k) AS last, max(lag) AS span FROM acf GROUP BY 1),
 y AS (SELECT acf.star_id, lag, (acf - m) * (0.5 - 0.5 * cos(2 * pi() * k / last)) AS y FROM acf JOIN st USING (star_id)),
-gr AS (SELECT star_id, g, 2 / span + g * (1 / (4 * span)) AS freq FROM (SELECT star_id, span, unnest(range(0, CAST(floor((6.0 - 2 / span) / (1 / (4 * span)) + 1e-9) AS BIGINT) + 1)) AS g FROM st)),
-sp AS (SELECT star_id, g, freq, power(sum(y * cos(2 * pi() * freq * lag)), 2) + power(sum(y * sin(2 * pi() * freq * lag)), 2) AS power FROM gr JOIN y USING (star_id) GROUP BY 1, 2, 3)"""
-)
+gr AS (SELECT star_id, g, g * 24.0 / ({oversample} * (last + 1)) AS freq FROM (SELECT *, unnest(range(1, {oversample} * (last + 1) // 2 + 1)) AS g FROM st) WHERE g * 24.0 / ({oversample} * (last + 1)) > {low} AND g * 24.0 / ({oversample} * (last + 1)) < 6),
+sp AS (SELECT star_id, g, freq, power(sum(y * cos(2 * pi() * freq * lag)), 2) + power(sum(y * sin(2 * pi() * freq * lag)), 2) AS power FROM gr JOIN y USING (star_id) GROUP BY 1, 2, 3 HAVING count(*) > 0)"""
 
 
-def event_spectrum(spark, sf_dir):
-    """Power of the event curves' autocorrelation from 2 / span to 6 cycles a day, at a quarter of the natural step."""
-    from periscan.session import materialize
+_DFT = dft_sql()
+PEAKS_SQL = """, pk AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b, max(power) OVER (PARTITION BY star_id) AS most FROM sp WINDOW w AS (PARTITION BY star_id ORDER BY g)),
+rk AS (SELECT star_id, 1 / freq AS p0, power / most AS strength, row_number() OVER (PARTITION BY star_id ORDER BY power DESC, freq) AS rank FROM pk WHERE power > a AND power > b)"""
 
-    series = materialize(event_acf(spark, sf_dir), "acf")  # read for its grid and for its values
-    stars = series.groupBy("star_id").agg(F.max("lag").alias("span"))
-    return K.dft_power(series, K.grid_of(stars, "2 / span", "6.0D", "1 / (4 * span)"))
+
+def event_spectrum(spark, sf_dir):
+    """Power of the event curves' autocorrelation at periods between four hours and half the range of lags."""
+    return K.acf_spectrum(event_acf(spark, sf_dir))
 
 
 @query("k3_spectrum", _LC + _DFT + " SELECT star_id, g, round(freq, 6) AS freq, round(power, 5) AS power FROM sp")
@@ -170,17 +170,14 @@ def _(spark, sf_dir):
     return rounded(rounded(event_spectrum(spark, sf_dir), "freq"), "power", places=5)
 
 
-@query(
-    "k3_acf_fft",
-    _LC
-    + _DFT
-    + """, pk AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b, max(power) OVER (PARTITION BY star_id) AS most FROM sp WINDOW w AS (PARTITION BY star_id ORDER BY g)),
-nm AS (SELECT star_id, round(1 / freq, 6) AS p0, round(power / most, 6) AS strength FROM pk WHERE power > a AND power > b),
-rk AS (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY strength DESC, p0 DESC) AS rank FROM nm)
-SELECT star_id, p0, strength, rank, 'acf_fft' AS method FROM rk WHERE rank <= 5""",
-)
+@query("k3_acf_fft", _LC + _DFT + PEAKS_SQL + " SELECT star_id, round(p0, 6) AS p0, round(strength, 6) AS strength, rank, 'acf_fft' AS method FROM rk WHERE rank <= 5")
+def _(spark, sf_dir):
+    return rounded(K.guess_acf_fft(event_acf(spark, sf_dir)), "p0", "strength")
+
+
+@query("k5_acf_fft_short", _LC + dft_sql(8, "1 / 15.0") + PEAKS_SQL + " SELECT star_id, round(p0, 6) AS p0, round(strength, 6) AS strength, rank, 'acf_fft_short' AS method FROM rk WHERE rank <= 5")
 def _(spark, sf_dir):
-    return K.candidates(event_spectrum(spark, sf_dir), "acf_fft")
+    return rounded(K.guess_acf_fft(event_acf(spark, sf_dir), "acf_fft_short", oversample=8, max_period=15.0), "p0", "strength")
 
 
 @query(
@@ -312,7 +309,7 @@ def _(spark, sf_dir):
     return rounded(B.cutoffs(L.batch_summary(spark, sf_dir), 40), "hit_rate_below", "hit_rate_above")
 
 
-@query("p2_rate_by_width", f"{_SUMMARY} SELECT method, CAST(floor(period / 5.0) AS BIGINT) AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM s GROUP BY 1, 2")
+@query("p2_rate_by_width", f"{_SUMMARY} SELECT method, CAST(ceil(period / 5.0) AS BIGINT) - 1 AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM s WHERE period > 0 GROUP BY 1, 2")
 def _(spark, sf_dir):
     return rounded(B.rate_by_width(L.batch_summary(spark, sf_dir), "period", 5.0), "hit_rate")
 

@@ -10,7 +10,7 @@ from periscan.operators import evidence as E
 from periscan.operators import pools as P
 from periscan.operators import segments as G
 from periscan.operators import spectra as K
-from periscan.plans.catalogue import _ACF, _CANDIDATES, _DFT, _LC, _SUMMARY, _USERS, dense_curves, event_acf, event_spectrum, query, rounded, summary_candidates
+from periscan.plans.catalogue import _ACF, _CANDIDATES, _DFT, _LC, _SUMMARY, _USERS, PEAKS_SQL, dense_curves, dft_sql, event_acf, event_spectrum, query, rounded, summary_candidates
 from periscan.session import materialize, table
 from periscan.sources import light_curves as L
 
@@ -75,7 +75,7 @@ def _(spark, sf_dir):
 b AS (SELECT star_id, arg_min(p, redchi * 1e9 + cand_id) AS bp, min(redchi) AS br, arg_min(cand_id, redchi * 1e9 + cand_id) AS bc FROM f GROUP BY 1),
 c AS (SELECT x.star_id, x.cand_id, count(*) FILTER (WHERE abs(y.p - x.p) <= 0.03 * x.p) - 1 AS n_agreeing, min(y.redchi) FILTER (WHERE abs(y.p - x.p) > 0.03 * x.p) AS rival FROM f x JOIN f y ON x.star_id = y.star_id GROUP BY 1, 2)
 SELECT f.star_id, f.cand_id, f.p, round(redchi, 6) AS redchi, n_agreeing, round(rival, 6) AS best_competing_redchi, round(redchi / rival, 6) AS ratio_to_competing, round(redchi / br, 6) AS ratio_to_best, f.cand_id = bc AS is_global_best,
-round(CASE WHEN f.cand_id <> bc AND abs(p / bp - 1) > 0.03 THEN CASE WHEN abs(p / bp * 3 - 1) <= 0.05 THEN 1.0 / 3 WHEN abs(p / bp - 0.5) / 0.5 <= 0.05 THEN 0.5 WHEN abs(p / bp - 2) / 2 <= 0.05 THEN 2.0 WHEN abs(p / bp - 3) / 3 <= 0.05 THEN 3.0 END END, 6) AS harmonic_factor
+round(CASE WHEN f.cand_id <> bc AND abs(p / bp - 1) > 0.03 THEN CASE WHEN abs(p / bp * 3 - 1) <= 0.03 THEN 1.0 / 3 WHEN abs(p / bp - 0.5) / 0.5 <= 0.03 THEN 0.5 WHEN abs(p / bp - 2) / 2 <= 0.03 THEN 2.0 WHEN abs(p / bp - 3) / 3 <= 0.03 THEN 3.0 END END, 6) AS harmonic_factor
 FROM f JOIN b USING (star_id) JOIN c ON c.star_id = f.star_id AND c.cand_id = f.cand_id""",
 )
 def _(spark, sf_dir):
@@ -100,37 +100,21 @@ def _(spark, sf_dir):
 _HP = """, x{k} AS (SELECT star_id || '|{d}' AS star_id, i, time, flux - CASE WHEN count(flux) OVER w >= {least} THEN avg(flux) OVER w END AS flux FROM base WINDOW w AS (PARTITION BY star_id ORDER BY i ROWS BETWEEN {half} PRECEDING AND {rest} FOLLOWING))"""
 
 
-@query(
-    "k6_highpass_sweep",
-    _LC.replace("lc AS (", "base AS (")
-    + _HP.format(k=1, d="2", least=16, half=24, rest=23)
-    + _HP.format(k=2, d="5", least=40, half=60, rest=59)
-    + ", lc AS (SELECT * FROM x1 WHERE flux IS NOT NULL UNION ALL SELECT * FROM x2 WHERE flux IS NOT NULL)"
-    + _DFT.replace("4 * span", "8 * span")
-    + """, pk AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b, max(power) OVER (PARTITION BY star_id) AS most FROM sp WINDOW w AS (PARTITION BY star_id ORDER BY g)),
-nm AS (SELECT star_id, round(1 / freq, 6) AS p0, round(power / most, 6) AS strength FROM pk WHERE power > a AND power > b),
-rk AS (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY strength DESC, p0 DESC) AS rank FROM nm)
-SELECT split_part(star_id, '|', 1) AS star_id, split_part(star_id, '|', 2)::DOUBLE AS window_days, 'acf_fft_hp' || split_part(star_id, '|', 2) || 'd' AS method, rank, p0, strength FROM rk WHERE rank <= 5""",
-)
+def _sweep_sql(windows: tuple[int, ...]) -> str:
+    highpassed = "".join(_HP.format(k=k, d=d, least=8 * d, half=12 * d, rest=12 * d - 1) for k, d in enumerate(windows))
+    union = " UNION ALL ".join(f"SELECT * FROM x{k} WHERE flux IS NOT NULL" for k in range(len(windows)))
+    return f"""{_LC.replace("lc AS (", "base AS (")}{highpassed}, lc AS ({union}){dft_sql(8, "1 / 50.0")}{PEAKS_SQL}
+SELECT split_part(star_id, '|', 1) AS star_id, split_part(star_id, '|', 2)::DOUBLE AS window_days, 'acf_fft_hp' || split_part(star_id, '|', 2) || 'd' AS method, rank, round(p0, 6) AS p0, round(strength, 6) AS strength FROM rk WHERE rank <= 5"""
+
+
+@query("k6_highpass_sweep", _sweep_sql((2, 5)))
 def _(spark, sf_dir):
-    return P.highpass_sweep(L.event_curves(spark, sf_dir), [2, 5], 1 / 24)
+    return rounded(P.highpass_sweep(L.event_curves(spark, sf_dir), 1 / 24, [2, 5]), "p0", "strength")
 
 
-@query(
-    "k6_highpass_sweep_full",
-    _LC.replace("lc AS (", "base AS (")
-    + "".join(_HP.format(k=k, d=d, least=8 * d, half=12 * d, rest=12 * d - 1) for k, d in enumerate((2, 5, 10, 20, 40), 1))
-    + ", lc AS ("
-    + " UNION ALL ".join(f"SELECT * FROM x{k} WHERE flux IS NOT NULL" for k in range(1, 6))
-    + ")"
-    + _DFT.replace("4 * span", "8 * span")
-    + """, pk AS (SELECT *, lag(power) OVER w AS a, lead(power) OVER w AS b, max(power) OVER (PARTITION BY star_id) AS most FROM sp WINDOW w AS (PARTITION BY star_id ORDER BY g)),
-nm AS (SELECT star_id, round(1 / freq, 6) AS p0, round(power / most, 6) AS strength FROM pk WHERE power > a AND power > b),
-rk AS (SELECT *, row_number() OVER (PARTITION BY star_id ORDER BY strength DESC, p0 DESC) AS rank FROM nm)
-SELECT split_part(star_id, '|', 1) AS star_id, split_part(star_id, '|', 2)::DOUBLE AS window_days, 'acf_fft_hp' || split_part(star_id, '|', 2) || 'd' AS method, rank, p0, strength FROM rk WHERE rank <= 5""",
-)
+@query("k6_highpass_sweep_full", _sweep_sql((2, 5, 10, 20, 40)))
 def _(spark, sf_dir):
-    return P.highpass_sweep(L.event_curves(spark, sf_dir), [2, 5, 10, 20, 40], 1 / 24)
+    return rounded(P.highpass_sweep(L.event_curves(spark, sf_dir), 1 / 24), "p0", "strength")
 
 
 @query("k12_harmonics", f"{_CANDIDATES} SELECT star_id, method, rank, round(p0 * f, 6) AS p0, round(f, 6) AS factor FROM cand, (SELECT unnest([1.0::DOUBLE, 0.5, 2.0, 1.0::DOUBLE / 3, 3.0]) AS f) WHERE p0 * f BETWEEN 5 AND 60")
@@ -148,9 +132,13 @@ def _(spark, sf_dir):
     return P.rank_histogram(B.rank_of_true(summary_candidates(spark, sf_dir)))
 
 
-@query("p4_rate_by_factor", f"{_SUMMARY} SELECT method, CAST(floor(round(ln(greatest(activity, 1.0) / 1.0) / ln(2.0), 9)) AS BIGINT) AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM s GROUP BY 1, 2")
+@query(
+    "o8_rate_by_log_period",
+    f"{_SUMMARY}, c AS (SELECT *, greatest(period, 0.1) AS x FROM s), e AS (SELECT [lo * power(hi / lo, k / 8.0) for k in range(0, 9)] AS edges FROM (SELECT min(x) AS lo, max(x) AS hi FROM c)), "
+    "b AS (SELECT *, len([v for v in edges if v < x]) AS below FROM c, e) SELECT method, CAST(below - 1 AS INTEGER) AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM b WHERE below BETWEEN 1 AND 8 GROUP BY 1, 2",
+)
 def _(spark, sf_dir):
-    return rounded(P.rate_by_factor(L.batch_summary(spark, sf_dir), "activity", 1.0, 2.0), "hit_rate")
+    return rounded(P.rate_by_factor(L.batch_summary(spark, sf_dir), "period", 0.1), "hit_rate")
 
 
 @query(
@@ -191,12 +179,12 @@ def _(spark, sf_dir):
 
 @query("k2_lombscargle_candidates")
 def _(spark, sf_dir):
-    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir)), "strength")
+    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir)), "p0", "strength")
 
 
 @query("k4_lombscargle_short_candidates")
 def _(spark, sf_dir):
-    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir), "lombscargle_short", samples_per_peak=5, max_period=15.0), "strength")
+    return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir), "lombscargle_short", samples_per_peak=5, max_period=15.0), "p0", "strength")
 
 
 @query("k2_false_alarm_own_grid")

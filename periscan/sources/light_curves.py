@@ -34,6 +34,25 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.join(c.select(F.col("c_custkey").alias("star_id"), F.round(F.abs("c_acctbal") / 100.0, 4).alias("period")), "star_id")
 
 
+def star_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for the parameters of stars (customers): period from the balance, the others from the key by plain arithmetic."""
+    k = F.col("c_custkey")
+    low = (k * 17 % 45).cast("double")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("star_id"),
+        F.round(F.abs("c_acctbal") / 100.0, 4).alias("period"),
+        ((k * 31) % 97 / 10.0 + 0.1).alias("activity"),
+        (k % 11 + 1.0).alias("cycle"),
+        ((k * 7) % 13 / 10.0).alias("overlap"),
+        ((k * 37) % 91).cast("double").alias("incl"),
+        low.alias("minlat"),
+        (low + k % 40).alias("maxlat"),
+        (((k * 29) % 101 - 50) / 100.0).alias("diffrot"),
+        ((k * 53) % 1000).cast("double").alias("tspot"),
+        (k % 2 == 1).alias("bfly"),
+    )
+
+
 def planted_curve(spark: SparkSession, period: float = 3.7, n: int = 4000, step: float = 0.02, seed: int = 0) -> DataFrame:
     """A spotted star with a known period: a modulated sine with its second harmonic, and noise."""
     phase = F.col("time") * (2 * 3.141592653589793 / period)
