@@ -11,6 +11,12 @@ from periscan.session import materialize, shuffle_partitions
 BANDS = [0, 1, 10, 20, 50]
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over the rows that have both; null where either does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y))), F.lit(0.0))
+
+
 def matches(p0: Column, truth: Column, rel_tol: float) -> Column:
     """Within ``rel_tol`` of the truth; false where there is none."""
     return F.coalesce((F.abs(p0 - truth) / truth <= rel_tol) & ~F.isnan(truth), F.lit(False))
@@ -52,7 +58,7 @@ def zero_candidates(summary: DataFrame, is_zero: Column) -> DataFrame:
     """How often a method finds little, and whether that goes with activity: point-biserial r, rate and medians."""
     z = summary.withColumn("z", is_zero.cast("int"))
     return z.groupBy("method").agg(
-        F.corr("z", "activity").alias("point_biserial_r"), F.avg("z").alias("zero_rate"), F.expr("percentile(activity, 0.5) filter (where z = 1)").alias("median_when_zero"), F.expr("percentile(activity, 0.5) filter (where z = 0)").alias("median_when_nonzero")
+        correlation("z", "activity").alias("point_biserial_r"), F.avg("z").alias("zero_rate"), F.expr("percentile(activity, 0.5) filter (where z = 1)").alias("median_when_zero"), F.expr("percentile(activity, 0.5) filter (where z = 0)").alias("median_when_nonzero")
     )
 
 
@@ -109,7 +115,7 @@ def zero_candidate_correlations(summary: DataFrame, parameters: list[str], is_ze
     """By method and parameter: point-biserial correlation with finding nothing, the rate of that, medians and counts, in one pass. Methods that always find something are left out."""
     z = unpivoted(summary.withColumn("z", is_zero.cast("int")), parameters, "method", "z")
     out = z.groupBy("method", "parameter").agg(
-        F.corr("z", "x").alias("point_biserial_r"),
+        correlation("z", "x").alias("point_biserial_r"),
         F.avg("z").alias("zero_candidate_rate"),
         F.expr("percentile(x, 0.5) filter (where z = 1)").alias("median_when_zero"),
         F.expr("percentile(x, 0.5) filter (where z = 0)").alias("median_when_nonzero"),

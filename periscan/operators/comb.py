@@ -111,12 +111,15 @@ def fit_candidates(series: DataFrame, candidates: DataFrame, n_peaks: int = 8) -
 
 
 def merge_close(candidates: DataFrame, rel_tol: float = 0.03) -> DataFrame:
-    """Of (star_id, p0, method), those further than ``rel_tol`` from the last one kept, upwards; with n_duplicates and the methods merged."""
-    grouped = candidates.groupBy("star_id").agg(F.array_sort(F.collect_list("p0")).alias("all"))
+    """Of (star_id, p0, method), those further than ``rel_tol`` from the last one kept, upwards; with n_duplicates, the methods merged, and ``source``: method, rank, strength and coverage of the one kept."""
+    known = candidates.select("star_id", "p0", "method", *(F.col(c).cast(t).alias(c) if c in candidates.columns else F.lit(None).cast(t).alias(c) for c, t in (("rank", "int"), ("strength", "double"), ("coverage", "double"))))
+    grouped = known.groupBy("star_id").agg(F.array_sort(F.collect_list("p0")).alias("all"))
     kept = F.expr(f"aggregate(all, cast(array() as array<double>), (acc, x) -> if(size(acc) = 0 or (x - element_at(acc, -1)) > {rel_tol} * element_at(acc, -1), array_append(acc, x), acc))")
     heads = grouped.select("star_id", kept.alias("kept"))
-    placed = candidates.join(heads, "star_id").withColumn("p", F.expr("array_max(filter(kept, x -> x <= p0))"))
-    return placed.groupBy("star_id", F.col("p").alias("p0")).agg(F.count("*").alias("n_duplicates"), F.array_sort(F.collect_set("method")).alias("methods"))
+    placed = known.join(heads, "star_id").withColumn("p", F.expr("array_max(filter(kept, x -> x <= p0))"))
+    return placed.groupBy("star_id", F.col("p").alias("p0")).agg(
+        F.count("*").alias("n_duplicates"), F.array_sort(F.collect_set("method")).alias("methods"), F.min(F.when(F.col("p0") == F.col("p"), F.struct("method", "rank", "strength", "coverage"))).alias("source")
+    )
 
 
 def assess(fits: DataFrame, series: DataFrame) -> DataFrame:
@@ -134,7 +137,12 @@ def assess(fits: DataFrame, series: DataFrame) -> DataFrame:
             "frac_non_increasing": F.expr(f"if(size(per_peak) > 1, aggregate({steps}, 0D, (a, x) -> a + x) / (size(per_peak) - 1), null)"),
         }
     )
-    return out.withColumn("passed", F.coalesce(F.col("error").isNull() & (F.col("n_peaks_used") >= 4) & (F.col("frac_positive") >= 0.8) & (F.col("mean_snr") >= 1.0), F.lit(False)))
+    flags = {
+        "passes_min_peaks": F.col("n_peaks_used") >= 4,
+        "passes_redchi": F.coalesce(F.col("redchi") <= 5, F.lit(False)),
+        "passes_height_snr": F.coalesce(F.col("min_snr") >= 3, F.lit(False)),
+    }
+    return out.withColumns(flags).withColumn("passed", F.coalesce(F.col("error").isNull() & (F.col("n_peaks_used") >= 4) & (F.col("frac_positive") >= 0.8) & (F.col("mean_snr") >= 1.0), F.lit(False)))
 
 
 def rotation_periods(series: DataFrame, candidates: DataFrame, dt: float) -> DataFrame:
@@ -146,10 +154,25 @@ def rotation_periods(series: DataFrame, candidates: DataFrame, dt: float) -> Dat
     """
     span = series.groupBy("star_id").agg(F.min("lag").alias("l0"), F.max("lag").alias("l1"))
     sane = candidates.join(span, "star_id").where((F.col("p0") > 2 * dt) & (F.floor((F.col("l1") - F.col("l0")) / F.col("p0")) + 1 >= 2))
-    merged = materialize(merge_close(sane.select("star_id", "p0", "method")), "merged")
+    merged = materialize(merge_close(sane.select("star_id", "p0", "method", *(c for c in ("rank", "strength", "coverage") if c in sane.columns))), "merged")
     phases = best_phase(series, merged.select("star_id", F.col("p0").alias("p")), dt).select("star_id", F.col("p").alias("p0"), F.col("t0").alias("t0start"))
     fits = assess(fit_candidates(series, phases), series).join(merged, ["star_id", "p0"])
     star = Window.partitionBy("star_id")
     order = star.orderBy(F.desc("passed"), F.asc_nulls_last("redchi"), "p0")
     status = F.when(F.max("passed").over(star), "success").when(F.max(F.col("error").isNull()).over(star), "none_passed").otherwise("none_fitted")
     return fits.withColumns({"place": F.row_number().over(order), "status": status})
+
+
+def outcomes(series: DataFrame, candidates: DataFrame, fits: DataFrame) -> DataFrame:
+    """A row for each star: status, message, the best fit's p, t0 and redchi (the closest attempt where none passed), and how many fits were tried and failed.
+
+    The status is no_candidates, none_sane (all too short, or with fewer than two teeth), none_fitted, none_passed or success.
+    """
+    stars = series.select("star_id").distinct()
+    proposed = candidates.select("star_id").distinct().withColumn("proposed", F.lit(True))
+    tried = fits.groupBy("star_id").agg(F.count("*").alias("n_tried"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.first("status").alias("fitted"), F.min(F.when(F.col("place") == 1, F.struct("p", "t0", "redchi"))).alias("b"))
+    joined = stars.join(proposed, "star_id", "left").join(tried, "star_id", "left")
+    status = F.when(F.col("proposed").isNull(), "no_candidates").when(F.col("fitted").isNull(), "none_sane").otherwise(F.col("fitted"))
+    said = {"no_candidates": "no method proposed a period", "none_sane": "every proposed period was too short or too long", "none_fitted": "no comb could be fitted", "none_passed": "no fit passed the gates; the closest one is given", "success": "the best of the fits that passed"}
+    message = F.element_at(F.create_map(*[F.lit(x) for pair in said.items() for x in pair]), F.col("status"))
+    return joined.withColumn("status", status).select("star_id", "status", message.alias("message"), "b.p", "b.t0", "b.redchi", F.coalesce("n_tried", F.lit(0)).alias("n_tried"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))

@@ -24,12 +24,15 @@ def highpass_sweep(lc: DataFrame, dt: float, windows_days: list[float] = WINDOWS
     All windows go through one autocorrelation and one spectrum, keyed by star and
     window. A star whose curve gives none at a window has no rows there.
     """
+    star_type = lc.schema["star_id"].dataType
     keyed = None
     for days in windows_days:
-        one = highpass(lc, round(days / dt)).select(F.struct("star_id", F.nullif(F.lit(float(days)), F.lit(-1.0)).alias("window")).alias("star_id"), "i", "flux")
+        one = highpass(lc, round(days / dt)).select(F.concat(F.lit(f"{float(days)}|"), F.col("star_id").cast("string")).alias("star_id"), "i", "flux")
         keyed = one if keyed is None else keyed.unionByName(one)
     found = guess_acf_fft(acf(keyed, dt, **acf_options), "acf_fft_hp", n_guesses, max_period=max_period, oversample=oversample)
-    return found.select(F.col("star_id.star_id").alias("star_id"), F.col("star_id.window").alias("window_days"), method_of(F.col("star_id.window")).alias("method"), "rank", "p0", "strength")
+    window = F.substring_index("star_id", "|", 1).cast("double")
+    star = F.expr("substring(star_id, locate('|', star_id) + 1)").cast(star_type)
+    return found.select(star.alias("star_id"), window.alias("window_days"), method_of(window).alias("method"), "rank", "p0", "strength")
 
 
 def method_of(window: Column) -> Column:

@@ -26,19 +26,19 @@ def prominent_peaks(series: DataFrame, prominence: DataFrame) -> DataFrame:
     return bases.join(prominence, "star_id").where("height - greatest(a, b) >= least").select("star_id", F.col("p").alias("k"), "lag", "height")
 
 
-def peak_spacings(series: DataFrame, dt: float, n_guesses: int = 5) -> DataFrame:
-    """Candidates from the histogram of spacings between all prominent peaks past 3 dt: star_id, rank, p0, strength, support, coverage.
-
-    Lags are evenly spaced, so spacings are counted by whole lags before they are
-    binned. Stars with fewer than two peaks yield nothing. coverage is the share
-    of peaks within a tenth of a period of the comb through the first peak. Only
-    inner bins can be maxima: the first bin often holds the least spacing, and is then passed over.
-    """
+def acf_peaks(series: DataFrame, dt: float) -> DataFrame:
+    """(star_id, k, lag, height) of the peaks past 3 dt that stand out by five deviations of the second difference."""
     w = Window.partitionBy("star_id").orderBy("k")
     second = series.withColumn("d2", F.col("acf") - 2 * F.lag("acf", 1).over(w) + F.lag("acf", 2).over(w))
     least = second.groupBy("star_id").agg((5 * F.stddev_pop("d2")).alias("least"))
-    peaks = materialize(prominent_peaks(series.where(F.col("lag") >= 3 * dt - 1e-9), least), "peaks")
-    firsts = peaks.groupBy("star_id").agg(F.min("lag").alias("first"), F.count("*").alias("n_peaks"))
+    return prominent_peaks(series.where(F.col("lag") >= 3 * dt - 1e-9), least)
+
+
+def spacing_histogram(peaks: DataFrame, dt: float) -> DataFrame:
+    """(star_id, g, freq, power): centres and counts of equal bins of the spacings between all peaks of a star.
+
+    Lags are evenly spaced, so spacings are counted by whole lags before they are binned.
+    """
     ahead = peaks.select("star_id", F.col("k").alias("j"))
     spacings = peaks.join(ahead, "star_id").where("j > k").groupBy("star_id", (F.col("j") - F.col("k")).alias("d")).agg(F.count("*").alias("c")).withColumn("x", F.col("d") * dt)
     span = spacings.groupBy("star_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("w", F.greatest(F.lit(4 * dt), (F.col("x1") - F.col("x0")) / 200))
@@ -46,13 +46,29 @@ def peak_spacings(series: DataFrame, dt: float, n_guesses: int = 5) -> DataFrame
     cells = spacings.join(span, "star_id").withColumn("g", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("n")), F.col("n") - 1)).groupBy("star_id", "g").agg(F.sum("c").alias("c"))
     bins = span.select("star_id", "lo", "hi", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("g"))
     hist = bins.join(cells, ["star_id", "g"], "left")
-    hist = hist.select("star_id", "g", (F.col("lo") + (F.col("g") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("n")).alias("freq"), F.coalesce("c", F.lit(0)).alias("power"))
-    hist = materialize(hist, "spacings")
+    return hist.select("star_id", "g", (F.col("lo") + (F.col("g") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("n")).alias("freq"), F.coalesce("c", F.lit(0)).alias("power"))
+
+
+def coverage(peaks: DataFrame, combs: DataFrame) -> DataFrame:
+    """Adds to combs (star_id, p0, first) the share of the star's peaks within a tenth of a period of a tooth, and their number."""
+    near = combs.join(peaks.select("star_id", "lag"), "star_id")
+    off = F.abs(F.col("lag") - F.col("first") - F.rint((F.col("lag") - F.col("first")) / F.col("p0")) * F.col("p0"))
+    return near.groupBy(*combs.columns).agg(F.avg((off <= 0.1 * F.col("p0")).cast("int")).alias("coverage"), F.count("*").alias("n_peaks"))
+
+
+def peak_spacings(series: DataFrame, dt: float, n_guesses: int = 5) -> DataFrame:
+    """Candidates from the histogram of spacings between all prominent peaks: star_id, rank, p0, strength, support, coverage.
+
+    Stars with fewer than two peaks yield nothing. coverage is the share
+    of peaks within a tenth of a period of the comb through the first peak. Only
+    inner bins can be maxima: the first bin often holds the least spacing, and is then passed over.
+    """
+    peaks = materialize(acf_peaks(series, dt), "peaks")
+    hist = materialize(spacing_histogram(peaks, dt), "spacings")
     tops = local_maxima(hist).select("star_id", "g", "freq", "power")
     lone = hist.join(tops.select("star_id").distinct(), "star_id", "left_anti").groupBy("star_id").agg(F.max_by(F.struct("g", "freq", "power"), F.struct("power", -F.col("g"))).alias("b")).select("star_id", "b.*")
     rank = F.row_number().over(Window.partitionBy("star_id").orderBy(F.desc("power"), F.desc("freq")))
     best = tops.unionByName(lone).withColumn("rank", rank).where(F.col("rank") <= n_guesses).select("star_id", "rank", F.col("freq").alias("p0"), F.col("power").alias("support"))
-    near = best.join(peaks.select("star_id", "lag"), "star_id").join(firsts, "star_id")
-    off = F.abs(F.col("lag") - F.col("first") - F.rint((F.col("lag") - F.col("first")) / F.col("p0")) * F.col("p0"))
-    covered = near.groupBy("star_id", "rank", "p0", "support", "n_peaks").agg(F.avg((off <= 0.1 * F.col("p0")).cast("int")).alias("coverage"))
-    return covered.select("star_id", "rank", "p0", (F.col("support") / F.greatest(F.col("n_peaks") - 1, F.lit(1))).alias("strength"), "support", "coverage").withColumn("method", F.lit("pairwise_histogram"))
+    firsts = peaks.groupBy("star_id").agg(F.min("lag").alias("first"))
+    covered = coverage(peaks, best.join(firsts, "star_id"))
+    return covered.select("star_id", "rank", "p0", (F.col("support") / F.greatest(F.col("n_peaks") - 1, F.lit(1))).alias("strength"), "support", "coverage", F.lit("pairwise_histogram").alias("method"))

@@ -62,3 +62,14 @@ def planted_curve(spark: SparkSession, period: float = 3.7, n: int = 4000, step:
         .select(F.lit("planted").alias("star_id"), F.col("id").alias("i"), (F.col("id") * step).alias("time"))
         .withColumn("flux", 0.01 * amplitude * (F.sin(phase) + 0.4 * F.sin(2 * phase) + 0.3) + 0.0015 * F.randn(seed))
     )
+
+
+def planted_stars(spark: SparkSession, sf_dir: str, n: int = 4000, step: float = 0.02) -> DataFrame:
+    """A spotted star for each supplier key below 12, with a period of 1.5 to 8 days that the key gives: star_id, i, time, flux, true_period. The noise is drawn from hashes."""
+    keys = table(spark, sf_dir, "supplier").where("s_suppkey < 12").select(F.concat(F.lit("planted-"), F.col("s_suppkey").cast("string")).alias("star_id"), (1.5 + (F.col("s_suppkey") * 7 % 23) * 0.29).alias("true_period"), F.col("s_suppkey").alias("key"))
+    points = keys.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")).withColumn("time", F.col("i") * step)
+    phase = F.col("time") * (2 * 3.141592653589793) / F.col("true_period")
+    draw = lambda k: F.pmod(F.xxhash64("key", "i", F.lit(k)), F.lit(1_000_003)) / 1_000_003.0
+    noise = (draw(1) + draw(2) + draw(3) - 1.5) * 0.003
+    amplitude = 1 + 0.3 * F.sin(F.col("time") * (2 * 3.141592653589793 / 30))
+    return points.select("star_id", "i", "time", (0.01 * amplitude * (F.sin(phase) + 0.4 * F.sin(2 * phase) + 0.3) + noise).alias("flux"), "true_period")
