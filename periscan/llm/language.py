@@ -45,6 +45,7 @@ class Model:
                 z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 z.precompute_compress(level=self.level)
                 made.append(zstandard.ZstdCompressor(level=self.level, dict_data=z, write_content_size=False, write_dict_id=False))
+            _compressors.clear()  # of models that this worker has done with
             _compressors[self.key] = made
         return _compressors[self.key]
 

@@ -23,7 +23,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words kept in a worker, cells of a search table, and the longest word that is kept.
-KEPT_WORDS, TABLE_CELLS, KEPT_LENGTH = 800_000, 1_000_000, 64
+KEPT_WORDS, TABLE_CELLS, KEPT_LENGTH = 300_000, 1_000_000, 64
 FILTER_MASK = np.uint64((1 << 20) - 1)
 #: Model type in a model file: field 2 of it, field 3 of that.
 BPE = 2

@@ -124,6 +124,29 @@ def test_leaks_verbatim_and_with_other_parameters(spark):
     assert got == {0: (1, "exact"), 1: (1, "reparameterised"), 6: (1, "reparameterised"), 7: (1, "exact")}
 
 
+def test_slots_are_held_against_the_whole_occurrence(spark):
+    mixed = QUESTION.replace("Tom bought", "Ann bought").replace("Tom gave", "Bob gave").replace("12 apples and", "3 apples and")
+    one_word_more = mixed.replace("market then", "market and then")
+    same_value = QUESTION.replace("Tom", "Maria").replace("12", "7").replace("5 km", "7 km")
+    chance = "she said Tom paid 3 and 4 the bill for lunch and left"
+    item = "Eva and 3 friends of Max paid the bill for lunch at 12 in Paris with 40 euros and 2 coins"
+    assert leaks(spark, [mixed, one_word_more, same_value]) == {}
+    assert leaks(spark, [chance, "we and 5 others paid the bill for lunch today"], [(1, item)]) == {}
+    inserted = QUESTION.replace("Tom", "Maria").replace("12", "15").replace("market then", "market and then")
+    assert leaks(spark, [inserted, QUESTION.replace("market then", "market and then")]) == {0: (1, "reparameterised"), 1: (1, "exact")}
+
+
+def test_leaks_of_empty_tables_repeated_rows_and_long_texts(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert decontaminate.find_leaks(empty, spark.createDataFrame([(1, QUESTION)], "item_id long, text string")).count() == 0
+    assert leaks(spark, ["a b c"], [(None, None)]) == {}
+    long = text(60_000)
+    docs = spark.createDataFrame([(1, f"{long} {QUESTION} {long}"), (2, QUESTION), (2, QUESTION), (3, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, QUESTION), (1, QUESTION)], "item_id long, text string")
+    got = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.share, r.kind) for r in got) == [(1, 1.0, "exact"), (2, 1.0, "exact")]
+
+
 def test_leaks_of_short_and_wordless_items(spark):
     items = [(1, "only five words are here"), (2, "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota"), (3, None), (4, ""), (None, "null id item text with words")]
     got = leaks(spark, ["well only five words are here indeed", "so Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota ends", "Kappa Lambda My Ny Xi Omikron Pi Rho Sigma", "null id item text with words"], items)
