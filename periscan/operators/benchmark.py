@@ -67,6 +67,26 @@ def restricted(summary: DataFrame, cutoff: float) -> DataFrame:
     return summary.where(F.col("period") <= cutoff).groupBy("star_id").agg(F.sum("found").alias("n_methods_found"), F.max("found").alias("found_by_any"), F.max("period").alias("period"), F.max("activity").alias("activity"))
 
 
+def average_rank(df: DataFrame, column: str, into: str, spread: int | None = None) -> DataFrame:
+    """Adds average ranks (ties share the mean of theirs); rows without a value are left out. See :func:`rank_correlations`."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.lit("").alias("parameter"), column).agg(F.count("*").alias("m"))
+    return df.join(_ranks(values, column, into, spread or shuffle_partitions(df.sparkSession)).drop("parameter"), column)
+
+
+def _ranks(values: DataFrame, of: str, into: str, spread: int) -> DataFrame:
+    """Average ranks of the distinct values (parameter, ``of``, m) of each parameter, ``m`` being how often each occurs.
+
+    The values are dealt to ranges, written once, so that a repeated task sees the
+    same ranges; each is numbered on its own and starts after the rows of those below.
+    """
+    ranged = materialize(values.repartitionByRange(spread, "parameter", of).withColumn("part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("parameter", "part").agg(F.sum("m").alias("t"))
+    before = totals.select("parameter", "part", (F.sum("t").over(Window.partitionBy("parameter").orderBy("part")) - F.col("t")).alias("before"))
+    inner = F.sum("m").over(Window.partitionBy("parameter", "part").orderBy(of))
+    # at most ``spread`` rows for each parameter
+    return ranged.join(F.broadcast(before), ["parameter", "part"]).select("parameter", of, (F.col("before") + inner - F.col("m") + (F.col("m") + 1) / 2).alias(into))
+
+
 def spearman(df: DataFrame, parameters: list[str], against: str) -> DataFrame:
     """Rank correlation of each parameter with ``against``."""
     return rank_correlations(df, parameters, against).drop("n")
@@ -162,20 +182,14 @@ def sweeps(stars: DataFrame, parameters: list[str], label: str, n_bins: int, ban
 def rank_correlations(df: DataFrame, parameters: list[str], against: str, spread: int | None = None) -> DataFrame:
     """Spearman's rho of each parameter with ``against`` over the rows that have both: (parameter, spearman_rho, n), all parameters in one pass.
 
-    Only counts of distinct values are ordered, dealt to ranges that are written once, and each range starts after the rows of those below.
+    Only counts of distinct values are ordered.
     """
     spread = spread or shuffle_partitions(df.sparkSession)
     long = unpivoted(df.where(F.col(against).isNotNull()).withColumn("__y", F.col(against).cast("double")), parameters, "__y")
     cells = materialize(long.groupBy("parameter", "x", F.col("__y").alias("y")).agg(F.count("*").alias("n")), "cells")
 
     def ranks(of: str, into: str) -> DataFrame:
-        values = cells.groupBy("parameter", of).agg(F.sum("n").alias("m"))
-        ranged = materialize(values.repartitionByRange(spread, "parameter", of).withColumn("part", F.spark_partition_id()), "ranged")
-        totals = ranged.groupBy("parameter", "part").agg(F.sum("m").alias("t"))
-        before = totals.select("parameter", "part", (F.sum("t").over(Window.partitionBy("parameter").orderBy("part")) - F.col("t")).alias("before"))
-        inner = F.sum("m").over(Window.partitionBy("parameter", "part").orderBy(of))
-        # at most ``spread`` rows for each parameter
-        return ranged.join(F.broadcast(before), ["parameter", "part"]).select("parameter", of, (F.col("before") + inner - F.col("m") + (F.col("m") + 1) / 2).alias(into))
+        return _ranks(cells.groupBy("parameter", of).agg(F.sum("n").alias("m")), of, into, spread)
 
     both = cells.join(ranks("x", "rx"), ["parameter", "x"]).join(ranks("y", "ry"), ["parameter", "y"])
     sums = both.groupBy("parameter").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.expr(e)).alias(a) for a, e in {"a": "rx", "b": "ry", "aa": "rx * rx", "bb": "ry * ry", "ab": "rx * ry"}.items()))

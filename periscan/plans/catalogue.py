@@ -352,8 +352,9 @@ def _(spark, sf_dir):
 
 @query("m2_pdm_refine")
 def _(spark, sf_dir):
-    lc = L.planted_curve(spark)
-    return D.refine_by_dispersion(lc, lc.select("star_id").distinct().withColumn("p", F.lit(3.72)))
+    """The periods of planted stars, refined from values half a percent off."""
+    lc = L.planted_stars(spark, sf_dir)
+    return D.refine_by_dispersion(lc, lc.select("star_id", (F.col("true_period") * 1.005).alias("p")).distinct())
 
 
 @query("k11_t0_grid")
@@ -362,9 +363,13 @@ def _(spark, sf_dir):
     return D.best_phase(series, L.event_curves(spark, sf_dir).select("star_id").distinct().withColumn("p", F.lit(1.0)), 1 / 24)
 
 
+def planted_acf(spark, sf_dir):
+    return materialize(A.acf(L.planted_stars(spark, sf_dir), 0.02), "acf")
+
+
 @query("k1_pairwise_histogram")
 def _(spark, sf_dir):
-    return H.peak_spacings(materialize(event_acf(spark, sf_dir), "acf"), 1 / 24)
+    return H.peak_spacings(planted_acf(spark, sf_dir), 0.02)
 
 
 def dense_curves(spark, sf_dir):
@@ -376,11 +381,17 @@ def _(spark, sf_dir):
     return W.wavelet_candidates(dense_curves(spark, sf_dir), 1 / 24)
 
 
+@query("k7_wavelet_planted")
+def _(spark, sf_dir):
+    return W.wavelet_candidates(L.planted_stars(spark, sf_dir), 0.02)
+
+
 @query("l4_rotation_period")
 def _(spark, sf_dir):
-    series = materialize(event_acf(spark, sf_dir), "acf")
-    pool = H.peak_spacings(series, 1 / 24).select("star_id", "p0", "method").unionByName(W.wavelet_candidates(dense_curves(spark, sf_dir), 1 / 24).select("star_id", "p0", "method"))
-    return C.rotation_periods(series, pool, 1 / 24)
+    series = planted_acf(spark, sf_dir)
+    told = ["star_id", "p0", "method", "rank", "strength"]
+    pool = H.peak_spacings(series, 0.02).select(*told).unionByName(W.wavelet_candidates(L.planted_stars(spark, sf_dir), 0.02).select(*told))
+    return C.rotation_periods(series, pool, 0.02)
 
 
 @query("i4_segments")

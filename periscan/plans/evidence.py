@@ -132,15 +132,23 @@ def _(spark, sf_dir):
     return P.rank_histogram(B.rank_of_true(summary_candidates(spark, sf_dir)))
 
 
-@query(
-    "o8_rate_by_log_period",
-    f"{_SUMMARY}, c AS (SELECT *, greatest(period, 0.1) AS x FROM s), e AS (SELECT [lo * power(hi / lo, k / 8.0) for k in range(0, 9)] AS edges FROM (SELECT min(x) AS lo, max(x) AS hi FROM c)), "
-    "b AS (SELECT *, len([v for v in edges if v < x]) AS below FROM c, e) SELECT method, CAST(below - 1 AS INTEGER) AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM b WHERE below BETWEEN 1 AND 8 GROUP BY 1, 2",
-)
+def _factor_sql(column: str, least: float) -> str:
+    return (
+        f"{_SUMMARY}, c AS (SELECT *, greatest({column}, {least}) AS x FROM s), e AS (SELECT [lo * power(hi / lo, k / 8.0) for k in range(0, 9)] AS edges FROM (SELECT min(x) AS lo, max(x) AS hi FROM c)), "
+        "b AS (SELECT *, len([v for v in edges if v < x]) AS below FROM c, e) SELECT method, CAST(below - 1 AS INTEGER) AS bin, round(avg(found), 6) AS hit_rate, count(*) AS n FROM b WHERE below BETWEEN 1 AND 8 GROUP BY 1, 2"
+    )
+
+
+@query("o8_rate_by_log_period", _factor_sql("period", 0.1))
 def _(spark, sf_dir):
     return rounded(P.rate_by_factor(L.batch_summary(spark, sf_dir), "period", 0.1), "hit_rate")
 
 
+@query("p4_rate_by_factor", _factor_sql("activity", 1.0))
+def _(spark, sf_dir):
+    return rounded(P.rate_by_factor(L.batch_summary(spark, sf_dir), "activity", 1.0), "hit_rate")
+
+
 @query(
     "q7_phase_fold",
     f"{_USERS} SELECT star_id, p, CAST(least(floor((time / p - floor(time / p)) * 20), 19) AS INTEGER) AS bin, round(avg(flux), 6) AS mean, round(stddev_pop(flux), 6) AS std, count(*) AS n FROM lc, (SELECT unnest([0.7::DOUBLE, 2.9]) AS p) WHERE flux IS NOT NULL GROUP BY 1, 2, 3",
