@@ -101,4 +101,40 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op3_license_scan, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+
+#: DuckDB SQL for the queries that SQL can express. The others draw from Spark's hashes, learn, or run a tokenizer; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        with sized as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as digest from pages),
+        latest as (select *, max(page_id) over (partition by digest) as latest from sized)
+        select page_id, n::bigint as payload_bytes, digest as payload_digest,
+               case when n >= 1000 and page_id <> latest then 'revisit' else 'response' end as record_type,
+               case when n >= 1000 and page_id <> latest then latest end as refers_to
+        from latest
+    """,
+    # All pairs that share a shingle are compared, which suits small scales only.
+    "op10_minhash_near_dedup": r"""
+        with recursive cut as (
+            select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+        ),
+        pairs as (select doc_id, unnest(w[1 : len(w) - 1]) as one, unnest(w[2 : len(w)]) as next from cut where len(w) > 1),
+        shingles as (
+            select distinct doc_id, one || ' ' || next as shingle from pairs union all select distinct doc_id, w[1] from cut where len(w) = 1
+        ),
+        sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+        common as (
+            select a.doc_id as u, b.doc_id as v, count(*) as both_have
+            from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2
+        ),
+        linked as (
+            select u, v from common join sizes a on a.doc_id = u join sizes b on b.doc_id = v where 100 * both_have >= 80 * (a.n + b.n - both_have)
+        ),
+        edges as (select u, v from linked union all select v, u from linked),
+        reached(doc_id, other) as (
+            select doc_id, doc_id from documents union select reached.doc_id, edges.v from reached join edges on edges.u = reached.other
+        ),
+        named as (select doc_id, min(other) as component_id from reached group by doc_id)
+        select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+        from documents left join sizes using (doc_id) left join named using (doc_id)
+    """,
+}
