@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words kept in a worker, cells of a search table, and the longest word that is kept.
 KEPT_WORDS, TABLE_CELLS, KEPT_LENGTH = 300_000, 1_000_000, 64
+#: Characters of a text that are cut into words at a time, and words that are looked up at a time: a word takes some 70 bytes.
+PART_CHARS, PART_WORDS = 1 << 18, 1 << 16
 FILTER_MASK = np.uint64((1 << 20) - 1)
 #: Model type in a model file: field 2 of it, field 3 of that.
 BPE = 2
@@ -205,35 +208,62 @@ class PieceCoder:
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def words(self, text: str) -> list[str]:
-        """The parts that no piece crosses: blanks with what follows them, and newlines.
-
-        A space is put before the text, as the model's normaliser does.
-        """
-        text = " " + text
+        """The stretches that no piece crosses: blanks with what follows them, and newlines."""
         if "  " in text or SPACE in text or "\0" in text:
             return re.findall(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+", text.replace(" ", SPACE))
         return [w for w in text.replace(" ", "\0" + SPACE).replace("\n", "\0\n\0").split("\0") if w]
 
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The words of a text after a space, as the model's normaliser puts it, by parts of about ``PART_CHARS`` characters; a part ends where a run of blanks begins, so that no word is cut."""
+        start, text = 0, " " + text
+        while len(text) - start > PART_CHARS:
+            at = text.find(" ", start + PART_CHARS)
+            while at > 0 and text[at - 1] in (" ", SPACE):
+                at = text.find(" ", at + 1)
+            if at < 0:
+                break
+            yield self.words(text[start:at])
+            start = at
+        yield self.words(text[start:])
+
     def encode(self, texts: list[str | None], method: str | None = None) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; none for null and empty texts. ``method``: the model's own if None."""
-        method = method or self.method
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def empty() -> None:
+            for (k, _), ids in zip(group, self._encode_words([cut for _, cut in group], method or self.method), strict=True):
+                out[k].append(ids)
+            group.clear()
+
+        for k, t in enumerate(texts):
+            for cut in self.parts(t) if t else ():
+                group.append((k, cut))
+                held += len(cut)
+                if held >= PART_WORDS:
+                    empty()
+                    held = 0
+        empty()
+        return [b"".join(x) for x in out]
+
+    def _encode_words(self, cuts: list[list[str]], method: str) -> list[bytes]:
         kept, search = self.kept[method], getattr(self, method)
         get = kept.get
         out: list[bytes | None] = []
-        open_texts: list[tuple[int, list[str]]] = []
+        open_cuts: list[tuple[int, list[str]]] = []
         new: set[str] = set()
-        for k, t in enumerate(texts):
-            cut = self.words(t) if t else []
+        for k, cut in enumerate(cuts):
             got = list(map(get, cut))
             if None in got:
                 out.append(None)
-                open_texts.append((k, cut))
+                open_cuts.append((k, cut))
                 new.update(w for w, g in zip(cut, got, strict=True) if g is None)
             else:
                 out.append(b"".join(got))
         if len(kept) + len(new) > KEPT_WORDS:
             kept.clear()
-            new = set().union(*(cut for _, cut in open_texts))
+            new = set().union(*(cut for _, cut in open_cuts))
         by_length: dict[int, list[str]] = {}
         for w in new:
             by_length.setdefault(len(w), []).append(w)
@@ -241,7 +271,7 @@ class PieceCoder:
             step = max(1, TABLE_CELLS // (length * min(self.longest, length)))
             for k in range(0, len(group), step):
                 kept.update(zip(group[k : k + step], search(group[k : k + step]), strict=True))
-        for k, cut in open_texts:
+        for k, cut in open_cuts:
             out[k] = b"".join(map(get, cut))
         for length, group in by_length.items():
             if length > KEPT_LENGTH:
@@ -251,7 +281,8 @@ class PieceCoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """Pieces to text: bytes joined, the space put first taken away. Bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+        some = (ids[k : k + PART_WORDS].tolist() for k in range(0, len(ids), PART_WORDS))
+        text = b"".join([b"".join(map(self.table.__getitem__, x)) for x in some]).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 

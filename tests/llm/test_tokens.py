@@ -1,5 +1,6 @@
 """Token files and pieces: against the libraries, byte for byte."""
 
+import random
 import zlib
 
 import numpy as np
@@ -128,3 +129,14 @@ def test_pieces_round_trip(spark):
     assert all(r.same for r in got) and all(len(r.ids) == r.n_pieces for r in got)
     back = pieces.decode(pieces.encode(docs(spark), path, into="p"), path, "p").collect()
     assert all((r.text or "") == r.decoded for r in back)
+
+
+def test_parts_of_a_text_do_not_change_its_ids(monkeypatch):
+    rng = random.Random(3)
+    coder = pieces.PieceCoder(vocabulary("piece_bpe_32k.model"))
+    texts = ["", " ", "  a  b ", *("".join(rng.choice([" ", "  ", "\n", "▁", "ab", "the", "é", "漢"]) for _ in range(300)) for _ in range(20))]
+    whole = coder.encode(texts)
+    for chars, words in ((1, 1), (40, 25)):
+        monkeypatch.setattr(pieces, "PART_CHARS", chars)
+        monkeypatch.setattr(pieces, "PART_WORDS", words)
+        assert coder.encode(texts) == whole
