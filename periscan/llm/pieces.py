@@ -7,6 +7,7 @@ substrings found among the sorted piece keys drives the merges instead.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS, TABLE_CELLS, KEPT_LENGTH = 300_000, 1_000_000, 64
 #: Characters of a text that are cut into words at a time, and words that are looked up at a time: a word takes some 70 bytes.
 PART_CHARS, PART_WORDS = 1 << 18, 1 << 16
+#: Longer words are merged one at a time: in the batched search every merge looks at the whole word.
+LONG_WORD = 512
 FILTER_MASK = np.uint64((1 << 20) - 1)
 #: Model type in a model file: field 2 of it, field 3 of that.
 BPE = 2
@@ -86,6 +89,7 @@ class PieceCoder:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(ids, np.int64)[order]
         self.scores = np.array(scores)[order]
+        self.of = dict(zip(texts, zip(scores, ids, strict=True), strict=True))
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
         self.unknown = self.scores.min() - UNKNOWN_PENALTY
@@ -193,6 +197,57 @@ class PieceCoder:
             pair[s, w] = score(s, e, w)
         return self._ids(words, np.where(begins, after, 0), which)
 
+    def stretches(self, word: str) -> Iterator[str]:
+        """A word cut wherever no piece crosses, so that no merge does either."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+        edges = np.zeros(len(codes) + 1, np.int32)
+        with np.errstate(over="ignore"):
+            for begin in range(0, len(codes), PART_WORDS):
+                part = codes[begin : begin + PART_WORDS + self.longest - 1].astype(np.uint64) + np.uint64(1)
+                rolled = np.zeros(len(part), np.uint64)
+                for k in range(1, min(self.longest, len(part)) + 1):
+                    rolled = rolled[: len(part) - k + 1] * BASE + part[k - 1 :]
+                    maybe = np.nonzero(self.filter[(rolled & FILTER_MASK).astype(np.int64)])[0]
+                    at = np.minimum(np.searchsorted(self.keys, rolled[maybe]), len(self.keys) - 1)
+                    start = begin + maybe[self.keys[at] == rolled[maybe]]
+                    edges[start + 1] += 1
+                    edges[start + k] -= 1
+        start = 0
+        for end in np.nonzero(np.cumsum(edges)[1:] == 0)[0] + 1:
+            yield word[start:end]
+            start = end
+
+    def merge_long(self, word: str) -> bytes:
+        """What :meth:`merges` gives for one word, of any length: the next pair comes from a heap. Takes some 300 bytes for each character of the longest stretch."""
+        out = bytearray()
+        for part in self.stretches(word):
+            n = len(part)
+            after = list(range(1, n + 1))  # 0: nothing begins here any more
+            before = list(range(-1, n))
+            pairs: list[tuple[float, int, int, int]] = []
+
+            def offer(start: int) -> None:
+                if start >= 0 and after[start] < n:
+                    end = after[after[start]]
+                    if (got := self.of.get(part[start:end])) is not None:
+                        heapq.heappush(pairs, (-got[0], start, after[start], end))
+
+            for k in range(n - 1):
+                offer(k)
+            while pairs:
+                _, start, middle, end = heapq.heappop(pairs)
+                if after[start] == middle and after[middle] == end:
+                    after[start], after[middle], before[end] = end, 0, start
+                    offer(before[start])
+                    offer(start)
+            start = 0
+            while start < n:
+                piece = part[start : after[start]]
+                ids = [self.of[piece][1]] if piece in self.of else [self.bytes_at[b] for b in piece.encode("utf-8", "replace")]
+                out += np.array(ids, "<u4").tobytes()
+                start = after[start]
+        return bytes(out)
+
     def _ids(self, words: list[str], ends: np.ndarray, which: np.ndarray) -> list[bytes]:
         """Ids of the pieces; ``ends`` has the end of each piece at the place where it begins, else 0."""
         widest = which.shape[1]
@@ -268,6 +323,9 @@ class PieceCoder:
         for w in new:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
+            if method == "merges" and length > LONG_WORD:
+                kept.update((w, self.merge_long(w)) for w in group)
+                continue
             step = max(1, TABLE_CELLS // (length * min(self.longest, length)))
             for k in range(0, len(group), step):
                 kept.update(zip(group[k : k + step], search(group[k : k + step]), strict=True))

@@ -140,3 +140,24 @@ def test_parts_of_a_text_do_not_change_its_ids(monkeypatch):
         monkeypatch.setattr(pieces, "PART_CHARS", chars)
         monkeypatch.setattr(pieces, "PART_WORDS", words)
         assert coder.encode(texts) == whole
+
+
+def test_words_without_blanks_of_any_length_equal_the_library():
+    import base64
+    import random
+    import time
+
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    library, coder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceCoder(path)
+    rng = random.Random(5)
+    blob = base64.b64encode(rng.randbytes(30_000)).decode()
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(5_000))
+    words = [blob, letters, han, "a" * 5_000, "\u2603" * 700, "ab" * 256, "ab" * 257, letters[:511], letters[:512], f"one {letters[:2_000]} two\n{blob[:600]}"]
+    began = time.time()
+    for text, ids in zip(words, coder.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
+    assert [b"".join(coder.merges([w])) for w in (letters[:700], blob[:700])] == [coder.merge_long(w) for w in (letters[:700], blob[:700])]
+    assert time.time() - began < 60
