@@ -100,7 +100,54 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op3_license_scan, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five first positives of every fiftieth vector."""
+    from periscan.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=(1, 2), high=(19, 20))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector, among all others."""
+    from periscan.llm.bitsliced import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_ball_tree_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors around sixteen centroids after three rounds."""
+    from periscan.llm.balls import whole_centroids
+
+    return whole_centroids(table(spark, sf_dir, "embeddings"), k=16, rounds=3, d=64)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_hypergeometric_shards, op3_license_scan, op4_language_id, op5_sentencepiece, op6_decontamination, op7_warc, op8_binary_records, op9_forest_neighbours, op10_minhash_near_dedup, op11_hard_negatives, op12_bit_sliced_search, op13_ball_tree_centroids)}
+
+_WHOLE = "embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding]) is distinct from false"
+
+
+def _integers(scale: int) -> str:
+    return f"[floor({scale} * x::double) for x in embedding]"
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Every round as two tables: the nearest centroid of each vector, and the centroids that follow."""
+    sql = [
+        f"with recursive v as materialized (select vec_id, {_integers(64)} as x from embeddings where vec_id is not null and len(embedding) = 64 and {_WHOLE})",
+        "c0 as materialized (select row_number() over (order by sha256('1:' || vec_id), x) - 1 as c, x as m from v qualify row_number() over (order by sha256('1:' || vec_id), x) <= 16)",
+    ]
+    for r in range(rounds + 1):
+        far = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(x, m)])"
+        sql.append(f"a{r} as materialized (select vec_id, x, arg_min(c, (far, c)) as c, min(far) as far from (select vec_id, x, c, {far} as far from v, c{r}) group by vec_id, x)")
+        if r < rounds:
+            sums = f"select c, i, floor(sum(x[i]) / count(*)) as y from a{r}, range(1, 65) t(i) group by c, i"
+            sql.append(f"c{r + 1} as materialized (select c{r}.c, coalesce(n.m, c{r}.m) as m from c{r} left join (select c, list(y order by i) as m from ({sums}) group by c) n using (c))")
+    return ",\n".join(sql) + f"""
+        select vec_id, c::int as cluster, far::bigint as distance, (sum(far) over (partition by c))::bigint as cluster_inertia, (sum(far) over ())::bigint as inertia,
+               sha256(array_to_string([y::bigint for y in m], ',')) as centroid_sha256
+        from a{rounds} join c{rounds} using (c)"""
+
 
 #: DuckDB SQL for the queries that SQL can express. The others draw from Spark's hashes, learn, or run a tokenizer; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
@@ -137,4 +184,29 @@ ORACLES: dict[str, str] = {
         select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
         from documents left join sizes using (doc_id) left join named using (doc_id)
     """,
+    "op11_hard_negatives": f"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_integers(256)} as x
+            from embeddings where vec_id is not null and label is not null and {_WHOLE}
+        ),
+        scored as (
+            select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+            from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+        ),
+        positive as (
+            select anchor_id, other as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, other) <= 5
+        )
+        select anchor_id, positive_id, (row_number() over w)::int as rank, other as negative_id, positive_score, score as negative_score
+        from positive join scored using (anchor_id)
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        window w as (partition by anchor_id, positive_id order by score desc, other) qualify row_number() over w <= 3
+    """,
+    "op12_bit_sliced_search": f"""
+        with v as (select vec_id, {_integers(256)} as x from embeddings where vec_id is not null and {_WHOLE}),
+        scored as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.x, b.x)::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)
+        select query_id, (row_number() over w)::int as rank, vec_id, score from scored
+        window w as (partition by query_id order by score desc, vec_id) qualify row_number() over w <= 5
+    """,
+    "op13_ball_tree_centroids": _clusters(),
 }
