@@ -25,50 +25,57 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Bytes hashed at a time, whatever the lengths of texts and words.
 SEGMENT = 1 << 18
+#: Two primes below 2^31 and a drawn base for each. Products of two remainders fit 64 bits, as does a segment's sum of bytes times powers.
+FIELDS = ((2147483647, 1186590653), (2147483629, 604270931))
 
 
-def _powers(base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        steps = np.full(SEGMENT, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
+def _powers(base: int, prime: int) -> np.ndarray:
+    """The first ``SEGMENT`` powers, by doubling."""
+    out = np.ones(SEGMENT, np.uint64)
+    n = 1
+    while n < SEGMENT:
+        out[n : 2 * n] = out[:n] * np.uint64(pow(base, n, prime)) % np.uint64(prime)
+        n *= 2
+    return out
 
 
-UP, DOWN = _powers(BASE), _powers(INVERSE)
+POWERS = [(prime, base, _powers(base, prime), _powers(pow(base, -1, prime), prime)) for prime, base in FIELDS]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and the number of words of each text.
 
-    Words are runs of bytes other than space and 09 to 0D; A-Z count as a-z. A word's hash
-    is a polynomial of its bytes, the difference of two running totals that go on from segment to segment.
+    Words are runs of bytes other than space and 09 to 0D; A-Z count as a-z. A word's hash is
+    its length and two polynomials of its bytes, modulo a prime each, taken as differences of running
+    totals that go on from segment to segment. Two words of n bytes share both for n^2 of the 2^62 pairs of bases at most.
     """
     parts = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     del parts
-    carry, up, down, blank_before = np.uint64(0), 1, 1, True
-    starts, ends, opened, closed = [], [], [], []
+    blank_before, carries = True, [(0, 1, 1)] * len(POWERS)
+    starts, ends = [], []
+    opened, shifts, closed = ([[] for _ in POWERS] for _ in range(3))
     for at in range(0, len(data), SEGMENT):
         piece = data[at : at + SEGMENT]
         blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
         edge = np.diff(np.concatenate(([blank_before], blank)).astype(np.int8))
         start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        with np.errstate(over="ignore"):
-            total = np.empty(len(piece) + 1, np.uint64)
-            total[0] = carry
-            np.cumsum(piece * UP[: len(piece)], dtype=np.uint64, out=total[1:])
-            total[1:] = total[1:] * np.uint64(up) + carry
-            starts.append(start + at)
-            ends.append(end + at)
-            opened.append((total[start], DOWN[start] * np.uint64(down)))
-            closed.append(total[end])
-        carry, blank_before = total[-1], bool(blank[-1])
-        up, down = up * pow(BASE, SEGMENT, 1 << 64) % (1 << 64), down * pow(INVERSE, SEGMENT, 1 << 64) % (1 << 64)
+        starts.append(start + at)
+        ends.append(end + at)
+        blank_before = bool(blank[-1])
+        total = np.zeros(len(piece) + 1, np.uint64)
+        for f, (prime, base, up, down) in enumerate(POWERS):
+            np.cumsum(piece * up[: len(piece)], out=total[1:])
+            p, (carry, risen, sunk) = np.uint64(prime), carries[f]
+            opened[f].append((total[start] % p * np.uint64(risen) + np.uint64(carry)) % p)
+            closed[f].append((total[end] % p * np.uint64(risen) + np.uint64(carry)) % p)
+            shifts[f].append(down[start] * np.uint64(sunk) % p)
+            carries[f] = ((int(total[-1]) * risen + carry) % prime, risen * pow(base, SEGMENT, prime) % prime, sunk * pow(base, -SEGMENT, prime) % prime)
     first, last = np.concatenate(starts), np.concatenate(ends)
-    before, shift = (np.concatenate(x) for x in zip(*opened, strict=True))
+    one, other = ((np.concatenate(closed[f]) + np.uint64(prime) - np.concatenate(opened[f])) % np.uint64(prime) * np.concatenate(shifts[f]) % np.uint64(prime) for f, (prime, *_) in enumerate(POWERS))
     with np.errstate(over="ignore"):
-        hashes = mix((np.concatenate(closed) - before) * shift + (last - first).astype(np.uint64) * np.uint64(BASE))
+        hashes = mix(mix(one << np.uint64(32) | other) + (last - first).astype(np.uint64) * np.uint64(BASE))
     return hashes, np.diff(np.searchsorted(first, bounds))
 
 

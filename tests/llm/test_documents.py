@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from periscan.llm import decontaminate, language, licenses, near, shards
+from periscan.llm import decontaminate, language, licenses, near, shards, shingles
 from periscan.llm.components import connected_components
 from periscan.session import table
 
@@ -102,6 +102,24 @@ def test_very_long_texts_and_words(spark):
     assert [got[k][1] for k in range(1, 6)] == [1, 1, 3, 3, 5] and got[2][0] == got[1][0] + 1 and got[3][0] == 1
 
 
+def test_words_of_even_patterns_differ(spark):
+    """Hashes modulo a power of two give the Thue-Morse word and its opposite one value, whatever their base."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    pairs = [["".join("ab"[b ^ flip] for b in bits[:n]) for flip in (0, 1)] for n in (1024, 4096)]
+    rows = [(10 * k + flip, word) for k, pair in enumerate(pairs) for flip, word in enumerate(pair)] + [(5, pairs[0][0].upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 5: (1, 0), 10: (1, 10), 11: (1, 11)}
+
+
+def test_words_across_segments(monkeypatch):
+    monkeypatch.setattr(shingles, "SEGMENT", 64)
+    monkeypatch.setattr(shingles, "POWERS", [(p, b, shingles._powers(b, p), shingles._powers(pow(b, -1, p), p)) for p, b in shingles.FIELDS])
+    texts = ["x" * n + " é one\ttwo" for n in (0, 1, 60, 63, 64, 65, 200)] + [None, "", " \n", "one"]
+    hashes, counts = shingles.word_hashes(texts)
+    words = [w for t in texts for w in (t or "").split()]
+    assert counts.tolist() == [len((t or "").split()) for t in texts] and len({*zip(words, hashes.tolist(), strict=True)}) == len({*words}) == len({*hashes.tolist()})
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
