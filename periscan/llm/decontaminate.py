@@ -129,12 +129,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_shar
         windows = parsed.where(F.size("w") >= width).select("doc_id", "w", "c", "l", at)
         key = _key(F.slice("l" if form == "literal" else "c", F.col("pos") + 1, width)).alias("key")
         if form == "whole":
+            # Only places travel with a window until it is found; words are cut out for those, one more in front as a unit is told by it.
+            shapes = own.select("key", "at", F.size("template").alias("size")).distinct()
             parts = -(-n // BROADCAST_WINDOWS)
             for part in range(parts):  # one of these for each item, and each part is small enough
-                some = own.where(F.pmod("key", F.lit(parts)) == part).select("key", "item_id", "at", "n", "words", "template")
+                some = shapes.where(F.pmod("key", F.lit(parts)) == part)
                 start = F.col("pos") - F.col("at")
-                hits = windows.select("doc_id", "w", "c", "pos", key).join(F.broadcast(some), "key").where((start >= 0) & (F.slice("c", F.greatest(start, F.lit(0)) + 1, F.size("template")) == F.col("template")))
-                hits = hits.select("doc_id", "item_id", "n", start.alias("pos"), F.lit(0).alias("at"), "words", "template", F.slice("w", start + 1, F.size("template")).alias("dw"), F.size("template").alias("width"), F.lit(form).alias("form"))
+                lead = (start > 0).cast("int")
+                cut = F.slice("w", start + 1 - lead, F.col("size") + lead)
+                near = windows.select("doc_id", "w", "pos", key).join(F.broadcast(some), "key").where((start >= 0) & (start + F.col("size") <= F.size("w"))).select("doc_id", "key", start.alias("pos"), F.col("at").alias("back"), lead.alias("lead"), cut.alias("cut"))
+                typed_cut = near.select("doc_id", "key", "pos", "back", F.slice("cut", F.col("lead") + 1, F.size("cut")).alias("dw"), F.slice(template_of(F.col("cut")), F.col("lead") + 1, F.size("cut")).alias("dt"))
+                told = own.select(F.col("key").alias("own_key"), F.col("at").alias("own_at"), "template", "item_id", "n", "words")
+                # A plain equality of the templates would be known not to be null, and tested so in the join above, with every window's words at hand.
+                fits = (F.col("key") == F.col("own_key")) & (F.col("back") == F.col("own_at")) & F.col("dt").eqNullSafe(F.col("template"))
+                hits = typed_cut.join(told, fits).select("doc_id", "item_id", "n", "pos", F.lit(0).alias("at"), "words", "template", "dw", F.size("template").alias("width"), F.lit(form).alias("form"))
                 found = hits if found is None else found.unionByName(hits)
             continue
         keys = own.select("key").distinct()

@@ -172,6 +172,15 @@ def test_leaks_of_short_and_wordless_items(spark):
     assert leaks(spark, ["a"], [(3, None)]) == {}
 
 
+def test_short_items_in_long_texts(spark):
+    """Time and memory follow the text's length: whole words travel with none of its windows."""
+    items = ((1, "What is 12 plus 15?"), (2, "Where was Anna born then?"), (3, "12 km"), (4, "Ann Bob Cid Dan Eve Fay Gus saw Hal Ida Joe met Kim Leo Max Ned"))
+    long = text(25_000)
+    ends = ["What is 3 plus 4", "Where was Paul born then", "long 9 km", "Una Vic Wes Xia Yan Zoe Abe saw Bea Cal Deb met Eli Fox Gil Hob"]
+    got = leaks(spark, [f"{long} {x} {long}" for x in ["", *ends]] + ["7 km", "km 12"], items)
+    assert {k: i for k, (i, _) in got.items()} == {1: 1, 2: 2, 4: 4}
+
+
 def test_leaks_in_any_case_and_of_short_runs(spark):
     words = QUESTION.split()
     passages = [" ".join(words[3:21]), " ".join(words[3:16]), " ".join(words[3:15])]  # 18, 13 and 12 words
