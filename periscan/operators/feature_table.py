@@ -10,7 +10,7 @@ from periscan.operators import features as N
 from periscan.operators.comb import rotation_periods
 from periscan.operators.gather import Curves, gather
 from periscan.operators.spacing import acf_peaks, coverage, spacing_histogram
-from periscan.operators.spectra import acf_spectrum, finite_points, lomb_scargle, own_grid
+from periscan.operators.spectra import acf_spectrum, finite_points, periodogram
 from periscan.session import materialize
 
 KEYS = ["star_id", "cand_id"]
@@ -67,7 +67,7 @@ def feature_table(curves: Curves, truth: DataFrame | None = None, n_peaks: int =
     targets = fits.select("star_id", "p").distinct()
 
     points = finite_points(lc)
-    ls = materialize(lomb_scargle(points, own_grid(points)).where("power is not null"), "ls")
+    ls = materialize(periodogram(points).where("power is not null"), "ls")
     ends = points.groupBy("star_id").agg(F.count("*").alias("n"), F.var_pop("time").alias("tv"), (F.max("time") - F.min("time")).alias("span"))
     ls_near = E.nearest_peaks(ls, targets).join(ends, "star_id", "left")
     fap = E.false_alarm(F.col("peak_power"), F.col("n"), F.col("tv"), 2.5 * F.col("n") / F.col("span"))

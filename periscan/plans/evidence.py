@@ -185,21 +185,41 @@ def _(spark, sf_dir):
     return rounded(out, "power", "false_alarm")
 
 
-@query("k2_lombscargle_candidates")
+_GRID = """, fp AS (SELECT star_id, time, flux, time - lag(time) OVER (PARTITION BY star_id ORDER BY time) AS dt FROM lc WHERE flux IS NOT NULL),
+sh AS (SELECT star_id, count(*) AS n, avg(flux) AS m, min(time) AS t0, var_pop(time) AS tv, max(time) - min(time) AS span, quantile_cont(dt, 0.5) AS dt FROM fp GROUP BY 1 HAVING count(*) >= 10),
+gs AS (SELECT *, {low} AS low, 1 / ({samples} * span) AS step FROM sh WHERE span > 0 AND dt > 0),
+gg AS (SELECT *, unnest(range(0, CAST(round_even((1 / (4 * dt) - low) / step, 0) AS BIGINT) + 1)) AS g FROM gs WHERE 1 / (4 * dt) >= low),
+an AS (SELECT gg.star_id, g, low + g * step AS freq, flux - m AS y, 2 * pi() * (low + g * step) * (time - t0) AS a FROM gg JOIN fp USING (star_id)),
+su AS (SELECT star_id, g, freq, avg(cos(a)) AS C1, avg(sin(a)) AS S1, avg(cos(a) * cos(a)) AS CC, avg(sin(a) * sin(a)) AS SS, avg(cos(a) * sin(a)) AS CS, avg(y * cos(a)) AS YC, avg(y * sin(a)) AS YS, avg(y * y) AS YY FROM an GROUP BY 1, 2, 3),
+po AS (SELECT star_id, g, freq, (YC * YC * (SS - S1 * S1) + YS * YS * (CC - C1 * C1) - 2 * YC * YS * (CS - C1 * S1)) / (YY * ((CC - C1 * C1) * (SS - S1 * S1) - (CS - C1 * S1) * (CS - C1 * S1))) AS power FROM su WHERE YY > 0 AND (CC - C1 * C1) * (SS - S1 * S1) - (CS - C1 * S1) * (CS - C1 * S1) > 1e-10)"""
+_TOPS = """, nb AS (SELECT *, coalesce(power > lag(power) OVER w AND power > lead(power) OVER w, false) AS top FROM po WINDOW w AS (PARTITION BY star_id ORDER BY g)),
+rk AS (SELECT *, bool_or(top) OVER (PARTITION BY star_id) AS has FROM nb)
+SELECT star_id, round(1 / freq, 6) AS p0, round(power, 6) AS strength, CAST(row_number() OVER (PARTITION BY star_id ORDER BY power DESC, freq) AS INTEGER) AS rank, '{method}' AS method FROM rk WHERE top = has QUALIFY row_number() OVER (PARTITION BY star_id ORDER BY power DESC, freq) <= CASE WHEN has THEN 5 ELSE 1 END"""
+
+
+@query("k2_periodogram", f"{_USERS}{_GRID.format(low='2 / span', samples=1)} SELECT star_id, g, round(freq, 6) AS freq, round(power, 6) AS power FROM po")
+def _(spark, sf_dir):
+    return rounded(K.periodogram(L.user_curves(spark, sf_dir)).where("power is not null"), "freq", "power")
+
+
+@query("k2_lombscargle_candidates", f"{_USERS}{_GRID.format(low='2 / span', samples=1)}{_TOPS.format(method='lombscargle')}")
 def _(spark, sf_dir):
     return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir)), "p0", "strength")
 
 
-@query("k4_lombscargle_short_candidates")
+@query("k4_lombscargle_short_candidates", f"{_USERS}{_GRID.format(low='1 / 15.0', samples=5)}{_TOPS.format(method='lombscargle_short')}")
 def _(spark, sf_dir):
     return rounded(K.guess_lombscargle(L.user_curves(spark, sf_dir), "lombscargle_short", samples_per_peak=5, max_period=15.0), "p0", "strength")
 
 
-@query("k2_false_alarm_own_grid")
+@query(
+    "k2_false_alarm_own_grid",
+    f"""{_USERS}{_GRID.format(low='2 / span', samples=1)}, z AS (SELECT star_id, max(power) AS z, max(freq) AS fm FROM po GROUP BY 1)
+SELECT star_id, round(z, 6) AS power, round(CASE WHEN n >= 4 AND z < 1 THEN 1 - (1 - power(1 - z, (n - 3) / 2.0)) * exp(-sqrt(2.0 / (n - 1)) * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) * fm * sqrt(4 * pi() * tv) * power(1 - z, (n - 4) / 2.0) * sqrt((n - 1) * z / 2)) END, 6) AS false_alarm FROM z JOIN sh USING (star_id)""",
+)
 def _(spark, sf_dir):
     lc = K.finite_points(L.user_curves(spark, sf_dir))
-    spectrum = K.lomb_scargle(lc, K.own_grid(lc))
-    top = spectrum.groupBy("star_id").agg(F.max("power").alias("power"), F.max("freq").alias("f_max"))
+    top = K.periodogram(lc).where("power is not null").groupBy("star_id").agg(F.max("power").alias("power"), F.max("freq").alias("f_max"))
     points = lc.groupBy("star_id").agg(F.count("*").alias("n"), F.var_pop("time").alias("tv"))
     out = top.join(points, "star_id").select("star_id", "power", E.false_alarm(F.col("power"), F.col("n"), F.col("tv"), F.col("f_max")).alias("false_alarm"))
     return rounded(out, "power", "false_alarm")

@@ -12,7 +12,7 @@ from periscan.operators import evidence, pools, spectra
 from periscan.plans import catalogue
 from periscan.sources import fits
 
-NAMES = ["n9_nearest_peaks", "n8_trough_depths", "m3_peak_prominence", "n11_competition", "n10_band_power", "k6_highpass_sweep", "k12_harmonics", "o8_rank_histogram", "p4_rate_by_factor", "q7_phase_fold", "i12_sigma_clip", "k2_false_alarm"]
+NAMES = ["n9_nearest_peaks", "n8_trough_depths", "m3_peak_prominence", "n11_competition", "n10_band_power", "k6_highpass_sweep", "k12_harmonics", "o8_rank_histogram", "p4_rate_by_factor", "q7_phase_fold", "i12_sigma_clip", "k2_false_alarm", "k2_periodogram", "k2_lombscargle_candidates", "k4_lombscargle_short_candidates", "k2_false_alarm_own_grid"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -116,8 +116,3 @@ def test_periodogram_on_each_stars_own_grid(spark):
         assert abs(got[0][1] / planted - 1) < 0.2
         assert len(got) == len(tops) and all(abs(p - q) < 2e-6 and abs(s - v) < 2e-6 for (_, p, s), (v, q) in zip(got, tops, strict=True))
     assert not [x for x in rows if x.star_id == "few"]
-
-
-def test_own_grid_queries_have_rows(spark, sf_dir):
-    for name in ("k2_lombscargle_candidates", "k4_lombscargle_short_candidates", "k2_false_alarm_own_grid"):
-        assert catalogue.queries()[name](spark, sf_dir).count() > 0
