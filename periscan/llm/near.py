@@ -96,7 +96,7 @@ def near_duplicates(
 
     Rows with equal sets are one node from the start, however many they are.
     Nodes that share a band are candidates. They are compared in three steps, each
-    followed by union-find grouping (of two rounds, until the last), so that what is already in one group is not
+    followed by union-find grouping (of two rounds the first time), so that what is already in one group is not
     compared again: every node with the pivot it shares most bands with (a band's
     pivot is its node that shares bands with most others); with its other pivots; and, in bands that still
     hold several groups, the nodes outside the largest group with all others
@@ -150,7 +150,7 @@ def near_duplicates(
     more = _verified(scratch.write(apart.select(F.col("node").alias("u"), F.col("pivot").alias("v")), "pairs"), sets, share, scratch)
     scratch.drop(pivots, best, groups)
     links = first.unionByName(more)
-    groups = scratch.write(connected_components(links, 2, settle=False), "groups")
+    groups = scratch.write(connected_components(links), "groups")  # settled: a node still outside its group would meet all of it
 
     placed = grouped(members.select("band", "node", "n", "pivot"), "node", "g")
     parts = placed.groupBy("band", "g").agg(F.count("*").alias("size"))
