@@ -47,6 +47,28 @@ def bounded_fit(model: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], st
     return x, r
 
 
+def standard_errors(jac: np.ndarray, r: np.ndarray, variance: float, free: np.ndarray, known_to: np.ndarray) -> np.ndarray:
+    """Standard errors of the parameters of a fit with a soft loss, from its Jacobian and residuals at the solution; NaN for fixed ones.
+
+    ``variance``: of a residual. ``known_to``: how well a parameter is known besides, as a deviation; infinite if not at all. A
+    parameter that has a part in a direction which nothing determines is NaN too.
+    """
+    out = np.full(jac.shape[1], np.nan)
+    if not free.any():
+        return out
+    # The curvature of the loss at each residual, as a weight.
+    data = jac[:, free] * ((1 + r * r) ** -0.75 / np.sqrt(variance))[:, None]
+    rows = np.concatenate([data, np.diag(1 / known_to[free])])
+    length = np.sqrt((rows * rows).sum(0))
+    scale = np.where(length > 0, length, 1.0)
+    _, s, vt = np.linalg.svd(rows / scale, full_matrices=False)
+    told = s > s[0] * 1e-12 if s[0] > 0 else np.zeros(len(s), bool)
+    error = np.sqrt(((vt[told] / s[told, None]) ** 2).sum(0)) / scale
+    lost = (vt[~told] ** 2).sum(0) > 1e-9
+    out[free] = np.where(lost | (length == 0), np.nan, error)
+    return out
+
+
 def gaussian_fit(x: np.ndarray, y: np.ndarray, center: float) -> tuple[float, float, float]:
     """(height, center, sigma) of a Gaussian; the centre stays within ``x``."""
     high = y > y.max() / 2

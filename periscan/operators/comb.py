@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from periscan.functions.fitting import bounded_fit
+from periscan.functions.fitting import bounded_fit, standard_errors
 from periscan.operators.diagnostics import best_phase
 from periscan.session import materialize
 
 PEAK = "n int, center double, height double, curvature double, residual_rms double, n_points int"
-FIT = f"p double, t0 double, redchi double, n_peaks_used int, n_peaks_dropped int, per_peak array<struct<{PEAK.replace(' int', ':int').replace(' double', ':double')}>>, error string"
+FIT = f"p double, t0 double, p_err double, t0_err double, redchi double, n_peaks_used int, n_peaks_dropped int, per_peak array<struct<{PEAK.replace(' int', ':int').replace(' double', ':double')}>>, error string"
 
 
 def windows_of(lag: np.ndarray, p0: float, t0: float, n_peaks: int) -> dict[int, np.ndarray]:
@@ -29,11 +29,35 @@ def windows_of(lag: np.ndarray, p0: float, t0: float, n_peaks: int) -> dict[int,
     return found
 
 
+def smallest_shifts(q: np.ndarray, teeth: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of all combs with the same teeth as ``q``, the one with the smallest shifts, as far towards it as the bounds let.
+
+    Tooth 0 has no shift and so holds the phase; without it, phase and period are those of a straight line through the teeth.
+    """
+    shifts = q[-len(teeth) :]
+    moved = np.flatnonzero(teeth > 0)
+    n, off = teeth[moved].astype(float), shifts[moved]
+    step = np.zeros(len(q))
+    if len(n) > 1 and len(n) == len(teeth):
+        step[0], step[1] = np.polyfit(n, off, 1)
+    elif len(n):
+        step[0] = (n @ off) / (n @ n)
+    step[len(q) - len(teeth) + moved] = -(step[1] + n * step[0])
+    # The part of the way that no bound cuts off.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        room = np.where(step > 0, (high - q) / step, np.where(step < 0, (low - q) / step, np.inf))
+    return q + min(1.0, max(0.0, float(room.min()))) * step
+
+
 def fit_comb(lag: np.ndarray, acf: np.ndarray, p0: float, t0: float, n_peaks: int = 8, rejects: int = 3, sigmas: float = 4.0, least: int = 2) -> dict:
     """One comb: the period, the phase, and for each tooth height, curvature and a shift of a twentieth of p0 at most.
 
     The tooth that fits worst is dropped, and the rest is fitted anew, while its
     residual stands out of the others' by ``sigmas`` robust deviations.
+
+    A period can be traded for shifts that grow from tooth to tooth, so that a fit alone leaves it open: of combs
+    with the same teeth, that with the smallest shifts is taken. p_err and t0_err are standard errors; for them, a shift counts as known to the deviation of an
+    even draw between its bounds, and parameters at a bound as fixed. An error is missing where nothing tells the value, as with flat teeth.
     """
     held, dropped = windows_of(lag, p0, t0, n_peaks), 0
     if len(held) < least:
@@ -62,13 +86,9 @@ def fit_comb(lag: np.ndarray, acf: np.ndarray, p0: float, t0: float, n_peaks: in
             return h[owner] - a[owner] * off * off - y, jac
 
         free, wide = np.full(count, np.inf), 0.5 * p0
-        q, r = bounded_fit(
-            model,
-            np.concatenate([[p0, t0], heights, bends, np.zeros(count)]),
-            np.concatenate([[0.7 * p0, t0 - wide], -free, np.zeros(count), -shift]),
-            np.concatenate([[1.3 * p0, t0 + wide], free, free, shift]),
-            robust=True,
-        )
+        low = np.concatenate([[0.7 * p0, t0 - wide], -free, np.zeros(count), -shift])
+        high = np.concatenate([[1.3 * p0, t0 + wide], free, free, shift])
+        q, r = bounded_fit(model, np.concatenate([[p0, t0], heights, bends, np.zeros(count)]), low, high, robust=True)
         rms = np.sqrt(np.bincount(owner, r * r) / np.bincount(owner))
         if dropped == rejects or count <= least:
             break
@@ -79,19 +99,25 @@ def fit_comb(lag: np.ndarray, acf: np.ndarray, p0: float, t0: float, n_peaks: in
             break
         del held[int(teeth[rms.argmax()])]
         dropped += 1
+    q = smallest_shifts(q, teeth, low, high)
     centers = q[1] + teeth * q[0] + q[2 + 2 * count :]
     freedom = max(len(x) - (2 + 2 * count + int((teeth > 0).sum())), 1)
     per_peak = [{"n": int(n), "center": float(c), "height": float(h), "curvature": float(a), "residual_rms": float(e), "n_points": len(held[n])} for n, c, h, a, e in zip(teeth, centers, q[2:], q[2 + count :], rms, strict=False)]
-    return {"p": float(q[0]), "t0": float(q[1]), "redchi": float(r @ r) / freedom, "n_peaks_used": count, "n_peaks_dropped": dropped, "per_peak": per_peak, "error": None}
+    redchi = float(r @ r) / freedom
+    room = 1e-9 * np.maximum(np.abs(q), p0)
+    loose = np.concatenate([np.full(2 + 2 * count, np.inf), np.where(teeth > 0, shift / np.sqrt(3), np.inf)])
+    errors = standard_errors(model(q)[1], r, max(redchi, 1e-18), (q > low + room) & (q < high - room), loose)
+    p_err, t0_err = (None if np.isnan(e) else float(e) for e in errors[:2])
+    return {"p": float(q[0]), "t0": float(q[1]), "p_err": p_err, "t0_err": t0_err, "redchi": redchi, "n_peaks_used": count, "n_peaks_dropped": dropped, "per_peak": per_peak, "error": None}
 
 
 def fit_candidates(series: DataFrame, candidates: DataFrame, n_peaks: int = 8) -> DataFrame:
-    """Fits (star_id, p0, t0start) on (star_id, lag, acf): adds p, t0, redchi, n_peaks_used, n_peaks_dropped, per_peak, error.
+    """Fits (star_id, p0, t0start) on (star_id, lag, acf): adds p, t0, p_err, t0_err, redchi, n_peaks_used, n_peaks_dropped, per_peak, error.
 
     A group is one star: its lags and its few candidates. A failure is a row with an error.
     """
     star_type = series.schema["star_id"].dataType.simpleString()
-    names = ["p", "t0", "redchi", "n_peaks_used", "n_peaks_dropped", "per_peak", "error"]
+    names = ["p", "t0", "p_err", "t0_err", "redchi", "n_peaks_used", "n_peaks_dropped", "per_peak", "error"]
 
     def run(wanted: pd.DataFrame, curve: pd.DataFrame) -> pd.DataFrame:
         curve = curve.sort_values("lag")
@@ -104,7 +130,7 @@ def fit_candidates(series: DataFrame, candidates: DataFrame, n_peaks: int = 8) -
                 fitted = {"error": str(e)}
             rows.append([star, p0, start, *(fitted.get(n) for n in names)])
         out = pd.DataFrame(rows, columns=["star_id", "p0", "t0start", *names])
-        return out.astype({"n_peaks_used": "Int32", "n_peaks_dropped": "Int32", "p": "float64", "t0": "float64", "redchi": "float64", "star_id": object, "per_peak": object, "error": object})
+        return out.astype({"n_peaks_used": "Int32", "n_peaks_dropped": "Int32", "p": "float64", "t0": "float64", "p_err": "float64", "t0_err": "float64", "redchi": "float64", "star_id": object, "per_peak": object, "error": object})
 
     both = candidates.select("star_id", "p0", "t0start").groupBy("star_id").cogroup(series.select(F.col("star_id").alias("star"), "lag", "acf").groupBy("star"))
     return both.applyInPandas(run, f"star_id {star_type}, p0 double, t0start double, {FIT}")
@@ -164,15 +190,15 @@ def rotation_periods(series: DataFrame, candidates: DataFrame, dt: float) -> Dat
 
 
 def outcomes(series: DataFrame, candidates: DataFrame, fits: DataFrame) -> DataFrame:
-    """A row for each star: status, message, the best fit's p, t0 and redchi (the closest attempt where none passed), and how many fits were tried and failed.
+    """A row for each star: status, message, the best fit's p, t0, their errors and redchi (the closest attempt where none passed), and how many fits were tried and failed.
 
     The status is no_candidates, none_sane (all too short, or with fewer than two teeth), none_fitted, none_passed or success.
     """
     stars = series.select("star_id").distinct()
     proposed = candidates.select("star_id").distinct().withColumn("proposed", F.lit(True))
-    tried = fits.groupBy("star_id").agg(F.count("*").alias("n_tried"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.first("status").alias("fitted"), F.min(F.when(F.col("place") == 1, F.struct("p", "t0", "redchi"))).alias("b"))
+    tried = fits.groupBy("star_id").agg(F.count("*").alias("n_tried"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.first("status").alias("fitted"), F.min(F.when(F.col("place") == 1, F.struct("p", "t0", "redchi", "p_err", "t0_err"))).alias("b"))
     joined = stars.join(proposed, "star_id", "left").join(tried, "star_id", "left")
     status = F.when(F.col("proposed").isNull(), "no_candidates").when(F.col("fitted").isNull(), "none_sane").otherwise(F.col("fitted"))
     said = {"no_candidates": "no method proposed a period", "none_sane": "every proposed period was too short or too long", "none_fitted": "no comb could be fitted", "none_passed": "no fit passed the gates; the closest one is given", "success": "the best of the fits that passed"}
     message = F.element_at(F.create_map(*[F.lit(x) for pair in said.items() for x in pair]), F.col("status"))
-    return joined.withColumn("status", status).select("star_id", "status", message.alias("message"), "b.p", "b.t0", "b.redchi", F.coalesce("n_tried", F.lit(0)).alias("n_tried"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))
+    return joined.withColumn("status", status).select("star_id", "status", message.alias("message"), "b.p", "b.t0", "b.p_err", "b.t0_err", "b.redchi", F.coalesce("n_tried", F.lit(0)).alias("n_tried"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"))

@@ -56,8 +56,7 @@ def _nearest(spectrum: DataFrame, targets: DataFrame, prefix: str, keep: dict[st
 def feature_table(curves: Curves, truth: DataFrame | None = None, n_peaks: int = 8, rel_tol: float = 0.03, label_tol: float = 0.03) -> DataFrame:
     """A row for each fitted candidate of (star_id, i, time, flux) curves: 78 features, and ``label`` if ``truth`` (star_id, true_period) is given.
 
-    Candidates come from the three default methods. Undefined numbers are null, as are
-    the errors of period and phase, which the fit does not determine. Stars are worked on together, keyed by star and candidate.
+    Candidates come from the three default methods. Undefined numbers are null. Stars are worked on together, keyed by star and candidate.
     """
     lc, series, dt = curves.lc, curves.series, curves.dt
     found, _ = gather(curves)
@@ -108,7 +107,8 @@ def feature_table(curves: Curves, truth: DataFrame | None = None, n_peaks: int =
         "source.strength",
         F.col("source.coverage").alias("coverage_at_generation"),
         F.col("p").alias("fitted_P"),
-        *(F.lit(None).cast("double").alias(c) for c in ("P_err_frac", "t0_err_frac")),
+        (F.col("p_err") / positive("p")).alias("P_err_frac"),
+        (F.col("t0_err") / positive("p")).alias("t0_err_frac"),
         "redchi",
         F.log10(positive("redchi")).alias("log_redchi"),
         "n_peaks_used",
