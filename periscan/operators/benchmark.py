@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from periscan.operators.quantiles import group_quantiles
 from periscan.session import materialize, shuffle_partitions
 
 # Labelled bands of periods in days, open below and closed above.
@@ -57,9 +58,14 @@ def cutoffs(summary: DataFrame, ceiling: float) -> DataFrame:
 def zero_candidates(summary: DataFrame, is_zero: Column) -> DataFrame:
     """How often a method finds little, and whether that goes with activity: point-biserial r, rate and medians."""
     z = summary.withColumn("z", is_zero.cast("int"))
-    return z.groupBy("method").agg(
-        correlation("z", "activity").alias("point_biserial_r"), F.avg("z").alias("zero_rate"), F.expr("percentile(activity, 0.5) filter (where z = 1)").alias("median_when_zero"), F.expr("percentile(activity, 0.5) filter (where z = 0)").alias("median_when_nonzero")
-    )
+    out = z.groupBy("method").agg(correlation("z", "activity").alias("point_biserial_r"), F.avg("z").alias("zero_rate"))
+    return out.join(_medians(z, ["method"], "activity"), "method", "left")
+
+
+def _medians(z: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(``keys``, median_when_zero, median_when_nonzero) of the rows with z = 1 and z = 0: few groups, of any size."""
+    both = group_quantiles(z.where("z is not null"), [*keys, "z"], column, [0.5])
+    return both.groupBy(*keys).agg(*(F.max(F.when(F.col("z") == k, F.col("value"))).alias(name) for k, name in ((1, "median_when_zero"), (0, "median_when_nonzero"))))
 
 
 def restricted(summary: DataFrame, cutoff: float) -> DataFrame:
@@ -132,16 +138,14 @@ def ceilings(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def zero_candidate_correlations(summary: DataFrame, parameters: list[str], is_zero: Column) -> DataFrame:
-    """By method and parameter: point-biserial correlation with finding nothing, the rate of that, medians and counts, in one pass. Methods that always find something are left out."""
+    """By method and parameter: point-biserial correlation with finding nothing, the rate of that, counts and medians. Methods that always find something are left out."""
     z = unpivoted(summary.withColumn("z", is_zero.cast("int")), parameters, "method", "z")
     out = z.groupBy("method", "parameter").agg(
         correlation("z", "x").alias("point_biserial_r"),
         F.avg("z").alias("zero_candidate_rate"),
-        F.expr("percentile(x, 0.5) filter (where z = 1)").alias("median_when_zero"),
-        F.expr("percentile(x, 0.5) filter (where z = 0)").alias("median_when_nonzero"),
         F.count("*").alias("n"),
     )
-    return out.where("zero_candidate_rate > 0")
+    return out.where("zero_candidate_rate > 0").join(_medians(z, ["method", "parameter"], "x"), ["method", "parameter"], "left")
 
 
 def zero_rate_by_activity(summary: DataFrame, stars: DataFrame, methods: list[str], is_zero: Column, n_bins: int = 8, least: float = 0.01) -> DataFrame:

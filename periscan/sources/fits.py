@@ -1,8 +1,10 @@
-"""FITS files as tables: columns of a binary table, and keywords of the first header. Each file is read by one task, a few MB as light curves are."""
+"""FITS files as tables: light curves, one file to a task, and keywords of first headers. Larger files and other tables: :mod:`periscan.sources.fits_table`."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,43 +46,72 @@ def header_at(data: bytes, at: int) -> tuple[dict, int]:
     raise ValueError("a header has no END")
 
 
+def data_bytes(head: dict) -> int:
+    """Bytes from the end of a unit's header to the next unit."""
+    count = 0
+    if int(head.get("NAXIS") or 0):
+        count = 1
+        for k in range(int(head["NAXIS"])):
+            count *= int(head[f"NAXIS{k + 1}"])
+    size = abs(int(head.get("BITPIX") or 8)) // 8 * int(head.get("GCOUNT") or 1) * (int(head.get("PCOUNT") or 0) + count)
+    return -(-size // BLOCK) * BLOCK
+
+
 def units(data: bytes) -> Iterator[tuple[dict, int]]:
     """Header and start of data of each unit of a file."""
     at = 0
     while at + BLOCK <= len(data):
         head, start = header_at(data, at)
         yield head, start
-        count = 0
-        if int(head.get("NAXIS") or 0):
-            count = 1
-            for k in range(int(head["NAXIS"])):
-                count *= int(head[f"NAXIS{k + 1}"])
-        size = abs(int(head.get("BITPIX") or 8)) // 8 * int(head.get("GCOUNT") or 1) * (int(head.get("PCOUNT") or 0) + count)
-        at = start + -(-size // BLOCK) * BLOCK
+        at = start + data_bytes(head)
+
+
+@dataclass
+class Layout:
+    """A binary table's rows as a numpy type, and scale, zero and null value and code of each single-value column."""
+
+    dtype: np.dtype
+    scale: dict[str, tuple]
+    code: dict[str, str]
+
+
+def table_layout(head: dict) -> Layout:
+    fields, scale, codes = [], {}, {}
+    for k in range(1, int(head["TFIELDS"]) + 1):
+        form = str(head[f"TFORM{k}"]).strip()
+        digits = len(form) - len(form.lstrip("0123456789"))
+        count, code = int(form[:digits] or 1), form[digits]
+        name = str(head.get(f"TTYPE{k}", f"col{k}")).upper()
+        single = count == 1 and code in CODES
+        width = {"A": 1, "X": 0.125, "C": 8, "M": 16, "P": 8, "Q": 16}.get(code) or np.dtype(CODES[code]).itemsize
+        fields.append((name, CODES[code] if single else f"V{int(-(-count * width // 1))}"))
+        if single:
+            scale[name] = (head.get(f"TSCAL{k}") or 1, head.get(f"TZERO{k}") or 0, head.get(f"TNULL{k}"))
+            codes[name] = code
+    return Layout(np.dtype(fields), scale, codes)
+
+
+def scaled(rows: np.ndarray, name: str, layout: Layout) -> tuple[np.ndarray, np.ndarray | None]:
+    """A column's values, and where it holds the null value of integers; numbers with a scale become doubles, logicals T and F."""
+    raw, (times, plus, null) = rows[name], layout.scale[name]
+    if layout.code[name] == "L":
+        return raw == b"T", ~np.isin(raw, (b"T", b"F"))
+    missing = raw == null if null is not None and raw.dtype.kind in "iu" else None
+    values = raw.astype(raw.dtype.newbyteorder("=")) if (times, plus) == (1, 0) else raw.astype("f8") * times + plus
+    return values.astype("i2") if values.dtype == np.uint8 else values, missing
 
 
 def table_columns(data: bytes, unit: str, wanted: list[str]) -> dict[str, np.ndarray]:
     """The named single-value columns of the binary table ``unit`` as doubles; scaling and null integers are applied."""
     for head, start in units(data):
-        if str(head.get("EXTNAME", "")).upper() != unit.upper():
-            continue
-        fields, scale = [], {}
-        for k in range(1, int(head["TFIELDS"]) + 1):
-            form = str(head[f"TFORM{k}"]).strip()
-            digits = len(form) - len(form.lstrip("0123456789"))
-            count, code = int(form[:digits] or 1), form[digits]
-            name = str(head.get(f"TTYPE{k}", f"col{k}")).upper()
-            width = {"A": 1, "X": 0.125, "C": 8, "M": 16, "P": 8, "Q": 16}.get(code) or np.dtype(CODES[code]).itemsize
-            fields.append((name, CODES[code] if count == 1 and code in CODES else f"V{int(-(-count * width // 1))}"))
-            scale[name] = (head.get(f"TSCAL{k}") or 1, head.get(f"TZERO{k}") or 0, head.get(f"TNULL{k}"))
-        rows = np.frombuffer(data, np.dtype(fields), count=int(head["NAXIS2"]), offset=start)
-        out = {}
-        for name in wanted:
-            raw = rows[name.upper()]
-            times, plus, null = scale[name.upper()]
-            values = raw.astype("f8") * times + plus
-            out[name] = np.where(raw == null, np.nan, values) if null is not None and raw.dtype.kind in "iu" else values
-        return out
+        if str(head.get("EXTNAME", "")).upper() == unit.upper():
+            layout = table_layout(head)
+            rows = np.frombuffer(data, layout.dtype, count=int(head["NAXIS2"]), offset=start)
+            out = {}
+            for name in wanted:
+                values, missing = scaled(rows, name.upper(), layout)
+                out[name] = values.astype("f8") if missing is None else np.where(missing, np.nan, values)
+            return out
     raise ValueError(f"no unit named {unit}")
 
 
@@ -111,19 +142,10 @@ def light_curves(spark: SparkSession, paths: str | list[str], unit: str = "LIGHT
 
 
 def headers(spark: SparkSession, paths: str | list[str], keys: list[str]) -> DataFrame:
-    """A row for each file: star_id and the numbers under ``keys`` in its first header (logicals as 0 and 1), null where missing."""
+    """A row for each file: star_id and the numbers under ``keys`` in its first header (logicals as 0 and 1), null where missing. Nothing else of a file is read."""
+    from periscan.sources.fits_table import register
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    head = header_at(content, 0)[0]
-                except ValueError:
-                    head = {}
-                values = [head.get(k) for k in keys]
-                rows.append([path.rsplit("/", 1)[-1].rsplit(".", 1)[0], *(float(v) if isinstance(v, (int, float)) else None for v in values)])
-            yield pd.DataFrame(rows, columns=["star_id", *keys]).astype({k: "float64" for k in keys})
-
-    found = _files(spark, paths).mapInPandas(read, ", ".join(["star_id string", *(f"`{k}` double" for k in keys)]))
-    return found.select("star_id", *(F.when(~F.isnan(k), F.col(k)).alias(k) for k in keys))
+    register(spark)
+    schema = ", ".join(["star_id string", *(f"`{k}` double" for k in keys)])
+    names = json.dumps([paths] if isinstance(paths, str) else list(paths))
+    return spark.read.format("fits").schema(schema).options(paths=names, keys=",".join(keys), mode="permissive").load()
