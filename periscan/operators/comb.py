@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from periscan.functions.fitting import bounded_fit, standard_errors
 from periscan.operators.diagnostics import best_phase
+from periscan.operators.pools import FACTORS
 from periscan.session import materialize
 
 PEAK = "n int, center double, height double, curvature double, residual_rms double, n_points int"
@@ -189,6 +190,35 @@ def rotation_periods(series: DataFrame, candidates: DataFrame, dt: float) -> Dat
     return fits.withColumns({"place": F.row_number().over(order), "status": status})
 
 
+def ensemble(series: DataFrame, pool: DataFrame, dt: float, shortest: float | None = None, longest: float | None = None, factors: list[float] = FACTORS, rel_tol: float = 0.03, min_peaks: int = 4) -> DataFrame:
+    """All fits of a pool (star_id, p0) widened by ``factors``, best first by ``place``, with the number ``n_tried``; a star with any fit has an answer, gates or not.
+
+    Periods outside the bounds (two cadences and the range of lags, if not given) go, and those within ``rel_tol`` of the last one kept. The
+    order is: ``min_peaks`` teeth or more, eight tenths of them of positive height, the smaller redchi, the shorter period.
+    """
+    span = series.groupBy("star_id").agg((F.max("lag") - F.min("lag")).alias("span"))
+    wide = pool.select("star_id", F.explode(F.transform(F.array(*map(F.lit, factors)), lambda f: f * F.col("p0"))).alias("p0")).distinct().join(span, "star_id")
+    low, high = F.lit(2 * dt if shortest is None else shortest), F.col("span") if longest is None else F.lit(longest)
+    inside = wide.where(F.col("p0").between(low, high)).select("star_id", "p0", F.lit("ensemble").alias("method"))
+    merged = materialize(merge_close(inside, rel_tol).select("star_id", "p0"), "merged")
+    phases = best_phase(series, merged.select("star_id", F.col("p0").alias("p")), dt).select("star_id", F.col("p").alias("p0"), F.col("t0").alias("t0start"))
+    tried = merged.groupBy("star_id").agg(F.count("*").cast("int").alias("n_tried"))
+    fits = assess(fit_candidates(series, phases), series).where("error is null").join(tried, "star_id")
+    order = Window.partitionBy("star_id").orderBy(F.desc(F.col("n_peaks_used") >= min_peaks), F.desc(F.coalesce("frac_positive", F.lit(0.0)) >= 0.8), F.asc_nulls_last("redchi"), "p0")
+    return fits.withColumn("place", F.row_number().over(order))
+
+
+def comb_curve(fits: DataFrame, series: DataFrame) -> DataFrame:
+    """(star_id, p0, tooth, lag, acf, model) of fitted candidates (star_id, p0, t0start, per_peak): the parabola of each tooth kept, at the lags that it was fitted to."""
+    span = series.groupBy("star_id").agg(F.min("lag").alias("l0"), F.max("lag").alias("l1"))
+    teeth = fits.select("star_id", "p0", "t0start", F.explode("per_peak").alias("t")).join(span, "star_id")
+    middle = F.col("t0start") + F.col("t.n") * F.col("p0")
+    placed = teeth.select("star_id", "p0", F.col("t.n").alias("tooth"), "t.center", "t.height", "t.curvature", F.greatest(middle - F.col("p0") / 4, "l0").alias("lo"), F.least(middle + F.col("p0") / 4, "l1").alias("hi"))
+    points = placed.join(series.select("star_id", "lag", "acf"), "star_id").where((F.col("lag") >= F.col("lo")) & (F.col("lag") <= F.col("hi")))
+    off = F.col("lag") - F.col("center")
+    return points.select("star_id", "p0", "tooth", "lag", "acf", (F.col("height") - F.col("curvature") * off * off).alias("model"))
+
+
 def outcomes(series: DataFrame, candidates: DataFrame, fits: DataFrame) -> DataFrame:
     """A row for each star: status, message, the best fit's p, t0, their errors and redchi (the closest attempt where none passed), and how many fits were tried and failed.
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def comb_score(series: DataFrame, combs: DataFrame, n_max: int = 5) -> DataFrame:
-    """Adds ``score`` to combs (star_id, p, t0, ...): the mean of the autocorrelation at t0 + n p, weighted by 1 / (n + 1).
+def harmonic_weight(n: Column) -> Column:
+    """1 / (n + 1): the first teeth count most."""
+    return 1.0 / (n + 1)
+
+
+def comb_score(series: DataFrame, combs: DataFrame, n_max: int = 5, weight: Callable[[Column], Column] = harmonic_weight) -> DataFrame:
+    """Adds ``score`` to combs (star_id, p, t0, ...): the mean of the autocorrelation at t0 + n p, weighted by ``weight`` of n. Null if the weights add up to 0.
 
     Values between lags are interpolated by index arithmetic; teeth past the last lag are left out.
     """
@@ -17,14 +24,14 @@ def comb_score(series: DataFrame, combs: DataFrame, n_max: int = 5) -> DataFrame
     put = teeth.withColumn("x", F.greatest(place, F.col("k0"))).withColumn("k", F.least(F.floor("x"), F.col("k1") - 1)).withColumn("part", F.col("x") - F.col("k"))
     low = series.select("star_id", "k", F.col("acf").alias("a"))
     high = series.select("star_id", (F.col("k") - 1).alias("k"), F.col("acf").alias("b"))
-    value = put.join(low, ["star_id", "k"]).join(high, ["star_id", "k"]).withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).withColumn("w", 1.0 / (F.col("n") + 1))
-    return value.groupBy(*combs.columns).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("score"))
+    value = put.join(low, ["star_id", "k"]).join(high, ["star_id", "k"]).withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).withColumn("w", weight(F.col("n")).cast("double"))
+    return value.groupBy(*combs.columns).agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("score"))
 
 
-def best_phase(series: DataFrame, periods: DataFrame, dt: float, n_phase: int = 200) -> DataFrame:
+def best_phase(series: DataFrame, periods: DataFrame, dt: float, n_phase: int = 200, weight: Callable[[Column], Column] = harmonic_weight) -> DataFrame:
     """Of ``n_phase`` phases from 3 dt to a period later, that with the best comb score: star_id, p, t0, score."""
     trial = periods.select("star_id", "p", F.explode(F.sequence(F.lit(0), F.lit(n_phase - 1))).alias("j")).select("star_id", "p", (3 * dt + F.col("p") * F.col("j") / n_phase).alias("t0"))
-    scored = comb_score(series, trial)
+    scored = comb_score(series, trial, weight=weight)
     return scored.groupBy("star_id", "p").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("t0")).alias("t"))).alias("b")).select("star_id", "p", (-F.col("b.t")).alias("t0"), F.col("b.s").alias("score"))
 
 

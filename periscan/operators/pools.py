@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periscan.operators.acf import acf
 from periscan.operators.benchmark import cut, geometric_edges
-from periscan.operators.series import highpass
+from periscan.operators.series import highpass, summarised
 from periscan.operators.spectra import guess_acf_fft
 
 #: Factors by which a pool of periods may be widened.
@@ -51,6 +53,27 @@ def expand_harmonics(pool: DataFrame, shortest: float, longest: float, factors:
     return wide.where(F.col("p0").between(shortest, longest))
 
 
+def sector_points(points: DataFrame, stats: DataFrame, sectors: list[int] | None = None, exclude_flagged: bool = False, normalise: bool = True) -> DataFrame:
+    """(star_id, sector, segment, time, flux) of the points of two segments each, numbered from 1.
+
+    Without ``sectors``, all are kept; with ``exclude_flagged``, flagged segments go, and a sector keeps its other one. With
+    ``sectors``, only those, and one with any flagged segment goes as a whole. A segment without a row in ``stats`` counts as
+    not flagged. With ``normalise``, the flux is divided by the median of what its sector keeps; null where that is 0.
+    """
+    sector = (F.floor(F.col("segment") / 2) + 1).cast("int")
+    bad = stats.where("flagged").select("star_id", "segment").distinct()
+    kept = points.select("star_id", sector.alias("sector"), "segment", "time", "flux")
+    if sectors is not None:
+        kept = kept.where(F.col("sector").isin(list(sectors))).join(bad.select("star_id", sector.alias("sector")).distinct(), ["star_id", "sector"], "left_anti")
+    elif exclude_flagged:
+        kept = kept.join(bad, ["star_id", "segment"], "left_anti")
+    if normalise:
+        # One sector of one star, a month of a curve, to a buffer.
+        middle = kept.groupBy("star_id", "sector").agg(F.median("flux").alias("middle"))
+        kept = kept.join(middle, ["star_id", "sector"]).withColumn("flux", F.col("flux") / F.nullif(F.col("middle"), F.lit(0.0)))
+    return kept.select("star_id", "sector", "segment", "time", "flux")
+
+
 def sector_collection(points: DataFrame, stats: DataFrame, exclude_flagged: bool = True) -> DataFrame:
     """A row for each star and sector (two segments, numbered from 1): its orbits, those left out, whether any was flagged, points and span.
 
@@ -70,12 +93,12 @@ def sector_collection(points: DataFrame, stats: DataFrame, exclude_flagged: bool
     )
 
 
-def phase_fold(lc: DataFrame, periods: DataFrame, n_bins: int = 20) -> DataFrame:
-    """Mean, population deviation and count of the flux in bins of phase, for each (star_id, p, t0)."""
+def phase_fold(lc: DataFrame, periods: DataFrame, n_bins: int = 20, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
+    """Mean (or another ``statistic``, see :func:`periscan.operators.series.bin_curve`), population deviation and count of the flux in bins of phase, for each (star_id, p, t0)."""
     cycle = (F.col("time") - F.col("t0")) / F.col("p")
     bins = F.least(F.floor((cycle - F.floor(cycle)) * n_bins), F.lit(n_bins - 1)).cast("int")
-    folded = periods.join(lc.where("flux is not null").select("star_id", "time", "flux"), "star_id")
-    return folded.groupBy("star_id", "p", bins.alias("bin")).agg(F.avg("flux").alias("mean"), F.stddev_pop("flux").alias("std"), F.count("*").alias("n"))
+    folded = periods.join(lc.where("flux is not null").select("star_id", "time", "flux"), "star_id").withColumn("bin", bins)
+    return summarised(folded, ["star_id", "p", "bin"], statistic, "mean", F.stddev_pop("flux").alias("std"), F.count("*").alias("n"))
 
 
 def rank_histogram(matched: DataFrame, ranks: int = 5) -> DataFrame:

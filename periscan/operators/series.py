@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,19 +103,29 @@ def even_cadence(lc: DataFrame, step: float) -> DataFrame:
     return grid.join(last, ["star_id", "i"], "left").select("star_id", "i", (F.col("t0") + F.col("i") * step).alias("time"), *(F.col(f"o.{c}").alias(c) for c in values))
 
 
-def bin_curve(lc: DataFrame, width: float) -> DataFrame:
-    """Means of bins from each star's first time; a last bin that is not full is dropped, empty bins are null.
+def bin_curve(lc: DataFrame, width: float, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
+    """``statistic`` of the flux (its mean) in bins from each star's first time; a last bin that is not full is dropped, empty bins are null.
 
-    With a column flux_err, a bin's error is the root of the sum of its squares over the number of its rows.
+    A statistic is any aggregate of a column: a built-in one, or a grouped-aggregate pandas function (:mod:`periscan.functions.statistics`), which
+    gets one bin of one star at a time. With a column flux_err, a bin's error is the root of the sum of its squares over the number of its rows.
     """
     times = lc.groupBy("star_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
     errors = [(F.sqrt(F.sum(F.col("flux_err") * F.col("flux_err"))) / F.count("*")).alias("flux_err")] if "flux_err" in lc.columns else []
     last = F.floor((F.col("t1") - F.col("t0")) / width - 1e-9)
     grid = times.select("star_id", "t0", last.alias("bins"), F.explode(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0)))).alias("i")).where("i < bins")
-    cells = lc.join(times, "star_id").groupBy("star_id", F.floor((F.col("time") - F.col("t0")) / width).alias("i")).agg(F.avg("flux").alias("flux"), F.count("flux").alias("n"), *errors)
+    placed = lc.join(times, "star_id").withColumn("i", F.floor((F.col("time") - F.col("t0")) / width))
+    cells = summarised(placed, ["star_id", "i"], statistic, "flux", F.count("flux").alias("n"), *errors)
     return grid.join(cells, ["star_id", "i"], "left").select("star_id", F.col("i").cast("long").alias("i"), (F.col("t0") + (F.col("i") + 0.5) * width).alias("time"), "flux", *(["flux_err"] if errors else []), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def summarised(df: DataFrame, keys: list[str], statistic: Callable[[str], Column], into: str, *others: Column) -> DataFrame:
+    """``statistic`` of the flux by ``keys`` as ``into``, beside other aggregates; Python aggregates can't share a pass with built-in ones, and get their own."""
+    own = statistic("flux").alias(into)
+    if not hasattr(statistic, "evalType"):
+        return df.groupBy(*keys).agg(own, *others)
+    return df.groupBy(*keys).agg(*others).join(df.where("flux is not null").groupBy(*keys).agg(own), keys, "left")
+
+
 def interpolate(lc: DataFrame) -> DataFrame:
     """Null flux filled linearly between its neighbours, and by the nearest value at the ends."""
     back = Window.partitionBy("star_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

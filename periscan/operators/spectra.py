@@ -142,6 +142,26 @@ def lomb_scargle(lc: DataFrame, grid: DataFrame) -> DataFrame:
     return both.applyInArrow(run, f"star_id {star}, g long, freq double, power double").where("g is not null")
 
 
+def spectrum_of(k: np.ndarray, lag: np.ndarray, acf: np.ndarray, oversample: int = 4, min_period: float | None = None, max_period: float | None = None, taper: bool = True) -> list[np.ndarray]:
+    """g, freq and power of one star; see :func:`acf_spectrum`."""
+    order = np.argsort(k)
+    lag, y = lag[order], acf[order] - acf.mean()
+    n, dt = len(lag), np.median(np.diff(lag)) if len(lag) > 1 else np.nan
+    none = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+    if n < 4:
+        return none
+    if taper:
+        y = y * (0.5 - 0.5 * np.cos(PI2 * np.arange(n) / (n - 1)))
+    size = max(int(oversample * n), n)
+    g = np.arange(size // 2 + 1)
+    freq = g / (size * dt)
+    low, high = 1 / (max_period or (lag[-1] - lag[0]) / 2), 1 / (min_period or 4 * dt)
+    inside = (freq > low * (1 + 1e-12)) & (freq < high * (1 - 1e-12))
+    if inside.sum() < 3:
+        return none
+    return [g[inside], freq[inside], np.abs(np.fft.rfft(y, size))[inside] ** 2]
+
+
 def acf_spectrum(series: DataFrame, oversample: int = 4, min_period: float | None = None, max_period: float | None = None, taper: bool = True) -> DataFrame:
     """(star_id, g, freq, power) of (star_id, k, lag, acf): squared modulus of its transform, less its mean and under a Hann window.
 
@@ -150,25 +170,7 @@ def acf_spectrum(series: DataFrame, oversample: int = 4, min_period: float | Non
     lags); stars with fewer than three of them have no rows.
     """
 
-    def run(k: np.ndarray, lag: np.ndarray, acf: np.ndarray) -> list[np.ndarray]:
-        order = np.argsort(k)
-        lag, y = lag[order], acf[order] - acf.mean()
-        n, dt = len(lag), np.median(np.diff(lag)) if len(lag) > 1 else np.nan
-        none = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-        if n < 4:
-            return none
-        if taper:
-            y = y * (0.5 - 0.5 * np.cos(PI2 * np.arange(n) / (n - 1)))
-        size = max(int(oversample * n), n)
-        g = np.arange(size // 2 + 1)
-        freq = g / (size * dt)
-        low, high = 1 / (max_period or (lag[-1] - lag[0]) / 2), 1 / (min_period or 4 * dt)
-        inside = (freq > low * (1 + 1e-12)) & (freq < high * (1 - 1e-12))
-        if inside.sum() < 3:
-            return none
-        return [g[inside], freq[inside], np.abs(np.fft.rfft(y, size))[inside] ** 2]
-
-    return per_star(series, ["k", "lag", "acf"], run, "g long, freq double, power double")
+    return per_star(series, ["k", "lag", "acf"], lambda k, lag, acf: spectrum_of(k, lag, acf, oversample, min_period, max_period, taper), "g long, freq double, power double")
 
 
 def guess_acf_fft(series: DataFrame, method: str = "acf_fft", n_guesses: int = 5, **options) -> DataFrame:

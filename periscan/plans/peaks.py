@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from periscan.functions import guessers
+from periscan.functions.statistics import trimmed_mean
+from periscan.operators import comb as C
+from periscan.operators import diagnostics as D
+from periscan.operators import pools as P
+from periscan.operators import quantiles as Q
+from periscan.operators import series as S
 from periscan.operators import spacing as H
-from periscan.plans.catalogue import _ACF, _LC, event_acf, query, rounded
+from periscan.operators import spectra as K
+from periscan.plans.catalogue import _ACF, _LC, _USERS, PEAKS_SQL, dft_sql, event_acf, query, rounded
+from periscan.plans.evidence import _GRID, _TOPS
+from periscan.session import table
+from periscan.sources import light_curves as L
 
 #: Peaks of the event curves stand out of their neighbours by less than those of a spotted star.
 SIGMAS = 0.3
@@ -49,3 +60,104 @@ def _(spark, sf_dir):
 @query("k1_pairwise_events", f"{_LC}{_PEAKS}{_HIST}{_RANKED}")
 def _(spark, sf_dir):
     return rounded(H.peak_spacings(event_acf(spark, sf_dir), 1 / 24, sigmas=SIGMAS), "p0", "strength", "coverage")
+
+
+_SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("d9_group_quantiles", "SELECT l_returnflag, l_linestatus, share, round(quantile_cont(l_extendedprice, [0.05, 0.25, 0.5, 0.75, 0.95])[k], 6) AS value FROM lineitem, (VALUES (1, 0.05::DOUBLE), (2, 0.25), (3, 0.5), (4, 0.75), (5, 0.95)) s(k, share) GROUP BY l_returnflag, l_linestatus, share, k")
+def _(spark, sf_dir):
+    """A few groups that hold all rows of the largest table."""
+    return rounded(Q.group_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", _SHARES), "value")
+
+
+def _view(curves, name: str) -> str:
+    curves.createOrReplaceTempView(name)
+    guessers.register(curves.sparkSession)
+    return name
+
+
+@query("t_guess_acf_fft", f"{_LC}{dft_sql()}{PEAKS_SQL} SELECT star_id, CAST(rank AS INTEGER) AS rank, round(p0, 6) AS p0, round(strength, 6) AS strength, 'acf_fft' AS method FROM rk WHERE rank <= 5")
+def _(spark, sf_dir):
+    view = _view(L.event_curves(spark, sf_dir), "periscan_event_curves")
+    return rounded(spark.sql(f"SELECT * FROM guess_acf_fft(1 / 24D, 5, TABLE({view}) PARTITION BY star_id)"), "p0", "strength")
+
+
+@query("t_guess_lombscargle", f"{_USERS}{_GRID.format(low='2 / span', samples=1)}{_TOPS.format(method='lombscargle').replace('SELECT star_id, round(1', 'SELECT CAST(star_id AS VARCHAR) AS star_id, round(1')}")
+def _(spark, sf_dir):
+    view = _view(L.user_curves(spark, sf_dir), "periscan_user_curves")
+    return rounded(spark.sql(f"SELECT * FROM guess_lombscargle(1, 5, TABLE({view}) PARTITION BY star_id)"), "p0", "strength")
+
+
+_BINNED = """, t AS (SELECT star_id, min(time) AS t0, CAST(floor(max(time) - min(time) - 1e-9) AS BIGINT) AS bins FROM lc GROUP BY 1), g AS (SELECT star_id, unnest(range(0, bins)) AS i FROM t),
+b AS (SELECT lc.star_id, CAST(floor(time - t0) AS BIGINT) AS i, flux, row_number() OVER (PARTITION BY lc.star_id, floor(time - t0) ORDER BY flux) AS r, count(*) OVER (PARTITION BY lc.star_id, floor(time - t0)) AS n FROM lc JOIN t USING (star_id) WHERE flux IS NOT NULL)"""
+
+
+@query("d16_bin_medians", f"{_USERS}{_BINNED} SELECT g.star_id, g.i, round(median(flux), 6) AS flux, count(flux) AS n FROM g LEFT JOIN b ON b.star_id = g.star_id AND b.i = g.i GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return rounded(S.bin_curve(L.user_curves(spark, sf_dir), 1.0, F.median).select("star_id", "i", "flux", "n"), "flux")
+
+
+@query("d16_bin_trimmed_means", f"{_USERS}{_BINNED} SELECT g.star_id, g.i, round(avg(flux) FILTER (WHERE r > floor(n * 0.2::DOUBLE) AND r <= n - floor(n * 0.2::DOUBLE)), 6) AS flux, count(flux) AS n FROM g LEFT JOIN b ON b.star_id = g.star_id AND b.i = g.i GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return rounded(S.bin_curve(L.user_curves(spark, sf_dir), 1.0, trimmed_mean(0.2)).select("star_id", "i", "flux", "n"), "flux")
+
+
+@query("q7_phase_medians", f"{_USERS} SELECT star_id, 2.9::DOUBLE AS p, CAST(least(floor((time / 2.9::DOUBLE - floor(time / 2.9::DOUBLE)) * 20), 19) AS INTEGER) AS bin, round(median(flux), 6) AS median, count(*) AS n FROM lc WHERE flux IS NOT NULL GROUP BY 1, 3")
+def _(spark, sf_dir):
+    lc = L.user_curves(spark, sf_dir)
+    periods = lc.select("star_id").distinct().select("star_id", F.lit(2.9).alias("p"), F.lit(0.0).alias("t0"))
+    return P.phase_fold(lc, periods, statistic=F.median).select("star_id", "p", "bin", F.round("mean", 6).alias("median"), "n")
+
+
+_WEIGHTS = """, cb AS (SELECT star_id, n / 24.0 AS p, 3 / 24.0 AS t0 FROM (SELECT DISTINCT star_id FROM acf), (SELECT unnest(range(6, 37)) AS n)), sn AS (SELECT star_id, max(lag) AS l1, max(k) AS k1 FROM acf GROUP BY 1),
+te AS (SELECT star_id, p, n, (t0 + n * p) * 24.0 AS x, k1 FROM (SELECT *, unnest(range(0, 6)) AS n FROM cb JOIN sn USING (star_id)) WHERE t0 + n * p <= l1),
+tv AS (SELECT te.star_id, p, n, a.acf + (b.acf - a.acf) * (x - least(floor(x), k1 - 1)) AS v FROM te JOIN acf a ON a.star_id = te.star_id AND a.k = least(floor(x), k1 - 1) JOIN acf b ON b.star_id = te.star_id AND b.k = a.k + 1)
+SELECT star_id, round(p, 6) AS p, round(avg(v), 6) AS flat, round(sum(exp(-n / 2.0) * v) / sum(exp(-n / 2.0)), 6) AS falling FROM tv GROUP BY star_id, p"""
+
+
+@query("k11_comb_score_weights", f"{_LC}{_ACF}{_WEIGHTS}")
+def _(spark, sf_dir):
+    series = event_acf(spark, sf_dir)
+    combs = L.event_curves(spark, sf_dir).select("star_id").distinct().select("star_id", F.explode(F.sequence(F.lit(6), F.lit(36))).alias("n")).select("star_id", (F.col("n") / 24.0).alias("p"), F.lit(3 / 24.0).alias("t0"))
+    flat = D.comb_score(series, combs, weight=lambda n: F.lit(1.0)).withColumnRenamed("score", "flat")
+    falling = D.comb_score(series, combs, weight=lambda n: F.exp(-n / 2)).withColumnRenamed("score", "falling")
+    return rounded(flat.join(falling, ["star_id", "p", "t0"]).drop("t0"), "p", "flat", "falling")
+
+
+_SECTORS = """, sg AS (SELECT star_id, time, flux, CAST(floor(time / 2.5) AS INTEGER) AS segment FROM lc WHERE flux IS NOT NULL), sc AS (SELECT *, segment // 2 + 1 AS sector, (star_id + 3 * segment) % 5 = 0 AS flagged FROM sg)"""
+_DIVIDED = "SELECT star_id, CAST(sector AS INTEGER) AS sector, segment, round(time, 6) AS time, round(flux / nullif(median(flux) OVER (PARTITION BY star_id, sector), 0), 6) AS flux FROM"
+
+
+def user_segments(spark, sf_dir):
+    """Segments of two and a half days of the users' curves, and a stand-in for their flags."""
+    points = L.user_curves(spark, sf_dir).where("flux is not null").withColumn("segment", F.floor(F.col("time") / 2.5).cast("int"))
+    return points, points.select("star_id", "segment").distinct().withColumn("flagged", (F.col("star_id") + 3 * F.col("segment")) % 5 == 0)
+
+
+@query("i8_sector_points", f"{_USERS}{_SECTORS} {_DIVIDED} (SELECT * FROM sc WHERE NOT flagged)")
+def _(spark, sf_dir):
+    return rounded(P.sector_points(*user_segments(spark, sf_dir), exclude_flagged=True), "time", "flux")
+
+
+@query("i8_chosen_sectors", f"{_USERS}{_SECTORS} {_DIVIDED} (SELECT * FROM sc WHERE sector IN (1, 2, 4, 99) AND (star_id, sector) NOT IN (SELECT (star_id, sector) FROM sc WHERE flagged))")
+def _(spark, sf_dir):
+    return rounded(P.sector_points(*user_segments(spark, sf_dir), sectors=[1, 2, 4, 99]), "time", "flux")
+
+
+def event_ensemble(spark, sf_dir):
+    """The candidates of the event curves, with their halves, doubles and thirds."""
+    series = event_acf(spark, sf_dir)
+    return series, C.ensemble(series, K.guess_acf_fft(series, n_guesses=3), 1 / 24)
+
+
+@query("k12_ensemble")
+def _(spark, sf_dir):
+    return event_ensemble(spark, sf_dir)[1].select("star_id", "place", "n_tried", "p0", "p", "p_err", "t0", "t0_err", "redchi", "n_peaks_used", "frac_positive")
+
+
+@query("q_comb_fit_curve")
+def _(spark, sf_dir):
+    """The best fit of each event curve at the lags that it was fitted to."""
+    series, fits = event_ensemble(spark, sf_dir)
+    return C.comb_curve(fits.where("place = 1"), series)
