@@ -17,6 +17,7 @@ from periscan.plans.catalogue import _ACF, _LC, _USERS, PEAKS_SQL, dft_sql, even
 from periscan.plans.evidence import _GRID, _TOPS
 from periscan.session import table
 from periscan.sources import light_curves as L
+from periscan.streaming import open_bins as O
 
 #: Peaks of the event curves stand out of their neighbours by less than those of a spotted star.
 SIGMAS = 0.3
@@ -161,3 +162,13 @@ def _(spark, sf_dir):
     """The best fit of each event curve at the lags that it was fitted to."""
     series, fits = event_ensemble(spark, sf_dir)
     return C.comb_curve(fits.where("place = 1"), series)
+
+
+@query(
+    "s2_streamed_bins",
+    """WITH c AS (SELECT user_id AS star_id, CAST(floor((epoch_ms(ts) - 1704067200000) / 86400000.0) AS BIGINT) AS i, value FROM events), m AS (SELECT max(epoch_ms(ts)) - 2 * 86400000 AS mark FROM events)
+SELECT star_id, i, i + 0.5::DOUBLE AS time, round(avg(value), 6) AS flux, count(value) AS n FROM c, m WHERE 1704067200000 + (i + 1) * 86400000 <= mark GROUP BY star_id, i""",
+)
+def _(spark, sf_dir):
+    """Daily bins of every user's curve, from a stream of the events; those still open at its end are left out."""
+    return rounded(O.replay_bins(spark, sf_dir), "flux")

@@ -12,7 +12,7 @@ from periscan.operators import comb, spacing
 from test_evidence import test_query_equals_sql as equals_sql
 
 
-@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors"])
+@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors", "s2_streamed_bins"])
 def test_queries_equal_sql(spark, sf_dir, name):
     equals_sql(spark, sf_dir, name)
 
