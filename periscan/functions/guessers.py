@@ -9,19 +9,13 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf
 
-from periscan.functions.sums import sine_power, tops
+from periscan.functions.sums import ranked_tops, sine_power
 from periscan.operators.acf import acf_of
 from periscan.operators.spectra import spectrum_of
 
 RESULT = "star_id string, rank int, p0 double, strength double, method string"
 
 
-def _ranked(freq: np.ndarray, power: np.ndarray, n_guesses: int) -> np.ndarray:
-    """Places of the strongest local maxima, or of the largest value if there is none; ties go to the longer period."""
-    top = tops(power)
-    return top[np.lexsort((freq[top], -power[top]))][:n_guesses] if len(top) else np.array([power.argmax()])
-
-
 class _Curve:
     """Holds the batches of one star; ``propose`` gets its columns and the options."""
 
@@ -51,7 +45,7 @@ def _from_acf(curve: _Curve, rows: pa.Table, dt: float, n_guesses: int, **option
     _, freq, power = spectrum_of(k, lag, acf, **options) if len(k) else (None, np.zeros(0), np.zeros(0))
     if not len(power):
         return [], []
-    at = _ranked(freq, power, int(n_guesses))
+    at = ranked_tops(freq, power)[: int(n_guesses)]
     return 1 / freq[at], power[at] / power.max() if power.max() > 0 else np.zeros(len(at))
 
 
@@ -95,7 +89,7 @@ class GuessLombScargle(_Curve):
         freq = low + np.arange(int(np.rint((1 / (4 * dt) - low) / step)) + 1) * step
         power = sine_power(time, flux, low, step, len(freq))
         freq, power = freq[~np.isnan(power)], power[~np.isnan(power)]
-        at = _ranked(freq, power, int(n_guesses)) if len(power) else np.zeros(0, np.int64)
+        at = ranked_tops(freq, power)[: int(n_guesses)] if len(power) else np.zeros(0, np.int64)
         return 1 / freq[at], power[at], "lombscargle"
 
 

@@ -77,3 +77,9 @@ def tops(power: np.ndarray) -> np.ndarray:
     level = power[begin]
     inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     return (begin[inner] + end[inner]) // 2
+
+
+def ranked_tops(freq: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Places of the local maxima, strongest first, or of the largest value if there is none; ties go to the lower frequency."""
+    top = tops(power)
+    return top[np.lexsort((freq[top], -power[top]))] if len(top) else np.array([power.argmax()])

@@ -19,8 +19,8 @@ def correlation(x: str, y: str) -> Column:
 
 
 def matches(p0: Column, truth: Column, rel_tol: float) -> Column:
-    """Within ``rel_tol`` of the truth; false where there is none."""
-    return F.coalesce((F.abs(p0 - truth) / truth <= rel_tol) & ~F.isnan(truth), F.lit(False))
+    """Within ``rel_tol`` of the truth; false where there is none, or it is 0."""
+    return F.coalesce((F.abs(p0 - truth) / F.nullif(truth, F.lit(0.0)) <= rel_tol) & ~F.isnan(truth), F.lit(False))
 
 
 def rank_of_true(candidates: DataFrame, rel_tol: float = 0.15) -> DataFrame:

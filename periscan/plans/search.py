@@ -7,9 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from periscan.operators import comb as C
+from periscan.operators import series as S
 from periscan.operators.feature_table import feature_table
 from periscan.operators.gather import METHODS, Curves, batch, gather
-from periscan.plans.catalogue import _LC, PEAKS_SQL, dft_sql, query, rounded
+from periscan.plans.catalogue import _ACF, _LC, PEAKS_SQL, dft_sql, query, rounded
 from periscan.sources import light_curves as L
 
 _SHORT = dft_sql(8, "1 / 15.0").split(", st AS")[1]
@@ -64,9 +65,39 @@ def _(spark, sf_dir):
     return rounded(event_batch(spark, sf_dir).candidates, "p0", "strength")
 
 
-@query("o6_batch_failures", "SELECT 'no curve' AS star_id, '__load_or_acf__' AS method, 'no points, or one value only' AS error")
+_DAILY = """WITH uc AS (SELECT user_id AS star_id, (epoch_us(ts) - 1704067200000000) / 86400000000.0 AS time, value AS flux FROM events), ut AS (SELECT star_id, min(time) AS t0, CAST(floor(max(time) - min(time) - 1e-9) AS BIGINT) AS bins FROM uc GROUP BY 1),
+lc AS (SELECT star_id, CAST(floor(time - t0) AS BIGINT) AS i, avg(flux) AS flux FROM uc JOIN ut USING (star_id) WHERE floor(time - t0) < bins GROUP BY 1, 2 HAVING count(flux) > 0)"""
+_INNER = "len([g for g in range(1, 2 * n + 1) if g / (4.0::DOUBLE * n) > 2::DOUBLE / (n - 1) * (1 + 1e-12) AND g / (4.0::DOUBLE * n) < 0.25::DOUBLE * (1 - 1e-12)])"
+
+
+def daily_batch(spark, sf_dir):
+    """Daily means of every user's curve, too short for some methods; periods are the users' numbers."""
+    lc = S.bin_curve(L.user_curves(spark, sf_dir), 1.0).drop("n")
+    known = L.user_curves(spark, sf_dir).select("star_id").distinct().withColumn("true_period", F.col("star_id").cast("double"))
+    return batch(lc, known, 1.0, ["acf_fft", "lombscargle"])
+
+
+@query(
+    "o6_batch_failures",
+    f"""{_DAILY}{_ACF}, sz AS (SELECT star_id, count(*) AS n FROM acf WHERE isfinite(acf) GROUP BY 1), pt AS (SELECT star_id, count(*) AS points FROM lc GROUP BY 1)
+SELECT star_id, 'acf_fft' AS method, 'ValueError: fewer than three frequencies in the band' AS error FROM sz WHERE n < 4 OR {_INNER} < 3
+UNION ALL SELECT star_id, 'lombscargle', 'fewer than ten finite points: ' || points FROM sz JOIN pt USING (star_id) WHERE points < 10
+UNION ALL SELECT star_id, '__load_or_acf__', 'no points, or one value only' FROM (SELECT DISTINCT star_id FROM uc) WHERE star_id NOT IN (SELECT star_id FROM sz)""",
+)
+def _(spark, sf_dir):
+    return daily_batch(spark, sf_dir).failures
+
+
+@query(
+    "o1_method_outcomes",
+    f"{_BOTH}, {_TRUTH}, po AS ({_POOL}), ms AS (SELECT star_id, method FROM (SELECT DISTINCT star_id FROM lc), (VALUES ('acf_fft'), ('acf_fft_short')) m(method)) SELECT method, count(DISTINCT ms.star_id) AS stars, count(DISTINCT po.star_id) AS with_candidates, count(po.p0) AS candidates FROM ms LEFT JOIN po USING (star_id, method) GROUP BY 1",
+)
 def _(spark, sf_dir):
-    return event_batch(spark, sf_dir).failures
+    """What each method that was asked for gave over the event curves."""
+    curves = Curves.of(L.event_curves(spark, sf_dir), 1 / 24)
+    found, failed = gather(curves, ["acf_fft", "acf_fft_short"])
+    stars = found.select("star_id", "method", "p0").unionByName(failed.select("star_id", "method", F.lit(None).cast("double").alias("p0")))
+    return stars.groupBy("method").agg(F.count_distinct("star_id").alias("stars"), F.count_distinct(F.when(F.col("p0").isNotNull(), F.col("star_id"))).alias("with_candidates"), F.count("p0").alias("candidates"))
 
 
 @query("o5_batch_every_window")

@@ -4,6 +4,7 @@ import math
 import struct
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert columns == sorted(want.columns) and len(got) == len(want) > 0
 
     def rows(frame):
-        return sorted([tuple(None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)], key=repr)
+        return sorted([tuple(None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)], key=repr)
 
     wrong = [(a, b) for a, b in zip(rows(got), rows(want), strict=True) if any((x is None) != (y is None) or (isinstance(x, float) and abs(x - y) > 2e-5) or (isinstance(x, str) and x != y) for x, y in zip(a, b, strict=True))]
     assert not wrong, wrong[:3]

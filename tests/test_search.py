@@ -66,6 +66,19 @@ def test_gathering(spark, stars):
     assert best < 0.03
 
 
+def test_exceptions_are_failures_of_one_star_and_method(spark, stars):
+    curves = Curves.of(stars.drop("true_period").unionByName(flat(spark).withColumn("flux", F.col("i") % 3 + 0.0)), 0.02)
+    found, failed = gather(curves, ["acf_fft", "acf_fft_short", "lombscargle", "wavelet"], options={"acf_fft": {"min_period": "short"}, "wavelet": {"fill": True}})
+    lost = {(r.star_id, r.method): r.error for r in failed.collect()}
+    told = lost[("planted-7", "acf_fft")]
+    assert {s for s, m in lost if m == "acf_fft"} == {"planted-0", "planted-7", "flat"} and told == lost[("planted-0", "acf_fft")] and told.startswith("TypeError: ")
+    assert lost.get(("flat", "wavelet"), "no peak stands out") == "no peak stands out"
+    assert {r.method for r in found.where("star_id = 'planted-7'").select("method").distinct().collect()} == {"acf_fft_short", "lombscargle", "wavelet"}
+    few = Curves.of(stars.drop("true_period").where("i < 9 or i > 2390").withColumn("flux", F.when((F.col("i") < 4) | (F.col("i") > 2395), F.col("flux"))), 0.02)
+    errors = {r.error for r in gather(few, ["lombscargle", "wavelet"])[1].collect()}
+    assert {e for e in errors if "points" in e} == {"fewer than ten finite points: 8"} and any(e.startswith("the flux has ") for e in errors)
+
+
 def test_every_star_and_method_has_a_row(spark, stars):
     lc = stars.drop("true_period").unionByName(flat(spark))
     known = stars.select("star_id", "true_period").distinct().unionByName(spark.createDataFrame([("flat", 1.0), ("absent", None)], "star_id string, true_period double")).withColumn("rank", F.lit("clash"))
