@@ -204,3 +204,21 @@ def rank_correlations(df: DataFrame, parameters: list[str], against: str, spread
 def star_totals(summary: DataFrame) -> DataFrame:
     """Per star over all methods: candidates, whether any found the period, and the period."""
     return summary.groupBy("star_id").agg(F.sum("n_candidates").alias("n_candidates"), (F.max("found") > 0).alias("found"), F.first("period").alias("period"))
+
+
+def rate_by_window(summary: DataFrame) -> DataFrame:
+    """(smoothing_window, hit_rate, n) of the high-pass sweep's rows of a batch with every window."""
+    swept = summary.where(F.col("smoothing_window").isNotNull())
+    return swept.groupBy("smoothing_window").agg(F.avg(F.col("found_true_period").cast("int")).alias("hit_rate"), F.count("*").alias("n"))
+
+
+def rate_by_window_and_band(summary: DataFrame, edges: list[float] = BANDS) -> DataFrame:
+    """(smoothing_window, band, hit_rate, n): the same by band of the true period too; rows without one lie in none."""
+    swept = summary.where(F.col("smoothing_window").isNotNull()).withColumn("band", band_of(F.col("true_period"), edges)).where("band is not null")
+    return swept.groupBy("smoothing_window", "band").agg(F.avg(F.col("found_true_period").cast("int")).alias("hit_rate"), F.count("*").alias("n"))
+
+
+def merged_stars(summary: DataFrame, methods: list[str], parameters: list[str]) -> DataFrame:
+    """A row for each star: its parameters (first seen), n_methods_found and found_by_any."""
+    known = summary.groupBy("star_id").agg(*(F.first(p, ignorenulls=True).alias(p) for p in parameters))
+    return known.join(found_by_star(summary, methods), "star_id")

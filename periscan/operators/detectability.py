@@ -8,6 +8,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from periscan.session import materialize
+
 
 def forest_importance(stars: DataFrame, parameters: list[str], label: str, trees: int = 500, depth: int = 5, leaf: int = 20, folds: int = 5, seed: int = 0) -> DataFrame:
     """(parameter, importance, auc): a forest's importances, and the mean area under the curve over ``folds`` held-out parts.
@@ -15,7 +17,7 @@ def forest_importance(stars: DataFrame, parameters: list[str], label: str, trees
     Rows with a null are left out. The folds are dealt by a hash of the whole row, so they do not depend on partitions.
     """
     spark = stars.sparkSession
-    known = stars.select(*(F.col(p).cast("double") for p in parameters), F.col(label).cast("double").alias("label")).dropna()
+    known = materialize(stars.select(*(F.col(p).cast("double") for p in parameters), F.col(label).cast("double").alias("label")).dropna(), "stars")  # read by every fit
     data = VectorAssembler(inputCols=parameters, outputCol="features").transform(known).withColumn("fold", F.pmod(F.xxhash64(*parameters, "label", F.lit(seed)), F.lit(folds)))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
     area = BinaryClassificationEvaluator()

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from periscan.functions.significance import correlation_p
 from periscan.operators import benchmark as B
+from periscan.operators import detectability as R
+from periscan.operators.gather import batch
 from periscan.plans.catalogue import _SUMMARY, PRIORITIES, query, rounded
+from periscan.plans.evidence import _sweep_sql as _sweep_windows_sql
 from periscan.sources import light_curves as L
 
 # Parameters of the zero-candidate table, of the rank correlations, and of the sweeps.
@@ -137,3 +140,39 @@ def _(spark, sf_dir):
     """Every tenth of the fast stars that no method found, as the report that feeds the next batch takes them."""
     missed = B.star_totals(L.batch_summary(spark, sf_dir)).where("period < 20 and not found").select("star_id", "period")
     return missed.withColumn("n", F.row_number().over(Window.orderBy("star_id"))).where("n % 10 = 1").drop("n")
+
+
+@query("p10_feature_importance")
+def _(spark, sf_dir):
+    """Of all ten parameters, from five hundred trees."""
+    return R.forest_importance(restricted(spark, sf_dir), [*RANK_PARAMETERS, "bfly"], "found_by_all")
+
+
+_WINDOWS = (2, 5, 10, 20, 40)
+_SWEPT = f"""sw AS (SELECT star_id, window_days, p0 FROM ({_sweep_windows_sql(_WINDOWS)})), wt AS (SELECT star_id, w::DOUBLE AS smoothing_window, 0.5 + length(star_id) * length(star_id) / 8.0 AS true_period FROM (SELECT DISTINCT event_type AS star_id FROM events), (VALUES (2), (5), (10), (20), (40)) v(w)),
+ht AS (SELECT wt.star_id, smoothing_window, true_period, coalesce(bool_or(abs(p0 - true_period) / true_period <= 0.15), false) AS found FROM wt LEFT JOIN sw ON sw.star_id = wt.star_id AND sw.window_days = smoothing_window GROUP BY 1, 2, 3)"""
+
+
+def swept_batch(spark, sf_dir):
+    """The high-pass sweep over the event curves, with made-up periods of half a day to 18 days."""
+    lc = L.event_curves(spark, sf_dir)
+    known = lc.select("star_id").distinct().select("star_id", (0.5 + F.length("star_id") * F.length("star_id") / 8.0).alias("true_period"))
+    return batch(lc, known, 1 / 24, ["acf_fft_highpass"], every_window=True).summary
+
+
+@query("o8_rate_by_window", f"WITH {_SWEPT} SELECT smoothing_window, round(avg(found::INT), 6) AS hit_rate, count(*) AS n FROM ht GROUP BY 1")
+def _(spark, sf_dir):
+    return rounded(B.rate_by_window(swept_batch(spark, sf_dir)), "hit_rate")
+
+
+@query(
+    "o8_rate_by_window_and_band",
+    f"WITH {_SWEPT} SELECT smoothing_window, CASE WHEN true_period > 50 THEN 4 WHEN true_period > 20 THEN 3 WHEN true_period > 10 THEN 2 WHEN true_period > 1 THEN 1 WHEN true_period > 0 THEN 0 END AS band, round(avg(found::INT), 6) AS hit_rate, count(*) AS n FROM ht GROUP BY 1, 2",
+)
+def _(spark, sf_dir):
+    return rounded(B.rate_by_window_and_band(swept_batch(spark, sf_dir)), "hit_rate")
+
+
+@query("p5_merged_stars", f"{_STARS}, mg AS (SELECT nf.star_id, period, activity, diffrot, incl FROM nf JOIN prm USING (star_id)) SELECT mg.*, n_methods_found, n_methods_found > 0 AS found_by_any FROM mg JOIN nf USING (star_id)")
+def _(spark, sf_dir):
+    return B.merged_stars(summary(spark, sf_dir), PRIORITIES, ["period", "activity", "diffrot", "incl"])

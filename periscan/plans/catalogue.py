@@ -11,7 +11,6 @@ from periscan.functions.significance import correlation_p
 from periscan.operators import acf as A
 from periscan.operators import benchmark as B
 from periscan.operators import comb as C
-from periscan.operators import detectability as R
 from periscan.operators import diagnostics as D
 from periscan.operators import features as N
 from periscan.operators import segments as G
@@ -404,11 +403,6 @@ def _(spark, sf_dir):
     return G.recombine(*G.split_segments(dense_curves(spark, sf_dir), n_segments=10))
 
 
-@query("p10_feature_importance")
-def _(spark, sf_dir):
-    return R.forest_importance(B.restricted(L.batch_summary(spark, sf_dir), 50), ["period", "activity"], "found_by_any", trees=100)
-
-
 @query("s1_streamed_hours", "SELECT event_type AS star_id, epoch_us(date_trunc('hour', ts)) AS hour_us, round(avg(value), 6) AS flux, count(value) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf_dir):
     out = T.replay(spark, sf_dir)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import periscan.plans.analytics  # noqa: F401
 import periscan.plans.peaks  # noqa: F401
 import periscan.plans.search  # noqa: F401
 from periscan.functions.fitting import standard_errors
@@ -13,7 +14,7 @@ from periscan.operators import comb, spacing
 from test_evidence import test_query_equals_sql as equals_sql
 
 
-@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors", "s2_streamed_bins", "o6_batch_failures", "o1_method_outcomes", "o4_batch_summary", "k10_gathered"])
+@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors", "s2_streamed_bins", "o6_batch_failures", "o1_method_outcomes", "o4_batch_summary", "k10_gathered", "o8_rate_by_window", "o8_rate_by_window_and_band", "p5_merged_stars", "p3_zero_all_parameters", "p3_zero_candidates"])
 def test_queries_equal_sql(spark, sf_dir, name):
     equals_sql(spark, sf_dir, name)
 

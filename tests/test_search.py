@@ -139,3 +139,35 @@ def test_jobs(spark, stars, sf_dir, tmp_path):
     jobs.main(["analyse", "--summary", f"file://{tmp_path}/out/summary.csv", "--out", f"file://{tmp_path}/stats"])
     cut = {r.method: r for r in files.read_csv(spark, f"file://{tmp_path}/stats/structural_cutoffs.csv").collect()}
     assert cut["acf_fft"].n_below == 2 and cut["wavelet"].n_below == 0
+
+
+def test_every_table_of_the_analysis(spark, tmp_path):
+    """A summary of made-up stars, of which active ones are found."""
+    import os
+
+    stars = spark.range(160).select(F.concat(F.lit("s"), "id").alias("star_id"), (F.col("id") * 37 % 80 + 0.5).alias("true_period"), ((F.col("id") * 13) % 29 / 10 + 0.1).alias("activity"), ((F.col("id") * 7) % 21 / 10 - 1).alias("diffrot"), (F.col("id") % 90).alias("incl"))
+    methods = spark.createDataFrame([("acf_fft", None), ("wavelet", None), ("acf_fft_highpass", 2.0), ("acf_fft_highpass", 5.0)], "method string, smoothing_window double")
+    found = (F.col("activity") > 1.2) & (F.col("true_period") < 60) & ~((F.col("method") == "wavelet") & (F.col("incl") < 30))
+    rows = stars.crossJoin(methods).withColumns({"found_true_period": found, "n_candidates": F.when(F.col("activity") < 0.6, 0).otherwise(5), "rank_of_true_period": F.when(found, 1), "matched_p0": F.when(found, F.col("true_period"))})
+    files.write_csv(rows, f"file://{tmp_path}/summary.csv")
+    jobs.main(["analyse", "--summary", f"file://{tmp_path}/summary.csv", "--out", f"file://{tmp_path}/out", "--trees", "20", "--leaf", "5"])
+    made = {name.removesuffix(".csv") for name in os.listdir(tmp_path / "out")}
+    assert made == {
+        "hit_rates", "structural_cutoffs", "zero_candidate_correlations", "restricted_subsample", "merged_full", "spearman_correlations", "sweeps", "sweeps_by_band", "star_totals",
+        "zero_rate_by_activity", "rate_by_diffrot", "rate_by_window", "rate_by_window_and_band", "feature_importance",
+    }
+    read = lambda name: files.read_csv(spark, f"file://{tmp_path}/out/{name}.csv").collect()
+    pure = [r.asDict() for r in rows.collect()]
+    assert len(read("merged_full")) == 160 and {r.star_id for r in read("restricted_subsample")} == {r["star_id"] for r in pure if r["true_period"] <= 50}
+    many = {s: len({r["method"] for r in pure if r["star_id"] == s and r["found_true_period"]}) for s in {r["star_id"] for r in pure}}
+    assert {r.star_id: (r.n_methods_found, r.found_by_any) for r in read("merged_full")} == {s: (n, n > 0) for s, n in many.items()}
+    rates = {r.smoothing_window: (round(r.hit_rate, 6), r.n) for r in read("rate_by_window")}
+    want = {w: [r["found_true_period"] for r in pure if r["smoothing_window"] == w] for w in (2.0, 5.0)}
+    assert rates == {w: (round(sum(x) / 160, 6), 160) for w, x in want.items()}
+    bands = {(r.smoothing_window, r.band): r.n for r in read("rate_by_window_and_band")}
+    assert bands[2.0, 4] == sum(r["true_period"] > 50 for r in pure) // 4 and sum(bands.values()) == 320
+    importance = {r.parameter: r.importance for r in read("feature_importance")}
+    assert set(importance) == {"period", "activity", "diffrot", "incl"} and max(importance, key=importance.get) == "activity" and abs(sum(importance.values()) - 1) < 1e-6
+    assert sum(r.n for r in read("rate_by_diffrot")) <= len(read("restricted_subsample")) and {r.method for r in read("zero_rate_by_activity")} == {"acf_fft", "wavelet", "acf_fft_highpass"}
+    zero = {(r.method, r.parameter): r for r in read("zero_candidate_correlations")}
+    assert zero["acf_fft", "activity"].median_when_zero < 0.6 < zero["acf_fft", "activity"].median_when_nonzero
