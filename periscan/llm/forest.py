@@ -125,7 +125,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     Returns query_id, rank (from 1), vec_id, score (the distance in double
     precision); fewer ranks if fewer rows were found; ties go to the smaller id.
     Rows with unusable vectors or null ids take no part, nor do those whose
-    vectors have another length than most.
+    vectors have another length than most. Rows of one id with several vectors are
+    not told from each other: as a query, their answers are ranked together, and as
+    candidates the id may occur once for each of its vectors.
 
     Rows with one vector are one point of the index and one search, however many
     they are; a point carries its ``k`` + 1 smallest ids, as no query can return

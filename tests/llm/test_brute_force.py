@@ -2,12 +2,15 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import regex
+import zstandard
 
 from periscan.llm import decontaminate as d
+from periscan.llm import language
 from periscan.llm import licenses as lic
 from periscan.llm.queries import ORACLES, QUERIES
 
@@ -180,3 +183,34 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
         got = QUERIES[name](spark, sf_dir)
         want = con.execute(f"select {', '.join(got.columns)} from ({sql})").fetchall()
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), name
+
+
+def test_languages_of_the_smoke_tables(spark, sf_dir):
+    """Every whole text compressed by plain calls, in blocks, with each dictionary; the dictionaries hold words of the learning part alone."""
+    docs = rows_of(sf_dir, "documents", "doc_id, text, lang")
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in docs}
+    model = language.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(language.fold() != 2))
+    assert model.languages == sorted({lang for i, _, lang in docs if lang is not None and not held[i]})
+
+    def plain(text):
+        kept = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in text.lower())
+        return " ".join(x for x in kept.split(" ") if x).encode("utf-8", "replace")
+
+    for lang, dictionary in zip(model.languages, model.dictionaries, strict=True):
+        known = {w for i, t, x in docs if x == lang and not held[i] for w in plain(t or "").split()}
+        words = dictionary.split()
+        assert len(words) > 50 and sum(w in known for w in words) > 0.95 * len(words)  # excerpts may begin and end inside a word
+    coders = [zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for d in model.dictionaries]
+    want = {}
+    for i, text, _ in docs:
+        if not text or not any(c.isalpha() for c in text):
+            want[i] = (held[i], "und", 0.0)
+            continue
+        data = plain(text)
+        sizes = [sum(len(c.compress(data[k : k + language.BLOCK_BYTES])) for k in range(0, max(1, len(data)), language.BLOCK_BYTES)) for c in coders]
+        low = min(sizes)
+        want[i] = (held[i], model.languages[sizes.index(low)], round(1 / sum(math.exp(-language.SHARPNESS * (x - low) / low) for x in sizes), 9))
+    got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in QUERIES["op4_language_id"](spark, sf_dir).collect()}
+    assert got == want
+    right = [want[i][1] == lang for i, text, lang in docs if held[i] and lang and want[i][1] != "und"]
+    assert len(right) > 20 and sum(right) > 0.9 * len(right)
