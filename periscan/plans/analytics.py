@@ -139,7 +139,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Every tenth of the fast stars that no method found, as the report that feeds the next batch takes them."""
     missed = B.star_totals(L.batch_summary(spark, sf_dir)).where("period < 20 and not found").select("star_id", "period")
-    return missed.withColumn("n", F.row_number().over(Window.orderBy("star_id"))).where("n % 10 = 1").drop("n")
+    return B.average_rank(missed, "star_id", "n").where("n % 10 = 1").drop("n")
 
 
 @query("p10_feature_importance")
@@ -176,3 +176,12 @@ def _(spark, sf_dir):
 @query("p5_merged_stars", f"{_STARS}, mg AS (SELECT nf.star_id, period, activity, diffrot, incl FROM nf JOIN prm USING (star_id)) SELECT mg.*, n_methods_found, n_methods_found > 0 AS found_by_any FROM mg JOIN nf USING (star_id)")
 def _(spark, sf_dir):
     return B.merged_stars(summary(spark, sf_dir), PRIORITIES, ["period", "activity", "diffrot", "incl"])
+
+
+_OUT = "SELECT star_id, 'acf_fft_highpass' AS method, smoothing_window, count(p0) AS n_candidates, bool_or(coalesce(hit, false)) AS found_true_period, min(CASE WHEN hit THEN rank END) AS rank_of_true_period, round(arg_min(p0, rank) FILTER (WHERE hit), 6) AS matched_p0, max(true_period) AS true_period"
+
+
+@query("o5_event_windows", f"WITH {_SWEPT}, sr AS (SELECT star_id, window_days, p0, rank FROM ({_sweep_windows_sql(_WINDOWS)})), rw AS (SELECT wt.*, p0, rank, abs(p0 - true_period) / true_period <= 0.15 AS hit FROM wt LEFT JOIN sr ON sr.star_id = wt.star_id AND sr.window_days = smoothing_window) {_OUT} FROM rw GROUP BY star_id, smoothing_window")
+def _(spark, sf_dir):
+    """A row for each event curve and window of the sweep, whatever it found."""
+    return rounded(swept_batch(spark, sf_dir), "matched_p0")

@@ -356,10 +356,17 @@ def _(spark, sf_dir):
     return D.refine_by_dispersion(lc, lc.select("star_id", (F.col("true_period") * 1.005).alias("p")).distinct())
 
 
-@query("k11_t0_grid")
+_PHASES = """, cb AS (SELECT star_id, 1.0::DOUBLE AS p, 3 * (1::DOUBLE / 24) + 1.0::DOUBLE * j / 200 AS t0 FROM (SELECT DISTINCT star_id FROM lc), (SELECT unnest(range(0, 200)) AS j)), sn AS (SELECT star_id, max(lag) AS l1, max(k) AS k1 FROM acf GROUP BY 1),
+te AS (SELECT star_id, p, t0, n, (t0 + n * p) * 24.0 AS x, k1 FROM (SELECT *, unnest(range(0, 6)) AS n FROM cb JOIN sn USING (star_id)) WHERE t0 + n * p <= l1),
+tv AS (SELECT te.star_id, p, t0, 1.0::DOUBLE / (n + 1) AS w, a.acf + (b.acf - a.acf) * (x - least(floor(x), k1 - 1)) AS v FROM te JOIN acf a ON a.star_id = te.star_id AND a.k = least(floor(x), k1 - 1) JOIN acf b ON b.star_id = te.star_id AND b.k = a.k + 1),
+sc AS (SELECT star_id, p, t0, round(sum(w * v) / sum(w), 9) AS score FROM tv GROUP BY 1, 2, 3)
+SELECT star_id, p, round(arg_max(t0, (score, -t0)), 6) AS t0, round(max(score), 6) AS score FROM sc GROUP BY 1, 2"""
+
+
+@query("k11_t0_grid", _LC + _ACF + _PHASES)
 def _(spark, sf_dir):
     series = event_acf(spark, sf_dir)
-    return D.best_phase(series, L.event_curves(spark, sf_dir).select("star_id").distinct().withColumn("p", F.lit(1.0)), 1 / 24)
+    return rounded(D.best_phase(series, L.event_curves(spark, sf_dir).select("star_id").distinct().withColumn("p", F.lit(1.0)), 1 / 24), "t0", "score")
 
 
 def planted_acf(spark, sf_dir):

@@ -13,7 +13,9 @@ from periscan.operators import quantiles as Q
 from periscan.operators import series as S
 from periscan.operators import spacing as H
 from periscan.operators import spectra as K
-from periscan.plans.catalogue import _ACF, _LC, _USERS, PEAKS_SQL, dft_sql, event_acf, query, rounded
+from periscan.operators.feature_table import feature_table
+from periscan.operators.gather import Curves, gather
+from periscan.plans.catalogue import _ACF, _LC, _USERS, PEAKS_SQL, dense_curves, dft_sql, event_acf, query, rounded
 from periscan.plans.evidence import _GRID, _TOPS
 from periscan.session import table
 from periscan.sources import light_curves as L
@@ -172,3 +174,47 @@ SELECT star_id, i, i + 0.5::DOUBLE AS time, round(avg(value), 6) AS flux, count(
 def _(spark, sf_dir):
     """Daily bins of every user's curve, from a stream of the events; those still open at its end are left out."""
     return rounded(O.replay_bins(spark, sf_dir), "flux")
+
+
+@query(
+    "m2_pdm_refine_users",
+    f"""{_USERS}, w AS (SELECT star_id, var_samp(flux) AS av, count(*) AS n, min(time) AS t0 FROM lc GROUP BY 1), tr AS (SELECT 2.9::DOUBLE * (1 - 0.02::DOUBLE + 2 * 0.02::DOUBLE * j / 200) AS p FROM (SELECT unnest(range(0, 201)) AS j)),
+f AS (SELECT lc.star_id, p, least(CAST(floor(((time - t0) / p - floor((time - t0) / p)) * 10) AS BIGINT), 9) AS bin, flux, av, n FROM lc JOIN w USING (star_id), tr),
+b AS (SELECT star_id, p, bin, var_samp(flux) AS v, count(*) AS m, max(av) AS av, max(n) AS n FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+t AS (SELECT star_id, p, round(CASE WHEN max(n) >= 20 AND max(av) > 0 AND max(n) > count(*) THEN sum((m - 1) * v) / ((max(n) - count(*)) * max(av)) END, 9) AS theta FROM b GROUP BY star_id, p)
+SELECT star_id, 2.9::DOUBLE AS p0, round(arg_min(p, (theta, p)), 6) AS p, round(min(theta), 6) AS theta FROM t WHERE theta IS NOT NULL GROUP BY star_id""",
+)
+def _(spark, sf_dir):
+    """A period of 2.9 days refined on every user's curve."""
+    lc = L.user_curves(spark, sf_dir)
+    return rounded(D.refine_by_dispersion(lc, lc.select("star_id").distinct().withColumn("p", F.lit(2.9))), "p", "theta")
+
+
+def event_candidates(spark, sf_dir):
+    curves = Curves.of(L.event_curves(spark, sf_dir), 1 / 24)
+    return curves, gather(curves, ["acf_fft", "lombscargle"])[0]
+
+
+@query("l4_event_outcomes")
+def _(spark, sf_dir):
+    """The chosen period of every event curve, with its errors."""
+    curves, found = event_candidates(spark, sf_dir)
+    return rounded(C.outcomes(curves.series, found, C.rotation_periods(curves.series, found, curves.dt)), "p", "t0", "p_err", "t0_err")
+
+
+@query("n_event_features")
+def _(spark, sf_dir):
+    """The table of features of the event curves' candidates."""
+    return feature_table(Curves.of(L.event_curves(spark, sf_dir), 1 / 24))
+
+
+@query(
+    "e14_interpolated",
+    f"""{_LC}, t AS (SELECT star_id, min(i) AS lo, max(i) AS hi FROM lc GROUP BY 1), g AS (SELECT star_id, lo, unnest(range(0, hi - lo + 1)) AS i FROM t),
+d AS (SELECT g.star_id, g.i, flux, last_value(CASE WHEN flux IS NOT NULL THEN g.i END IGNORE NULLS) OVER b AS i0, last_value(flux IGNORE NULLS) OVER b AS f0, first_value(CASE WHEN flux IS NOT NULL THEN g.i END IGNORE NULLS) OVER a AS i1, first_value(flux IGNORE NULLS) OVER a AS f1
+FROM g LEFT JOIN lc ON lc.star_id = g.star_id AND lc.i = g.lo + g.i WINDOW b AS (PARTITION BY g.star_id ORDER BY g.i ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY g.star_id ORDER BY g.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT star_id, i, round(coalesce(flux, f0 + (f1 - f0) * (i - i0) / greatest(i1 - i0, 1), f0, f1), 6) AS flux FROM d""",
+)
+def _(spark, sf_dir):
+    """The event curves without gaps: missing hours lie on straight lines."""
+    return rounded(dense_curves(spark, sf_dir).select("star_id", "i", "flux"), "flux")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from periscan.operators import acf as A
+from periscan.operators import benchmark as B
 from periscan.operators import evidence as E
 from periscan.operators import pools as P
 from periscan.operators import series as S
@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 @query("f4_every_tenth", "SELECT c_custkey AS star_id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer WHERE c_acctbal > 0) WHERE n % 10 = 1")
 def _(spark, sf_dir):
     stars = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("star_id"))
-    return stars.withColumn("n", F.row_number().over(Window.orderBy("star_id"))).where("n % 10 = 1").drop("n")
+    return B.average_rank(stars, "star_id", "n").where("n % 10 = 1").drop("n")  # keys are distinct, so that a rank is a number
 
 
 _BIASED = """, v AS (SELECT star_id, avg(flux) AS m, min(i) AS lo, max(i) AS hi FROM lc GROUP BY 1), x AS (SELECT lc.star_id, i, flux - m AS x, CAST(floor((hi - lo) / 3.0 + 1e-9) AS BIGINT) AS most FROM lc JOIN v USING (star_id)),

@@ -9,16 +9,31 @@ from pyspark.sql import functions as F
 import periscan.plans.analytics  # noqa: F401
 import periscan.plans.peaks  # noqa: F401
 import periscan.plans.search  # noqa: F401
+import periscan.plans.tables  # noqa: F401
 from periscan.functions.fitting import standard_errors
 from periscan.operators import comb, spacing
+from periscan.plans import catalogue
 from test_evidence import test_query_equals_sql as equals_sql
 
 
-@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors", "s2_streamed_bins", "o6_batch_failures", "o1_method_outcomes", "o4_batch_summary", "k10_gathered", "o8_rate_by_window", "o8_rate_by_window_and_band", "p5_merged_stars", "p3_zero_all_parameters", "p3_zero_candidates"])
+@pytest.mark.parametrize("name", ["e9_prominent_peaks", "k1_spacing_histogram", "k1_pairwise_events", "d9_group_quantiles", "t_guess_acf_fft", "t_guess_lombscargle", "d16_bin_medians", "d16_bin_trimmed_means", "q7_phase_medians", "k11_comb_score_weights", "i8_sector_points", "i8_chosen_sectors", "s2_streamed_bins", "o6_batch_failures", "o1_method_outcomes", "o4_batch_summary", "k10_gathered", "o8_rate_by_window", "o8_rate_by_window_and_band", "p5_merged_stars", "p3_zero_all_parameters", "p3_zero_candidates", "o5_event_windows", "m2_pdm_refine_users", "k11_t0_grid", "e14_interpolated", "f4_every_tenth", "p11_missed_fast_stars"])
 def test_queries_equal_sql(spark, sf_dir, name):
     equals_sql(spark, sf_dir, name)
 
 
+def test_choice_and_features_of_the_event_curves(spark, sf_dir):
+    """Errors and quality of the chosen periods; the features of the same fits."""
+    out = catalogue.queries()["l4_event_outcomes"](spark, sf_dir).collect()
+    stars = {r.star_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("star_id")).distinct().collect()}
+    assert {r.star_id for r in out} == stars
+    for r in out:
+        assert r.status in ("success", "none_passed", "none_fitted") and (r.p is None) == (r.status == "none_fitted") and r.n_tried > 0
+        assert r.p_err is None or r.p_err > 0  # none for a period at its bound; in noise it may pass the period
+    assert any(r.p_err for r in out)
+    rows = catalogue.queries()["n_event_features"](spark, sf_dir).collect()
+    assert {r.star_id for r in rows} <= stars and rows and all(r.P_err_frac is None or r.P_err_frac > 0 for r in rows) and any(r.P_err_frac for r in rows) and any(r.t0_err_frac for r in rows)
+
+
 def prominences(y):
     """{place: (height, prominence)} of all tops, by looking both ways from each."""
     found, k = {}, 0
