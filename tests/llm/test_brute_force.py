@@ -177,7 +177,7 @@ def test_licenses_of_the_smoke_tables(spark, sf_dir):
 
 def test_sql_gives_the_same_rows(spark, sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, sf_dir)

@@ -73,6 +73,9 @@ def test_queries_return_the_contracts_columns(spark, sf_dir):
         "op8": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
         "op9": "query_id bigint, rank int, vec_id bigint, score double",
         "op10": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+        "op11": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+        "op12": "query_id bigint, rank int, vec_id bigint, score bigint",
+        "op13": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
     }
     for name, query in __spark_entry__.queries().items():
         if (key := name.split("_")[0]) in want:
