@@ -227,6 +227,14 @@ def test_licenses_by_version_in_wrapped_headers_and_whole_files(spark):
     assert [got.get(k) for k in range(len(files))] == ["GPL-2.0", "LGPL-2.1", "GPL-2.0", "GPL-2.0", "LGPL-2.1", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", None, "GPL-2.0", "ISC"]
 
 
+def test_licenses_of_no_files_and_clashing_columns(spark):
+    schema = "id long, path string, text string, license string, score double, line int, h long"
+    rows = [(1, "/a/LICENSE", "SPDX-License-Identifier: MIT", "x", 1.0, 1, 1), (2, "/a/b/c.py", None, "y", 2.0, 2, 2), (3, None, "", "z", 3.0, 3, 3)]
+    assert licenses.scan(spark.createDataFrame([], schema)).count() == 0
+    got = {r.id: r.license for r in licenses.scan(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == "MIT" and got[2] == "MIT" and set(got) == {1, 2, 3}
+
+
 def test_shards_are_exact_gapless_and_uniform(spark):
     df = spark.range(5003).select(F.col("id").alias("doc_id"), F.lit(1).alias("shard"))
     rows = shards.shuffle_into_shards(df, 8, seed=1).collect()

@@ -153,5 +153,11 @@ def test_very_long_pages(spark):
     assert got == {1: ("revisit", 4_500_000), 2: ("response", 4_500_000), 3: ("response", 5)}
 
 
+def test_pages_with_clashing_columns(spark):
+    clash = {c: F.lit("clash") for c in ("record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "path", "offset", "digest", "latest")}
+    rows = lambda df: sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes, r.payload_digest) for r in warc.page_records(spark, warc.archive_pages(df)).collect())
+    assert rows(pages(spark).withColumns(clash)) == rows(pages(spark))
+
+
 def test_empty_pages(spark):
     assert warc.page_records(spark, warc.archive_pages(pages(spark).limit(0))).count() == 0
