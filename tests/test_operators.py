@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from periscan.operators import acf, benchmark, diagnostics, features, series, spectra
@@ -88,3 +89,33 @@ def test_results_do_not_depend_on_partitions(spark):
     one = features.moments(lc.repartition(1)).first()
     many = features.moments(lc.repartition(7)).first()
     assert abs(one.flux_std - many.flux_std) < 1e-12
+
+
+def test_refinement_makes_no_rows_of_trials(spark):
+    """Against a plain loop, for stars that begin and end within a batch, with null fluxes and times; no table of trials is made or sent to the driver."""
+    rng = np.random.default_rng(5)
+    rows = [(s, float(t), None if k % 17 == 3 else float(np.sin(2 * np.pi * t / (2.9 + 0.01 * s)) + 0.1 * e)) for s in range(7) for k, (t, e) in enumerate(zip(np.sort(rng.uniform(0, 60, 15 + 9 * s)), rng.normal(size=99), strict=False))]
+    rows.append((4, None, 0.3))
+    lc = spark.createDataFrame(rows, "star_id long, time double, flux double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "11")
+    try:
+        out = diagnostics.refine_by_dispersion(lc, lc.select("star_id").distinct().withColumn("p", F.lit(2.9)))
+        got = {r.star_id: (round(r.p, 9), round(r.theta, 8)) for r in out.collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = {}
+    for s in range(7):
+        mine = [(t, f) for star, t, f in rows if star == s]
+        t0, var = min(t for t, _ in mine if t is not None), np.var([f for _, f in mine if f is not None], ddof=1)
+        for j in range(201):
+            p, bins = 2.9 * (0.98 + 0.04 * j / 200), {}
+            for t, f in mine:
+                bins.setdefault(9 if t is None else min(int(((t - t0) / p) % 1 * 10), 9), []).append(f)
+            bins = [b for b in bins.values() if len(b) >= 2]
+            within = sum((len(b) - 1) * np.var(v, ddof=1) for b in bins if len(v := [f for f in b if f is not None]) >= 2)
+            if len(mine) >= 20:
+                want[s] = min(want.get(s, (9, 9)), (round(within / ((len(mine) - len(bins)) * var), 9), p))
+    assert got == {s: (round(p, 9), round(theta, 8)) for s, (theta, p) in want.items()} and len(got) == 6
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
