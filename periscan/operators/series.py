@@ -106,8 +106,8 @@ def even_cadence(lc: DataFrame, step: float) -> DataFrame:
 def bin_curve(lc: DataFrame, width: float, statistic: Callable[[str], Column] = F.avg) -> DataFrame:
     """``statistic`` of the flux (its mean) in bins from each star's first time; a last bin that is not full is dropped, empty bins are null.
 
-    A statistic is any aggregate of a column: a built-in one, or a grouped-aggregate pandas function (:mod:`periscan.functions.statistics`), which
-    gets one bin of one star at a time. With a column flux_err, a bin's error is the root of the sum of its squares over the number of its rows.
+    A statistic is any aggregate of a column: a built-in one, one made of those (:mod:`periscan.functions.statistics`), or a grouped-aggregate pandas
+    function. The last two get one bin of one star at a time, whole. With a column flux_err, a bin's error is the root of the sum of its squares over the number of its rows.
     """
     times = lc.groupBy("star_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
     errors = [(F.sqrt(F.sum(F.col("flux_err") * F.col("flux_err"))) / F.count("*")).alias("flux_err")] if "flux_err" in lc.columns else []

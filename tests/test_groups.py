@@ -103,3 +103,20 @@ def test_table_functions_equal_the_operators(spark, sf_dir):
     for name, first in (("guess_acf_fft", "0.02D"), ("guess_lombscargle", "1")):
         few = f"SELECT * FROM {name}({first}, 5, TABLE(SELECT star_id, i, time, 1.0D AS flux FROM some_curves WHERE i < 20) PARTITION BY star_id)"
         assert spark.sql(few).count() == 0 and spark.sql(few.replace("i < 20", "i < 0")).count() == 0
+
+
+def test_trimmed_means_need_no_python(spark):
+    """Against a plain loop, with nulls, not-a-numbers and bins that the cut empties."""
+    r = np.random.default_rng(3)
+    rows = [("ab"[k % 2], k % 7 + 0.5, [float(x), None, float("nan")][0 if k % 5 else k % 3]) for k, x in enumerate(r.normal(size=300))] + [("c", 0.0, 1.0), ("c", 1.5, 2.0)]
+    lc = spark.createDataFrame(rows, "star_id string, time double, flux double").repartition(4)
+    for share in (0.0, 0.2, 0.34, 0.5):
+        out = series.summarised(lc, ["star_id", "time"], trimmed_mean(share), "flux", F.count("*").alias("n"))
+        assert not any(word in out._jdf.queryExecution().executedPlan().toString() for word in ("Pandas", "Python", "Join"))
+        groups = {}
+        for s, t, v in rows:
+            groups.setdefault((s, t), []).append(v)
+        for x in out.collect():
+            v = sorted(y for y in groups[x.star_id, x.time] if y is not None and y == y)
+            cut = int(len(v) * share)
+            assert x.n == len(groups[x.star_id, x.time]) and (x.flux == pytest.approx(np.mean(v[cut : len(v) - cut]), abs=1e-12) if len(v) > 2 * cut else x.flux is None)
