@@ -161,3 +161,26 @@ def test_words_without_blanks_of_any_length_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
     assert [b"".join(coder.merges([w])) for w in (letters[:700], blob[:700])] == [coder.merge_long(w) for w in (letters[:700], blob[:700])]
     assert time.time() - began < 60
+
+
+def test_new_pieces_are_encoded_together():
+    """The library gets a few long texts for many new pieces, and each piece has the ids that it has by itself."""
+    import random
+
+    from periscan.llm.tokenize import PieceEncoder, vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdeXYZ019.,'!-(<|>é世\U0001f600́ß") for _ in range(r.randint(1, 12)))
+    texts = ["".join(word() + r.choice(" \n") for _ in range(r.randint(0, 60))) + r.choice(["", " ", "\n", "x"]) for _ in range(200)]
+    texts += [" a", "\nb c", " ", "\n", "a", "a  b c", " c  d e", "a\tb c", "x <|endoftext|> y", "a b c", "", None, "I'll we've 's 't\n's x", "z" * 500 + " " + "y" * 300 + " w"]
+    for plain in (False, True):
+        coder = PieceEncoder(path, plain)
+        calls = []
+        library = coder.library
+        coder.library = lambda x, calls=calls, library=library: calls.append(len(x)) or library(x)
+        got = coder.encode(texts)
+        assert [g for g, t in zip(got, texts, strict=True) if t] == library([t for t in texts if t]) and got[texts.index("")] == got[texts.index(None)] == b""
+        assert sum(calls) < 2.5 * len(texts) < len(coder.kept) and coder.joins
+        assert coder.encode(texts) == got
+        assert all(len(x) <= 64 for x in coder.kept)
