@@ -89,7 +89,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, by: list[str]
     All is drawn from hashes of the rows and ``seed``: a repeated task gives the
     same, and equal rows are interchangeable. Nulls are values like others.
     Columns named shard or slot are replaced. Select what you need first: all
-    columns travel twice.
+    columns travel twice, and lie on disk twice at most.
     """
     df = df.drop("shard", "slot")
     by = by or df.columns
@@ -104,7 +104,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0, by: list[str]
     upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("cap", 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
     parts = max(8, blocks // shards)
     sent = placed.withColumn("shard", F.size(F.filter(upto, lambda c: c <= F.col("__at")))).withColumn("__part", F.pmod(F.xxhash64(F.lit(seed + 2), *by), F.lit(parts))).drop("__block", "__at", "cap")
-    sent = materialize(sent, "sent")
+    sent = materialize(sent, "sent", tidy=True)  # else the first shuffle lies beside the second
     sizes = sent.groupBy("shard", "__part").agg(F.count("*").alias("n"))
     # A row for each part of a shard, not for each row of the data.
     offsets = sizes.select("shard", "__part", (F.sum("n").over(Window.partitionBy("shard").orderBy("__part")) - F.col("n")).alias("__before"))

@@ -28,11 +28,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/periscan/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
+#: Whether the files of a write's shuffles go when it ends, or some time after the driver has collected its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors. With ``tidy``, the shuffles behind it take no disk afterwards."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true" if tidy else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

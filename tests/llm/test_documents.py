@@ -283,3 +283,30 @@ def test_whole_documents_go_to_the_shards(spark, sf_dir, monkeypatch):
     docs = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").collect()}
     assert got["columns"] == table(spark, sf_dir, "documents").columns
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in docs.items())
+
+
+def test_first_shuffle_of_shards_is_gone_when_the_second_begins(spark, monkeypatch):
+    """Not left to the driver's garbage collection."""
+    from periscan.llm import shards
+
+    left = []
+    old = shards.materialize
+
+    def seen(df, name, **kept):
+        out = old(df, name, **kept)
+        if name == "sent":
+            # The shuffle that carried the texts has the largest id; its files are named after it.
+            found = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+            newest = max((int(f.split("shuffle_")[1].split("_")[0]) for f in found), default=-1)
+            left.append((newest, mark[0]))
+        elif name == "matrix":
+            found = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f]
+            mark[0] = max((int(f.split("shuffle_")[1].split("_")[0]) for f in found), default=-1)
+        return out
+
+    mark = [-1]
+    monkeypatch.setattr(shards, "materialize", seen)
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    rows = shards.shuffle_into_shards(df, 8, seed=3).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("slots")).collect()
+    assert [(r.n, r.top + 1, r.slots) for r in rows] == [(625, 625, 625)] * 8
+    assert left and all(newest <= before for newest, before in left)
